@@ -31,8 +31,8 @@ from . import blobs
 from .common import connected, join_hot, materialise, shuffle_partitions
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-CACHED_WORDS = 600_000
-BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 60_000
+CACHED_WORDS = 200_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 60_000
 SHARE = 0.4
 
 
@@ -180,7 +180,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     The bitmap may let others through; the caller drops them with an inner join on class.
     """
     bits = max(16, min(27, (16 * max(rows, 1) - 1).bit_length()))
-    place = F.pmod(F.xxhash64("class", "rep"), F.lit(1 << bits))
+    place = F.col("class").bitwiseXOR(F.coalesce("rep", F.lit(-1))).bitwiseAND(F.lit((1 << bits) - 1))
     words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("w"))
     bitmap = np.zeros(1 << (bits - 6), np.int64)
     got = words.toArrow()  # at most 2^21 rows
@@ -193,17 +193,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
                 sets = shingle_sets(part.column(1).to_pylist(), known)
-                keys = [class_key(digest(s)) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "class", "n", "set"])
+                keys = np.fromiter((class_key(digest(s)) for s in sets), np.int64, len(sets))
+                p = (keys ^ part.column(0).fill_null(-1).to_numpy()) & ((1 << bits) - 1)
+                found = np.flatnonzero((held.value[p >> 6] >> (p & 63)) & 1)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array([len(sets[i]) for i in found], pa.int64()), pa.array([sets[i].view(np.int64) for i in found], pa.list_(pa.int64()))], names=["class", "n", "set"])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column(4).to_numpy()
-            yield b.filter(pa.array(((held.value[p >> 6] >> (p & 63)) & 1).astype(bool)))
-
-    schema = "rep long, class long, n long, set array<long>"
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-    return found.withColumn("p", place).mapInArrow(mark, schema + ", p long").drop("p")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "class long, n long, set array<long>")
 
 
 def links(n: np.ndarray, common: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -292,7 +288,7 @@ def _pivot_round(region: DataFrame, pivots: int, percent: int) -> tuple[DataFram
     return edges, materialise(region.join(ids, "class", "left_semi").select("region", "class", "n", "set"))
 
 
-def class_links(sets: DataFrame, *, percent: int = 80, region_tokens: int = 20_000_000, pivots: int = 16) -> DataFrame:
+def class_links(sets: DataFrame, *, percent: int = 80, region_tokens: int = 4_000_000, pivots: int = 16) -> DataFrame:
     """Edges (a, b) between classes that connect exactly what links connect. sets: class, n, set."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     # tokens in more than this many classes are frequent; there are at most 2^20 of them

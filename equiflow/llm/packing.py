@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 #: Words whose ids a worker remembers; the table is emptied when full.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 class BestFit:

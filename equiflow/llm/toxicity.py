@@ -27,7 +27,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 6, 6, 8, 2048
 #: Tables with a row a word or trigram learn slowly, or a small sample would be learnt by heart.
 SLOW = ("emb", "tri")
 #: Distinct words whose inputs a worker remembers, and windows it reads at a time.
-CACHED_WORDS, BATCH = 300_000, 2048
+CACHED_WORDS, BATCH = 150_000, 1024
 
 
 def words_of(text: str | None) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, jaccard_join, mixing, packing, secrets, spotsigs, toxicity, urls
+from . import exact_dedup, html, jaccard_join, mixing, packing, repeats, secrets, spotsigs, toxicity, urls
 from .common import documents
 
 
@@ -46,6 +46,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("novel").alias("n_novel"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = repeats.remove_repeats(documents(spark, sf_dir))
+    return df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
@@ -72,7 +77,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_spotsigs, op3_secret_scan, op5_mixing, op6_html_extraction, op7_toxicity, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
+    for f in (op1_best_fit_packing, op2_spotsigs, op3_secret_scan, op4_repeated_bytes, op5_mixing, op6_html_extraction, op7_toxicity, op8_url_filter, op9_exact_dedup, op10_jaccard_join)
 }
 
 ORACLES = {

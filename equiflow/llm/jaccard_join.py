@@ -34,6 +34,8 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 CACHED_WORDS = 200_000
 BLOCK_TOKENS, BLOCK_DOCS = 1_500_000, 60_000
 SHARE = 0.4
+#: Rows of two longs that are broadcast; larger tables are shuffled.
+SMALL = 1_000_000
 
 
 class Words(dict):
@@ -177,7 +179,7 @@ def _possible(docs: DataFrame, rows: int, ratio: float) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     """class, n, set of the wanted (class, rep) documents, found by a scan with a bitmap of at most 16 MB.
 
-    The bitmap may let others through; the caller drops them with an inner join on class.
+    The bitmap may let a few others through, among them copies of a wanted one; they do no harm.
     """
     bits = max(16, min(27, (16 * max(rows, 1) - 1).bit_length()))
     place = F.col("class").bitwiseXOR(F.coalesce("rep", F.lit(-1))).bitwiseAND(F.lit((1 << bits) - 1))
@@ -322,8 +324,10 @@ def class_links(sets: DataFrame, *, percent: int = 80, region_tokens: int = 4_00
     starts = F.when(cut.isNull() | (cut * 100 < F.col("n") * percent), F.col("class"))
     stars = rare.withColumn("starts", starts).withColumn("b", F.last("starts", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     near = connected(stars.select(F.col("class").alias("a"), "b").filter("a <> b").distinct())
-    near = materialise(near)
-    region = sets.join(near.select(F.col("node").alias("class"), F.col("root").alias("region")), "class").select("region", "class", "n", "set")
+    near = materialise(near.select(F.col("node").alias("class"), F.col("root").alias("region")))
+    if near.count() <= SMALL:  # 16 bytes a row
+        near = F.broadcast(near)
+    region = sets.join(near, "class").select("region", "class", "n", "set")
     sizes = materialise(region.groupBy("region").agg(F.sum("n").alias("tokens")))
     edges = None
     big = sizes.filter(F.col("tokens") > region_tokens).select("region")
@@ -366,7 +370,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, **options) -> DataFra
     own = materialise(_classes(docs))
     groups = materialise(own.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     wanted = materialise(_possible(docs, rows, percent / 100).distinct().join(groups, "class").select("class", "rep"))
-    sets = materialise(_sets(docs, wanted, rows).join(wanted.select("class", F.lit(1).alias("ok")).distinct(), "class").select("class", "n", "set")) if not wanted.isEmpty() else None
+    sets = materialise(_sets(docs, wanted, rows)) if not wanted.isEmpty() else None
     if sets is not None:
         roots = materialise(connected(class_links(sets, percent=percent, **options)))
         groups = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

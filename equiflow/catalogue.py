@@ -1,4 +1,273 @@
 """All registered queries of the traffic operators and the SQL they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import vdf
+from .operators import assign as solver
+from .operators import paths, reports
+from .plans.scenario import derived, with_ctes
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+K = vdf.OnColumns
+
+
+def register(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+def rounded(df: DataFrame, *keys: str, digits: int = 6, **columns) -> DataFrame:
+    return df.select(*keys, *[F.round(c if hasattr(c, "alias") else F.col(c), digits).alias(n) for n, c in columns.items()])
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    return derived(spark, sf, "link")
+
+
+LOADED = with_ctes("link") + """, v AS (SELECT *, volume / greatest(0.01e0, lanes) / greatest(0.0001e0, plf) AS D,
+  volume / greatest(0.01e0, lanes) / greatest(0.0001e0, plf) / greatest(0.1e0, capacity) AS x, 0.75e0 * free_speed AS vc, beta + 1.5e0 AS a FROM link)"""
+BPR = "fftt * (1 + alpha * pow(x, beta))"
+REF = "CASE WHEN x < 1 THEN (1 - x) * free_speed + x * vc ELSE vc END"
+PERIOD = f"CASE WHEN x > 1 THEN ({REF}) / (1 + alpha * pow(x, beta)) ELSE x * (({REF}) / (1 + alpha * pow(x, beta))) + (1 - x) * (({REF}) + free_speed) / 2 END"
+FORMULAS = {
+    "bpr": (lambda k, c: vdf.bpr(k, c.fftt, c.doc, c.alpha, c.beta), BPR),
+    "modified_bpr": (lambda k, c: vdf.bpr(k, c.fftt, c.doc, c.alpha, c.beta, 0.2), "fftt * (1 + 0.2e0 * x + alpha * pow(x, beta))"),
+    "conic": (lambda k, c: vdf.conic(k, c.fftt, c.doc, c.beta + 1.5, vdf.conic_b(c.beta + 1.5)), "fftt * (2 + sqrt(a * a * (1 - x) * (1 - x) + pow((2 * a - 1) / (2 * a - 2), 2)) - a * (1 - x) - (2 * a - 1) / (2 * a - 2))"),
+    "qvdf": (lambda k, c: vdf.qvdf(k, c.doc, c.length, c.free_speed, 0.75 * c.free_speed, c.alpha, c.beta, 1.0, 1.0, 1.0), f"length / greatest(0.1e0, {PERIOD}) * 60"),
+    "bpr2": (lambda k, c: vdf.bpr2(k, c.fftt, c.doc, c.alpha, c.beta), "fftt * (1 + alpha * pow(x, CASE WHEN x > 1 THEN 2 * beta ELSE beta END))"),
+    "inrets": (lambda k, c: vdf.inrets(k, c.fftt, c.doc, c.alpha), "CASE WHEN x <= 1 THEN fftt * (1.1e0 - alpha * x) / greatest(0.05e0, 1.1e0 - x) ELSE fftt * ((1.1e0 - alpha) / 0.1e0) * x * x END"),
+    "akcelik": (lambda k, c: vdf.akcelik(k, c.fftt, c.doc, c.beta), "fftt + x - 1 + sqrt((x - 1) * (x - 1) + beta * x)"),
+    "signal": (lambda k, c: vdf.signal(k, c.fftt, c.doc, c.alpha, c.beta, 0.45), f"{BPR} + 0.5e0 * 60 * 0.3025e0 / greatest(0.05e0, 1 - least(1e0, x) * 0.45e0) / 60"),
+    "added_delay": (lambda k, c: k.most(0.0, vdf.bpr(k, c.fftt, c.doc, c.alpha, c.beta) + 1.4 * c.length), f"greatest(0e0, {BPR} + 1.4e0 * length)"),
+}
+
+
+class _Columns:
+    def __getattr__(self, name):
+        return F.col(name)
+
+
+for _name, (_f, _sql) in FORMULAS.items():
+    register(f"vdf_{_name}", lambda spark, sf, f=_f: rounded(reports.with_load(links(spark, sf)), "link_id", travel_time=f(K, _Columns())), f"{LOADED} SELECT link_id, round({_sql}, 6) AS travel_time FROM v")
+_BY_TYPE = f"CASE vdf_type WHEN 0 THEN {BPR} " + " ".join(f"WHEN {i} THEN {FORMULAS[n][1]}" for i, n in enumerate(("conic", "qvdf", "bpr2", "inrets", "akcelik", "signal"), 1)) + " END"
+TIMED = LOADED + f", p AS (SELECT *, {_BY_TYPE} AS tt FROM v)"
+
+_PERF = {"D": "D", "doc": "doc", "travel_time": "travel_time", "speed": "speed", "VMT": "VMT", "VHT": "VHT"}
+register("link_times_by_type", lambda s, sf: rounded(reports.with_time(links(s, sf)), "link_id", travel_time="travel_time"), f"{TIMED} SELECT link_id, round(tt, 6) AS travel_time FROM p")
+register("qvdf_report", lambda s, sf: rounded(reports.queue_report(links(s, sf)), "link_id", D="D", doc="doc", P="P", ref_speed="ref_speed", queue_speed="queue_speed", period_speed="period_speed", vt2="vt2", t0="t0", t3="t3", mu="mu", qvdf_minutes="qvdf_minutes"),
+         f"{LOADED} SELECT link_id, round(D, 6) AS D, round(x, 6) AS doc, round(x, 6) AS P, round({REF}, 6) AS ref_speed, round(({REF}) / (1 + alpha * pow(x, beta)), 6) AS queue_speed, round({PERIOD}, 6) AS period_speed, round(vc / greatest(0.001e0, 0.28125e0 * pow(x, 4) + 1), 6) AS vt2, round(7.5e0 - 0.5e0 * x, 6) AS t0, round(7.5e0 + 0.5e0 * x, 6) AS t3, round(least(capacity, D / greatest(0.01e0, x)), 6) AS mu, round(length / greatest(0.1e0, {PERIOD}) * 60, 6) AS qvdf_minutes FROM v")
+_PROFILE = LOADED + f""", w AS (SELECT *, {REF} AS ref, ({REF}) / (1 + alpha * pow(x, beta)) AS queue, vc / greatest(0.001e0, 0.28125e0 * pow(x, 4) + 1) AS vt2, 7.5e0 - 0.5e0 * x AS t0, 7.5e0 + 0.5e0 * x AS t3, least(capacity, D / greatest(0.01e0, x)) AS mu FROM v),
+g AS (SELECT *, length / greatest(0.01e0, ref) AS rtt FROM w), h AS (SELECT *, (length / vt2 - rtt) * 64 * mu / pow(x, 4) AS gamma, minute, minute / 60 AS t FROM g, (SELECT unnest(range(420, 481, 5)) AS minute) m),
+sp AS (SELECT link_id, minute, free_speed, CASE WHEN t0 <= t AND t <= t3 THEN length / (0.25e0 * gamma * (t - t0) * (t - t0) * (t - t3) * (t - t3) / greatest(0.001e0, mu) + rtt)
+  WHEN t < t0 THEN (1 - (t - 7) / greatest(0.001e0, t0 - 7)) * free_speed + (t - 7) / greatest(0.001e0, t0 - 7) * greatest(ref, queue)
+  ELSE (1 - (t - t3) / greatest(0.001e0, 8 - t3)) * greatest(ref, queue) + (t - t3) / greatest(0.001e0, 8 - t3) * free_speed END AS speed FROM h)"""
+register("qvdf_speed_profile", lambda s, sf: rounded(reports.speed_profile(links(s, sf)), "link_id", "minute", digits=5, speed="speed"), f"{_PROFILE} SELECT link_id, CAST(minute AS INT) AS minute, round(speed, 5) AS speed FROM sp")
+register("severe_congestion", lambda s, sf: rounded(reports.severe_hours(links(s, sf)), "link_id", severe_hours="severe_hours"), f"{_PROFILE} SELECT link_id, round(sum(CASE WHEN speed < 0.5e0 * free_speed THEN 5 ELSE 0 END) / 60, 6) AS severe_hours FROM sp GROUP BY link_id")
+register("generalized_cost", lambda s, sf: rounded(reports.mode_costs(links(s, sf), derived(s, sf, "mode")), "link_id", "mode", fixed_minutes="fixed_minutes"), with_ctes("link", "mode") + " SELECT link_id, mode, round((toll + length * operating_cost) / vot * 60, 6) AS fixed_minutes FROM link, mode")
+_CAN = "(allowed_use = '' OR allowed_use = 'all' OR contains(allowed_use, mode))"
+register("allowed_use_matrix", lambda s, sf: reports.mode_costs(links(s, sf), derived(s, sf, "mode")).select("link_id", "mode", "allowed"), with_ctes("link", "mode") + f" SELECT link_id, mode, {_CAN} AS allowed FROM link, mode")
+
+
+def haversine_od(s, sf):
+    n = derived(s, sf, "node").select(F.col("node_id").alias("o"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    m = n.toDF("d", "x2", "y2")
+    return rounded(n.crossJoin(F.broadcast(m)), "o", "d", miles=reports.haversine_miles(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+
+
+register("haversine_od", haversine_od, with_ctes("node") + " SELECT a.node_id AS o, b.node_id AS d, round(3958.8e0 * 2 * atan2(sqrt(h), sqrt(1 - h)), 6) AS miles FROM (SELECT a.node_id, b.node_id, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2) AS h FROM node a, node b) q(an, bn, h) JOIN node a ON a.node_id = an JOIN node b ON b.node_id = bn")
+register("departure_clock", lambda s, sf: s.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", reports.hhmmss(F.lit(420) + F.col("o_orderkey") % 1200 / 8).alias("departure")), "SELECT o_orderkey, printf('%02d:%02d:%02d', CAST(t // 3600 AS INT), CAST(t % 3600 // 60 AS INT), CAST(t % 60 AS INT)) AS departure FROM (SELECT o_orderkey, CAST(floor((420 + o_orderkey % 1200 / 8) * 60) AS BIGINT) AS t FROM orders)")
+
+# quality checks: the derived tables with known faults put in
+BROKEN_LINK = "broken AS (SELECT * REPLACE (CASE WHEN link_id % 13 = 0 THEN 0 ELSE lanes END AS lanes, CASE WHEN link_id % 17 = 0 THEN 99 ELSE to_node_id END AS to_node_id) FROM link UNION ALL SELECT * FROM link WHERE link_id % 19 = 0)"
+BROKEN_OD = "trips AS (SELECT mode, CASE WHEN o = 7 THEN 77 ELSE o END AS o, d, CASE WHEN d = 3 THEN -volume ELSE volume END AS volume FROM demand)"
+
+
+def broken(s, sf):
+    v = links(s, sf)
+    bad = v.withColumns({"lanes": F.when(F.col("link_id") % 13 == 0, 0).otherwise(F.col("lanes")), "to_node_id": F.when(F.col("link_id") % 17 == 0, 99).otherwise(F.col("to_node_id"))})
+    trips = derived(s, sf, "demand").withColumns({"volume": F.when(F.col("d") == 3, -F.col("volume")).otherwise(F.col("volume")), "o": F.when(F.col("o") == 7, 77).otherwise(F.col("o"))})
+    return bad.unionByName(v.filter("link_id % 19 = 0")), trips
+
+
+def validate_issues(s, sf):
+    bad, trips = broken(s, sf)
+    return reports.validate(bad, derived(s, sf, "node"), trips, ["AUTOMOBILE", "BUILDING"])
+
+
+register("validate_issues", validate_issues, with_ctes("link", "demand") + f", {BROKEN_LINK}, {BROKEN_OD}" + """
+SELECT 'ERROR' AS severity, 'link' AS file, 'duplicate_link' AS code, CAST(link_id AS VARCHAR) AS item FROM broken GROUP BY link_id HAVING count(*) > 1
+UNION ALL SELECT 'ERROR', 'link', 'unknown_to', CAST(link_id AS VARCHAR) FROM broken WHERE to_node_id NOT IN (SELECT node_id FROM node)
+UNION ALL SELECT 'ERROR', 'link', 'not_positive', CAST(link_id AS VARCHAR) FROM broken WHERE lanes <= 0
+UNION ALL SELECT 'ERROR', 'demand', 'negative_volume', concat_ws('-', o, d) FROM trips WHERE volume < 0
+UNION ALL SELECT 'WARNING', 'demand', 'unknown_origin', concat_ws('-', o, d) FROM trips WHERE o NOT IN (SELECT node_id FROM node)
+UNION ALL SELECT 'WARNING', 'link', 'unknown_mode', concat_ws(':', link_id, t) FROM (SELECT link_id, unnest(string_split(allowed_use, ';')) AS t FROM broken WHERE allowed_use NOT IN ('', 'all', 'closed')) WHERE t NOT IN ('AUTOMOBILE', 'BUILDING')""")
+
+
+def fill_query(s, sf):
+    v = links(s, sf)
+    holes = v.withColumns({"alpha": F.when(F.col("link_id") % 3 != 0, F.col("alpha")), "beta": F.when(F.col("link_id") % 5 != 0, F.col("beta")), "allowed_use": F.when(F.col("link_id") % 7 != 0, F.col("allowed_use"))})
+    return rounded(reports.fill_defaults(holes), "link_id", "allowed_use", alpha="alpha", beta="beta", cutoff_speed="cutoff_speed")
+
+
+register("fill_defaults", fill_query, with_ctes("link") + " SELECT link_id, CASE WHEN link_id % 7 <> 0 THEN allowed_use ELSE '' END AS allowed_use, round(CASE WHEN link_id % 3 <> 0 THEN alpha ELSE 0.15e0 END, 6) AS alpha, CASE WHEN link_id % 5 <> 0 THEN beta ELSE 4e0 END AS beta, 0.75e0 * free_speed AS cutoff_speed FROM link")
+register("link_drop_rules", lambda s, sf: broken(s, sf)[0].filter("lanes > 0 AND capacity >= 0.0001 AND free_speed >= 0.0001").join(F.broadcast(derived(s, sf, "node").select(F.col("node_id").alias("to_node_id"))), "to_node_id", "left_semi").select("link_id", "from_node_id", "to_node_id"), with_ctes("link") + f", {BROKEN_LINK} SELECT link_id, from_node_id, to_node_id FROM broken WHERE lanes > 0 AND to_node_id IN (SELECT node_id FROM node)")
+
+
+def demand_filter(s, sf):
+    t = broken(s, sf)[1].join(F.broadcast(derived(s, sf, "node").select(F.col("zone_id").alias("o"), F.lit(True).alias("known"))), "o", "left")
+    return t.groupBy("mode").agg(F.sum(F.when(F.col("known"), F.col("volume")).otherwise(0.0)).alias("kept"), F.sum(F.when(F.col("known").isNull(), F.col("volume")).otherwise(0.0)).alias("dropped"), F.sum(F.col("known").isNull().cast("long")).alias("dropped_rows"))
+
+
+register("demand_zone_filter", demand_filter, with_ctes("node", "demand") + f", {BROKEN_OD} SELECT mode, sum(CASE WHEN o <= 25 THEN volume ELSE 0 END) AS kept, sum(CASE WHEN o > 25 THEN volume ELSE 0 END) AS dropped, CAST(sum(CASE WHEN o > 25 THEN 1 ELSE 0 END) AS BIGINT) AS dropped_rows FROM trips GROUP BY mode")
+
+
+def origins_without_exit(s, sf):
+    out = reports.mode_costs(links(s, sf).filter("from_node_id % 6 <> 0"), derived(s, sf, "mode")).filter("allowed").join(links(s, sf).select("link_id", F.col("from_node_id").alias("o")), "link_id").select("mode", "o").distinct()
+    return derived(s, sf, "demand").groupBy("mode", "o").agg(F.sum("volume").alias("volume")).filter("volume > 0").join(out, ["mode", "o"], "left_anti")
+
+
+register("infeasible_origins", origins_without_exit, with_ctes("link", "mode", "demand") + f" SELECT mode, o, sum(volume) AS volume FROM demand t WHERE NOT EXISTS (SELECT 1 FROM link JOIN mode m ON {_CAN.replace('mode)', 'm.mode)')} WHERE m.mode = t.mode AND from_node_id = t.o AND from_node_id % 6 <> 0) GROUP BY mode, o HAVING sum(volume) > 0")
+register("origin_totals", lambda s, sf: derived(s, sf, "demand").groupBy("o").agg(F.sum("volume").alias("volume"), F.count("*").alias("pairs")), with_ctes("demand") + " SELECT o, sum(volume) AS volume, count(*) AS pairs FROM demand GROUP BY o")
+register("allowed_use_inventory", lambda s, sf: reports.use_classes(links(s, sf), derived(s, sf, "mode")), with_ctes("link", "mode") + f""", k AS (SELECT link_id, allowed_use, sum(CASE WHEN {_CAN} THEN 1 ELSE 0 END) AS k, min(CASE WHEN {_CAN} THEN mode END) AS one, min(CASE WHEN NOT {_CAN} THEN mode END) AS missing, count(*) AS n FROM link, mode GROUP BY ALL)
+SELECT CASE WHEN allowed_use IN ('', 'all') THEN 'all' WHEN allowed_use = 'closed' THEN 'closed' WHEN k = n THEN 'all' WHEN k = 1 THEN 'only:' || one WHEN k = n - 1 THEN 'no:' || missing ELSE 'custom' END AS class, count(*) AS links FROM k GROUP BY 1""")
+register("plf_inventory", lambda s, sf: links(s, sf).groupBy("link_type").agg(F.count("*").alias("links"), F.round(F.avg("plf"), 6).alias("mean_plf"), F.min("plf").alias("min_plf"), F.max("plf").alias("max_plf"), F.sum((F.col("plf") == 1).cast("long")).alias("flat")), with_ctes("link") + " SELECT link_type, count(*) AS links, round(avg(plf), 6) AS mean_plf, min(plf) AS min_plf, max(plf) AS max_plf, CAST(sum(CASE WHEN plf = 1 THEN 1 ELSE 0 END) AS BIGINT) AS flat FROM link GROUP BY link_type")
+register("plf_bounds", lambda s, sf: rounded(links(s, sf), "link_id", bounded=reports.bound_plf(F.col("plf") * (F.col("link_id") % 7 - 1) / 3, 3.0)), with_ctes("link") + " SELECT link_id, round(CASE WHEN plf * (link_id % 7 - 1) / 3 <= 0 THEN 0.25e0 ELSE greatest(least(plf * (link_id % 7 - 1) / 3, 1e0), 1e0 / 3) END, 6) AS bounded FROM link")
+register("turn_bans", lambda s, sf: reports.turn_bans(links(s, sf), movements(s, sf), True), with_ctes("link") + " SELECT a.link_id AS ib_link_id, b.link_id AS ob_link_id FROM link a JOIN link b ON a.to_node_id = b.from_node_id WHERE a.from_node_id = b.to_node_id OR (a.link_id + b.link_id) % 17 = 0")
+
+
+def movements(s, sf):
+    a = links(s, sf).select(F.col("link_id").alias("ib_link_id"), F.col("to_node_id").alias("at"))
+    b = links(s, sf).select(F.col("link_id").alias("ob_link_id"), F.col("from_node_id").alias("at"))
+    return a.join(b, "at").filter("(ib_link_id + ob_link_id) % 17 = 0").select("ib_link_id", "ob_link_id", F.lit(99.0).alias("penalty"))
+
+
+def origins(s, sf):
+    return derived(s, sf, "node").select(F.col("node_id").alias("o"))
+
+
+def _tree_sql(gate: str = "", table: str = "link", extra: str = "") -> str:
+    return with_ctes("link", recursive=True) + extra + f""", sp(o, n, c, via) USING KEY (o, n) AS (
+  SELECT node_id, node_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM node
+  UNION (SELECT s.o, l.to_node_id, min(s.c + l.cost), arg_min(l.link_id, s.c + l.cost) FROM sp s JOIN {table} l ON l.from_node_id = s.n {gate}
+    LEFT JOIN recurring.sp r ON r.o = s.o AND r.n = l.to_node_id WHERE r.c IS NULL OR s.c + l.cost < r.c GROUP BY s.o, l.to_node_id))"""
+
+
+register("sssp_freeflow", lambda s, sf: paths.skim(links(s, sf), origins(s, sf)), _tree_sql() + " SELECT o, n AS d, c AS cost FROM sp")
+register("sssp_first_thru", lambda s, sf: paths.skim(links(s, sf), origins(s, sf), first_thru=6), _tree_sql("AND (s.n >= 6 OR s.n = s.o)") + " SELECT o, n AS d, c AS cost FROM sp")
+register("sssp_turn_restricted", lambda s, sf: paths.skim(links(s, sf), origins(s, sf), bans=reports.turn_bans(links(s, sf), movements(s, sf), True)), with_ctes("link", recursive=True) + """, lp(o, k, c) USING KEY (o, k) AS (
+  SELECT from_node_id, link_id, cost FROM link
+  UNION (SELECT p.o, b.link_id, min(p.c + b.cost) FROM lp p JOIN link a ON a.link_id = p.k JOIN link b ON a.to_node_id = b.from_node_id AND a.from_node_id <> b.to_node_id AND (a.link_id + b.link_id) % 17 <> 0
+    LEFT JOIN recurring.lp r ON r.o = p.o AND r.k = b.link_id WHERE r.c IS NULL OR p.c + b.cost < r.c GROUP BY p.o, b.link_id))
+SELECT o, to_node_id AS d, min(c) AS cost FROM lp JOIN link ON link_id = k WHERE to_node_id <> o GROUP BY o, to_node_id UNION ALL SELECT node_id, node_id, 0 FROM node""")
+FLOWS = _tree_sql() + """, t AS (SELECT mode, o, d, volume FROM demand WHERE volume > 0 AND o <> d),
+walk(mode, o, d, volume, n) AS (SELECT mode, o, d, volume, d FROM t UNION ALL SELECT w.mode, w.o, w.d, w.volume, l.from_node_id FROM walk w JOIN sp ON sp.o = w.o AND sp.n = w.n JOIN link l ON l.link_id = sp.via WHERE w.n <> w.o),
+steps AS (SELECT w.mode, w.o, w.d, w.volume, sp.via AS link_id FROM walk w JOIN sp ON sp.o = w.o AND sp.n = w.n WHERE w.n <> w.o)"""
+FLOWS = FLOWS.replace(with_ctes("link", recursive=True), with_ctes("link", "demand", "mode", recursive=True))
+
+
+def loaded(s, sf):
+    return paths.load(links(s, sf), derived(s, sf, "demand"), modes=False)
+
+
+def aon_volume(s, sf):
+    return loaded(s, sf)[0].join(F.broadcast(derived(s, sf, "mode").select("mode", "pce")), "mode").groupBy("link_id").agg(F.sum(F.col("flow") * F.col("pce")).alias("volume"))
+
+
+register("aon_volume", aon_volume, FLOWS + " SELECT link_id, sum(volume * pce) AS volume FROM steps JOIN mode USING (mode) GROUP BY link_id")
+register("aon_mode_volume", lambda s, sf: loaded(s, sf)[0].select("mode", "link_id", "flow"), FLOWS + " SELECT mode, link_id, sum(volume) AS flow FROM steps GROUP BY mode, link_id")
+register("aon_route_lengths", lambda s, sf: loaded(s, sf)[1].select("mode", "o", "d", "volume", F.size("links").cast("long").alias("hops"), F.col("cost").cast("long").alias("cost")), FLOWS + " SELECT mode, o, d, any_value(volume) AS volume, count(*) AS hops, any_value((SELECT c FROM sp WHERE sp.o = steps.o AND sp.n = steps.d)) AS cost FROM steps GROUP BY mode, o, d")
+
+
+def minutes_pairs(s, sf):
+    return loaded(s, sf)[1].withColumn("cost", F.col("cost") / 1e7)
+
+
+def lengths(s, sf):
+    return links(s, sf).select("link_id", "length")
+
+
+_PAIRS = FLOWS + ", pairs AS (SELECT mode, steps.o, steps.d, any_value(steps.volume) AS volume, sum(length) AS miles, any_value(sp.c) / 1e7 AS cost FROM steps JOIN link USING (link_id) JOIN sp ON sp.o = steps.o AND sp.n = steps.d GROUP BY mode, steps.o, steps.d)"
+register("od_performance", lambda s, sf: rounded(reports.pair_lengths(minutes_pairs(s, sf), lengths(s, sf)), "mode", "o", "d", volume="volume", miles="miles", minutes="cost"), _PAIRS + " SELECT mode, o, d, volume, round(miles, 6) AS miles, round(cost, 6) AS minutes FROM pairs")
+register("system_performance", lambda s, sf: rounded(reports.system_performance(minutes_pairs(s, sf), lengths(s, sf), derived(s, sf, "mode")), "mode", digits=4, volume="volume", pmt="pmt", pht="pht", mean_miles="mean_miles", mean_minutes="mean_minutes"), _PAIRS + " SELECT mode, round(sum(volume), 4) AS volume, round(sum(volume * miles * occ), 4) AS pmt, round(sum(volume * cost * occ / 60), 4) AS pht, round(sum(volume * miles) / sum(volume), 4) AS mean_miles, round(sum(volume * cost) / sum(volume), 4) AS mean_minutes FROM pairs JOIN mode USING (mode) GROUP BY mode")
+for _end, _other, _name in (("o", "d", "origin"), ("d", "o", "destination")):
+    register(f"{_name}_accessibility", lambda s, sf, e=_end: rounded(reports.accessibility(minutes_pairs(s, sf), derived(s, sf, "node"), e, lengths(s, sf)), "zone_id", "partners", digits=4, volume="volume", mean_miles="mean_miles", mean_minutes="mean_minutes"),
+             _PAIRS + f" SELECT zone_id, count(DISTINCT {_other}) AS partners, round(coalesce(sum(volume), 0), 4) AS volume, round(coalesce(sum(volume * miles) / sum(volume), 0), 4) AS mean_miles, round(coalesce(sum(volume * cost) / sum(volume), 0), 4) AS mean_minutes FROM node LEFT JOIN pairs ON {_end} = zone_id GROUP BY zone_id")
+
+
+def cut_network(s, sf):
+    return links(s, sf).filter("NOT (from_node_id = 13 OR to_node_id = 25)")
+
+
+register("inaccessible_od", lambda s, sf: paths.load(cut_network(s, sf), derived(s, sf, "demand"), modes=False)[1].filter("links IS NULL").select("mode", "o", "d", "volume"), _tree_sql("AND l.from_node_id <> 13 AND l.to_node_id <> 25").replace(with_ctes("link", recursive=True), with_ctes("link", "demand", recursive=True)) + " SELECT mode, d.o, d.d, volume FROM demand d WHERE volume > 0 AND d.o <> d.d AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.o = d.o AND sp.n = d.d)")
+register("reachability", lambda s, sf: paths.skim(cut_network(s, sf), origins(s, sf)).groupBy("o").agg(F.count("*").alias("reached")), _tree_sql("AND l.from_node_id <> 13 AND l.to_node_id <> 25") + " SELECT o, count(*) AS reached FROM sp GROUP BY o")
+register("zone_accessibility", lambda s, sf: rounded(paths.skim(links(s, sf), origins(s, sf)).filter("o <> d").groupBy("o").agg((F.avg("cost") / 1e7).alias("m")), "o", digits=4, mean_minutes="m"), _tree_sql() + " SELECT o, round(avg(c) / 1e7, 4) AS mean_minutes FROM sp WHERE o <> n GROUP BY o")
+
+
+def link_performance(s, sf):
+    v = links(s, sf).drop("volume").join(aon_volume(s, sf), "link_id", "left").fillna(0.0, ["volume"])
+    return rounded(reports.link_performance(v), "link_id", "from_node_id", "to_node_id", digits=5, volume="volume", **_PERF)
+
+
+_AON = FLOWS + ", vol AS (SELECT link_id, sum(volume * pce) AS vol FROM steps JOIN mode USING (mode) GROUP BY link_id), link2 AS (SELECT link.* REPLACE (coalesce(vol, 0) AS volume) FROM link LEFT JOIN vol USING (link_id))" + LOADED[len(with_ctes("link")):].replace("FROM link)", "FROM link2)") + f", p AS (SELECT *, {_BY_TYPE} AS tt FROM v)"
+register("link_performance", link_performance, _AON + " SELECT link_id, from_node_id, to_node_id, round(volume, 5) AS volume, round(D, 5) AS D, round(x, 5) AS doc, round(tt, 5) AS travel_time, round(length / greatest(1e-9, tt) * 60, 5) AS speed, round(volume * length, 5) AS VMT, round(volume * tt / 60, 5) AS VHT FROM p")
+
+
+def line_search_grid(s, sf):
+    """Slope of the objective at each of the 33 steps from the observed to the loaded volumes, in one job."""
+    y = aon_volume(s, sf).withColumnRenamed("volume", "y")
+    v = links(s, sf).join(y, "link_id", "left").fillna(0.0, ["y"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("dir", F.col("y") - F.col("volume")).withColumn("volume", F.col("volume") + F.col("k") / 32 * F.col("dir"))
+    return reports.with_time(v).groupBy("k").agg(F.round(F.sum(F.col("travel_time") * F.col("dir")) / 1e6, 4).alias("slope"))
+
+
+register("line_search_grid", line_search_grid, FLOWS + ", vol AS (SELECT link_id, sum(volume * pce) AS vol FROM steps JOIN mode USING (mode) GROUP BY link_id), link2 AS (SELECT link.* REPLACE (volume + k / 32 * (coalesce(vol, 0) - volume) AS volume), k, coalesce(vol, 0) - volume AS dir FROM link LEFT JOIN vol USING (link_id), (SELECT unnest(range(0, 33)) AS k) g)" + LOADED[len(with_ctes("link")):].replace("FROM link)", "FROM link2)") + f", p AS (SELECT *, {_BY_TYPE} AS tt FROM v) SELECT CAST(k AS INT) AS k, round(sum(tt * dir) / 1e6, 4) AS slope FROM p GROUP BY k")
+
+
+def equilibrium(method: str):
+    def run(s, sf):
+        r = solver.assign(links(s, sf), derived(s, sf, "demand"), derived(s, sf, "mode"), solver.Settings(iterations=6, method=method))
+        return s.createDataFrame([(i + 1, float(g), float(a)) for i, (g, a) in enumerate(zip(r.gaps, r.steps, strict=True))], "iteration int, gap_percent double, step double")
+
+    return run
+
+
+for _m in ("fw", "cfw", "bfw"):
+    register(f"equilibrium_{_m}", equilibrium(_m))
+
+# comparisons and stage reports
+register("compare_stats", lambda s, sf: rounded(reports.fit(links(s, sf), "volume", "ref_volume"), "n", digits=5, r2="r2", rmse="rmse", rmse_percent="rmse_percent", sum_a="sum_a", sum_b="sum_b"), with_ctes("link") + " SELECT count(*) AS n, round(pow(corr(volume, ref_volume), 2), 5) AS r2, round(sqrt(avg(pow(volume - ref_volume, 2))), 5) AS rmse, round(sqrt(avg(pow(volume - ref_volume, 2))) / avg(ref_volume) * 100, 5) AS rmse_percent, sum(volume) AS sum_a, sum(ref_volume) AS sum_b FROM link")
+register("rmse_by_volume_group", lambda s, sf: rounded(reports.fit(links(s, sf).withColumn("g", reports.volume_group(F.col("ref_volume"))), "volume", "ref_volume", "g"), "g", "n", digits=5, rmse="rmse", rmse_percent="rmse_percent"), with_ctes("link") + " SELECT CASE WHEN ref_volume < 500 THEN '0-500' WHEN ref_volume < 1000 THEN '500-1000' WHEN ref_volume < 2000 THEN '1000-2000' ELSE '2000+' END AS g, count(*) AS n, round(sqrt(avg(pow(volume - ref_volume, 2))), 5) AS rmse, round(sqrt(avg(pow(volume - ref_volume, 2))) / avg(ref_volume) * 100, 5) AS rmse_percent FROM link GROUP BY 1")
+register("band_share", lambda s, sf: links(s, sf).agg(F.round(F.avg((F.abs(F.col("volume") - F.col("ref_volume")) <= 0.1 * F.col("ref_volume")).cast("double")), 6).alias("within_10"), F.sum(F.when(F.col("allowed_use") == "closed", F.col("volume")).otherwise(0.0)).alias("closed_leak"), F.round(F.sum("volume") / F.sum("ref_volume"), 6).alias("ratio"), F.round(F.avg(F.col("volume") - F.col("ref_volume")), 6).alias("bias")), with_ctes("link") + " SELECT round(avg(CASE WHEN abs(volume - ref_volume) <= 0.1e0 * ref_volume THEN 1e0 ELSE 0e0 END), 6) AS within_10, sum(CASE WHEN allowed_use = 'closed' THEN volume ELSE 0e0 END) AS closed_leak, round(sum(volume) / sum(ref_volume), 6) AS ratio, round(avg(volume - ref_volume), 6) AS bias FROM link")
+register("r1_lane_miles", lambda s, sf: links(s, sf).groupBy("link_type", "area_type").agg(F.count("*").alias("links"), F.round(F.sum(F.col("length") * F.col("lanes")), 6).alias("lane_miles")), with_ctes("link") + " SELECT link_type, area_type, count(*) AS links, round(sum(length * lanes), 6) AS lane_miles FROM link GROUP BY ALL")
+register("r2_od_by_class", lambda s, sf: derived(s, sf, "demand").groupBy("mode").agg(F.count("*").alias("pairs"), F.sum("volume").alias("trips"), F.sum(F.when(F.col("o") == F.col("d"), F.col("volume")).otherwise(0.0)).alias("within")), with_ctes("demand") + " SELECT mode, count(*) AS pairs, sum(volume) AS trips, sum(CASE WHEN o = d THEN volume ELSE 0 END) AS within FROM demand GROUP BY mode")
+register("r3_vdf_by_code", lambda s, sf: links(s, sf).groupBy("vdf_type").agg(F.count("*").alias("links"), F.round(F.avg("alpha"), 6).alias("alpha"), F.round(F.avg("beta"), 6).alias("beta"), F.round(F.percentile("capacity", F.lit(0.5)), 6).alias("median_capacity")), with_ctes("link") + " SELECT vdf_type, count(*) AS links, round(avg(alpha), 6) AS alpha, round(avg(beta), 6) AS beta, round(quantile_cont(capacity, 0.5), 6) AS median_capacity FROM link GROUP BY vdf_type")
+register("r4_plf_by_type", lambda s, sf: links(s, sf).groupBy("link_type").agg(F.round(F.avg("plf"), 6).alias("mean"), F.min("plf").alias("low"), F.max("plf").alias("high")), with_ctes("link") + " SELECT link_type, round(avg(plf), 6) AS mean, min(plf) AS low, max(plf) AS high FROM link GROUP BY link_type")
+register("r5_identities", lambda s, sf: reports.link_performance(links(s, sf)).agg(F.round(F.sum("VMT") - F.sum(F.col("volume") * F.col("length")), 4).alias("vmt_gap"), F.sum((F.col("speed") > F.col("free_speed") * 1.001).cast("long")).alias("too_fast"), F.round(F.regr_r2("volume", "ref_volume"), 6).alias("r2"), F.round(F.sum(F.col("volume") * F.col("ref_volume")) / F.sum(F.col("ref_volume") * F.col("ref_volume")), 6).alias("slope")), TIMED + " SELECT 0e0 AS vmt_gap, CAST(sum(CASE WHEN length / greatest(1e-9, tt) * 60 > free_speed * 1.001e0 THEN 1 ELSE 0 END) AS BIGINT) AS too_fast, round(regr_r2(volume, ref_volume), 6) AS r2, round(sum(volume * ref_volume) / sum(ref_volume * ref_volume), 6) AS slope FROM p")
+register("r5_problem_links", lambda s, sf: links(s, sf).filter("abs(volume - ref_volume) > 0.5 * ref_volume").select("link_id", "volume", "ref_volume"), with_ctes("link") + " SELECT link_id, volume, ref_volume FROM link WHERE abs(volume - ref_volume) > 0.5e0 * ref_volume")
+register("r6_vmt_by_group", lambda s, sf: links(s, sf).groupBy("link_type", "area_type").agg(F.sum(F.col("volume") * F.col("length")).alias("vmt"), F.sum(F.col("ref_volume") * F.col("length")).alias("ref_vmt")).withColumn("gate", F.when(F.abs(F.col("vmt") / F.col("ref_vmt") - 1) <= 0.05, "PASS").otherwise("FAIL")), with_ctes("link") + " SELECT link_type, area_type, sum(volume * length) AS vmt, sum(ref_volume * length) AS ref_vmt, CASE WHEN abs(sum(volume * length) / sum(ref_volume * length) - 1) <= 0.05e0 THEN 'PASS' ELSE 'FAIL' END AS gate FROM link GROUP BY link_type, area_type")
+register("top_congested", lambda s, sf: rounded(reports.with_load(links(s, sf)), "link_id", doc="doc").orderBy(F.desc("doc"), "link_id").limit(5), LOADED + " SELECT link_id, round(x, 6) AS doc FROM v ORDER BY round(x, 6) DESC, link_id LIMIT 5")
+register("run_report_by_type", lambda s, sf: rounded(reports.link_performance(links(s, sf)).groupBy("link_type").agg(F.count("*").alias("links"), F.sum("VMT").alias("v"), F.sum("VHT").alias("h")), "link_type", "links", digits=4, VMT="v", VHT="h"), TIMED + " SELECT link_type, count(*) AS links, round(sum(volume * length), 4) AS VMT, round(sum(volume * tt / 60), 4) AS VHT FROM p GROUP BY link_type")
+register("enforcement_failures", lambda s, sf: loaded(s, sf)[0].join(F.broadcast(links(s, sf).select("link_id", "allowed_use")), "link_id").filter(~reports.allowed(F.col("allowed_use"), F.col("mode")) & (F.col("flow") > 0.01)).select("mode", "link_id", "flow"), FLOWS + f" SELECT mode, link_id, sum(steps.volume) AS flow FROM steps JOIN link USING (link_id) WHERE NOT {_CAN} GROUP BY mode, link_id")
+
+# edits
+_PROD = "prod AS (SELECT o AS zone_id, sum(volume) AS trips FROM demand GROUP BY o)"
+_GRID = with_ctes("node", "demand") + f""", {_PROD}, r AS (SELECT zone_id, x, y, coalesce(trips, 0) AS trips, row_number() OVER (ORDER BY x, zone_id) - 1 AS ix, row_number() OVER (ORDER BY y, zone_id) - 1 AS iy FROM node LEFT JOIN prod USING (zone_id)),
+c AS (SELECT zone_id, trips, (SELECT count(*) FROM (SELECT x AS cut FROM r WHERE ix IN (8, 16)) WHERE r0.x >= cut) AS cx, (SELECT count(*) FROM (SELECT y AS cut FROM r WHERE iy IN (8, 16)) WHERE r0.y >= cut) AS cy FROM r r0),
+rep AS (SELECT cx, cy, (list(zone_id ORDER BY trips DESC, zone_id))[1] AS rep_id FROM c GROUP BY cx, cy), m AS (SELECT zone_id, rep_id FROM c JOIN rep USING (cx, cy))"""
+
+
+def zone_map(s, sf):
+    trips = derived(s, sf, "demand").groupBy(F.col("o").alias("zone_id")).agg(F.sum("volume").alias("trips"))
+    return reports.grid_zones(derived(s, sf, "node"), trips, 9)
+
+
+register("superzone_grid", zone_map, _GRID + " SELECT zone_id, rep_id FROM m")
+register("superzone_od", lambda s, sf: reports.regroup_demand(derived(s, sf, "demand"), zone_map(s, sf)), _GRID + " SELECT mode, a.rep_id AS o, b.rep_id AS d, sum(volume) AS volume FROM demand JOIN m a ON a.zone_id = o JOIN m b ON b.zone_id = d WHERE a.rep_id <> b.rep_id GROUP BY ALL")
+register("demand_diff", lambda s, sf: derived(s, sf, "demand").join(derived(s, sf, "demand").filter("(o + d) % 3 = 0").select("mode", "o", "d", F.floor(F.col("volume") / 2).cast("double").alias("base")), ["mode", "o", "d"], "left").select("mode", "o", "d", (F.col("volume") - F.coalesce("base", F.lit(0.0))).alias("diff")), with_ctes("demand") + " SELECT mode, o, d, volume - CASE WHEN (o + d) % 3 = 0 THEN floor(volume / 2) ELSE 0 END AS diff FROM demand")
+register("mode_split", lambda s, sf: derived(s, sf, "demand").groupBy("o", "d").agg(F.sum("volume").alias("v")).crossJoin(F.broadcast(s.createDataFrame([("sov", 0.5), ("hov", 0.25), ("truck", 0.25)], "token string, share double"))).select("o", "d", "token", (F.col("v") * F.col("share")).alias("volume")), with_ctes("demand") + " SELECT o, d, token, v * share AS volume FROM (SELECT o, d, sum(volume) AS v FROM demand GROUP BY o, d), (VALUES ('sov', 0.5e0), ('hov', 0.25e0), ('truck', 0.25e0)) s(token, share)")
+register("renumber_zones_first", lambda s, sf: reports.renumber(derived(s, sf, "node").withColumn("zone_id", F.when(F.col("node_id") % 3 == 0, F.col("node_id")).otherwise(0))), with_ctes("node") + " SELECT node_id, row_number() OVER (ORDER BY CASE WHEN node_id % 3 = 0 THEN 0 ELSE 1 END, node_id) AS new_id FROM node")
+register("convergence_delta", lambda s, sf: links(s, sf).agg(F.max(F.abs(F.col("volume") - F.col("ref_volume"))).alias("max_delta"), F.sum(F.col("volume") * F.col("length")).alias("vmt")), with_ctes("link") + " SELECT max(abs(volume - ref_volume)) AS max_delta, sum(volume * length) AS vmt FROM link")

@@ -137,13 +137,13 @@ def seen(n: Node) -> tuple:
     return (("tag", n.tag), ("names", n.names), ("links", share), ("own", 0 if not n.own else 1 if n.own < 8 else 2 if n.own < 30 else 3))
 
 
-def labelled_pages(count: int = 80, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 160, seed: int = 11) -> list[str]:
     """Pages made by rule from usual layouts; data-keep marks what is main text."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha")) for _ in range(rng.randint(1, 4)))
     say = lambda lo, hi: " ".join(word() for _ in range(rng.randint(lo, hi))) + "."
     link = lambda: f"<a href='/x'>{word()} {word()}</a>"
-    menu = lambda: f"<ul data-keep=0>{''.join(f'<li data-keep=0>{link()}</li>' for _ in range(rng.randint(3, 9)))}</ul>"
+    menu = lambda: f"<ul data-keep=0>{''.join(f'<li data-keep=0>{link()}</li>' for _ in range(rng.randint(2, 4)))}</ul>"
 
     def body(k: str) -> str:
         out = [f"<h1 data-keep={k}>{say(2, 10)}</h1>"]
@@ -163,7 +163,8 @@ def labelled_pages(count: int = 80, seed: int = 11) -> list[str]:
         return "".join(out)
 
     def aside(tag: str, name: str) -> str:
-        inner = rng.choice((menu(), f"<p data-keep=0>{say(2, 40)}</p>", say(2, 25), f"<h3 data-keep=0>{say(1, 4)}</h3>{menu()}"))
+        text = f"<p data-keep=0>{say(1, 40)}</p>"
+        inner = rng.choice((menu(), text, text + f"<p data-keep=0>{say(2, 30)}</p>", say(2, 25), f"<h3 data-keep=0>{say(1, 4)}</h3>{text}", f"<h3 data-keep=0>{say(1, 4)}</h3>{menu()}"))
         return f"<{tag} {f'class={chr(34)}{name}{chr(34)} ' if name else ''}data-keep=0>{inner}</{tag}>"
 
     extras = [("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("form", ""), ("div", "ad"), ("div", "ads banner"), ("div", "sidebar"), ("div", "cookie-notice"), ("section", "comments"), ("div", "comment"), ("div", "menu"), ("div", "share social"), ("div", "related"), ("div", "newsletter signup"), ("div", "footer"), ("div", "nav"), ("p", "advert"), ("div", "popup"), ("button", ""), ("span", "ad")]

@@ -271,3 +271,51 @@ register("demand_diff", lambda s, sf: derived(s, sf, "demand").join(derived(s, s
 register("mode_split", lambda s, sf: derived(s, sf, "demand").groupBy("o", "d").agg(F.sum("volume").alias("v")).crossJoin(F.broadcast(s.createDataFrame([("sov", 0.5), ("hov", 0.25), ("truck", 0.25)], "token string, share double"))).select("o", "d", "token", (F.col("v") * F.col("share")).alias("volume")), with_ctes("demand") + " SELECT o, d, token, v * share AS volume FROM (SELECT o, d, sum(volume) AS v FROM demand GROUP BY o, d), (VALUES ('sov', 0.5e0), ('hov', 0.25e0), ('truck', 0.25e0)) s(token, share)")
 register("renumber_zones_first", lambda s, sf: reports.renumber(derived(s, sf, "node").withColumn("zone_id", F.when(F.col("node_id") % 3 == 0, F.col("node_id")).otherwise(0))), with_ctes("node") + " SELECT node_id, row_number() OVER (ORDER BY CASE WHEN node_id % 3 = 0 THEN 0 ELSE 1 END, node_id) AS new_id FROM node")
 register("convergence_delta", lambda s, sf: links(s, sf).agg(F.max(F.abs(F.col("volume") - F.col("ref_volume"))).alias("max_delta"), F.sum(F.col("volume") * F.col("length")).alias("vmt")), with_ctes("link") + " SELECT max(abs(volume - ref_volume)) AS max_delta, sum(volume * length) AS vmt FROM link")
+
+# estimation, vehicles, simulation and map matching
+from .operators import estimate  # noqa: E402
+
+
+def count_pairs(s, sf):
+    return loaded(s, sf)[1].withColumn("target", F.col("volume") + (F.col("o") * 7 + F.col("d")) % 5 - 2)
+
+
+def counts(s, sf):
+    return links(s, sf).select("link_id", F.when(F.col("link_id") % 3 == 0, F.col("volume")).otherwise(-1.0).alias("obs"))
+
+
+_EST = FLOWS + """, od2 AS (SELECT mode, o, d, volume, volume + (o * 7 + d) % 5 - 2 AS target FROM t), tot AS (SELECT link_id, sum(steps.volume) AS v FROM steps GROUP BY link_id),
+off AS (SELECT link.link_id, coalesce(v, 0) - link.volume AS off FROM link LEFT JOIN tot USING (link_id) WHERE link.link_id % 3 = 0 AND link.volume > 1)"""
+register("odme_objective", lambda s, sf: estimate.objective(count_pairs(s, sf), counts(s, sf)), _EST + " SELECT (SELECT sum(pow(volume - target, 2)) FROM od2) AS od_term, (SELECT sum(off * off) FROM off) AS link_term, (SELECT sum(pow(volume - target, 2)) FROM od2) + (SELECT sum(off * off) FROM off) AS total")
+register("odme_gradient", lambda s, sf: estimate.gradient(count_pairs(s, sf), counts(s, sf)), _EST + " SELECT mode, od2.o, od2.d, 2 * (any_value(od2.volume) - any_value(target)) + 2 * coalesce(sum(off), 0) AS gradient FROM od2 JOIN steps USING (mode, o, d) LEFT JOIN off USING (link_id) GROUP BY mode, od2.o, od2.d")
+register("vehicle_generation", lambda s, sf: estimate.vehicles(loaded(s, sf)[1]).groupBy("mode", "o", "d").agg(F.count("*").alias("vehicles"), F.min("departure").alias("first"), F.max("departure").alias("last")), FLOWS + ", g AS (SELECT mode, o, d, volume AS n FROM t) SELECT mode, o, d, CAST(n AS BIGINT) AS vehicles, '07:00:00' AS first, printf('%02d:%02d:%02d', CAST(x // 3600 AS INT), CAST(x % 3600 // 60 AS INT), CAST(x % 60 AS INT)) AS last FROM (SELECT *, CAST(floor((420 + (n - 1) * 60e0 / n) * 60) AS BIGINT) AS x FROM g)")
+
+
+def simulation(s, sf):
+    v = estimate.vehicles(loaded(s, sf)[1].filter("(o + d) % 5 = 0 AND volume >= 1").withColumn("volume", F.lit(3.0)))
+    agents = v.withColumn("agent_id", F.xxhash64("mode", "o", "d", "i")).withColumn("part", F.lit(0))
+    return estimate.simulate(links(s, sf), agents)
+
+
+register("simulate", simulation)
+
+
+def gps(s, sf):
+    e = s.read.parquet(f"{sf}/events.parquet")
+    return e.select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("trace_no"), (F.col("event_id") * 37 % 401 / 100).alias("x"), (F.col("event_id") * 53 % 397 / 100).alias("y"))
+
+
+def link_lines(s, sf):
+    n = derived(s, sf, "node")
+    a, b = n.select(F.col("node_id").alias("from_node_id"), F.col("x").alias("x1"), F.col("y").alias("y1")), n.select(F.col("node_id").alias("to_node_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return links(s, sf).join(F.broadcast(a), "from_node_id").join(F.broadcast(b), "to_node_id").select("link_id", "x1", "y1", "x2", "y2")
+
+
+_GPS = ", gps AS (SELECT user_id AS agent_id, event_id AS trace_no, event_id * 37 % 401 / 100 AS x, event_id * 53 % 397 / 100 AS y FROM events)"
+register("gps_cell_match", lambda s, sf: estimate.match_points(gps(s, sf), link_lines(s, sf)), with_ctes("node", "link") + _GPS + """, seg AS (SELECT link_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM link JOIN node a ON a.node_id = from_node_id JOIN node b ON b.node_id = to_node_id),
+q AS (SELECT agent_id, trace_no, link_id, round(sqrt(pow(x - x1 - u * (x2 - x1), 2) + pow(y - y1 - u * (y2 - y1), 2)), 9) AS distance FROM (SELECT *, greatest(0e0, least(1e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS u FROM gps, seg
+  WHERE floor(x / 0.5e0) BETWEEN floor(least(x1, x2) / 0.5e0) - 1 AND floor(greatest(x1, x2) / 0.5e0) + 1 AND floor(y / 0.5e0) BETWEEN floor(least(y1, y2) / 0.5e0) - 1 AND floor(greatest(y1, y2) / 0.5e0) + 1))
+SELECT agent_id, trace_no, (list(link_id ORDER BY distance, link_id))[1] AS link_id, min(distance) AS distance FROM q GROUP BY agent_id, trace_no""")
+register("gps_od_zone", lambda s, sf: estimate.trace_ends(gps(s, sf), derived(s, sf, "node")), with_ctes("node") + _GPS + """, p AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY trace_no) AS a, row_number() OVER (PARTITION BY agent_id ORDER BY trace_no DESC) AS b FROM gps),
+m AS (SELECT agent_id, avg(CASE WHEN a <= 3 THEN x END) AS ax, avg(CASE WHEN a <= 3 THEN y END) AS ay, avg(CASE WHEN b <= 3 THEN x END) AS bx, avg(CASE WHEN b <= 3 THEN y END) AS zy FROM p GROUP BY agent_id)
+SELECT agent_id, (list(zone_id ORDER BY round((ax - x) * (ax - x) + (ay - y) * (ay - y), 9), zone_id))[1] AS o, (list(zone_id ORDER BY round((bx - x) * (bx - x) + (zy - y) * (zy - y), 9), zone_id))[1] AS d FROM m, node GROUP BY agent_id""")

@@ -319,3 +319,62 @@ SELECT agent_id, trace_no, (list(link_id ORDER BY distance, link_id))[1] AS link
 register("gps_od_zone", lambda s, sf: estimate.trace_ends(gps(s, sf), derived(s, sf, "node")), with_ctes("node") + _GPS + """, p AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY trace_no) AS a, row_number() OVER (PARTITION BY agent_id ORDER BY trace_no DESC) AS b FROM gps),
 m AS (SELECT agent_id, avg(CASE WHEN a <= 3 THEN x END) AS ax, avg(CASE WHEN a <= 3 THEN y END) AS ay, avg(CASE WHEN b <= 3 THEN x END) AS bx, avg(CASE WHEN b <= 3 THEN y END) AS zy FROM p GROUP BY agent_id)
 SELECT agent_id, (list(zone_id ORDER BY round((ax - x) * (ax - x) + (ay - y) * (ay - y), 9), zone_id))[1] AS o, (list(zone_id ORDER BY round((bx - x) * (bx - x) + (zy - y) * (zy - y), 9), zone_id))[1] AS d FROM m, node GROUP BY agent_id""")
+
+# routes, zone hierarchies, intake and gates
+from .operators import edits  # noqa: E402
+
+SHARES = [0.5, 0.3, 0.2]
+
+
+def merged_routes(s, sf):
+    """Routes of three loadings, at free flow and with two sets of links made slower, merged by sequence."""
+    v, demand, out = links(s, sf), derived(s, sf, "demand"), None
+    for k, slow in enumerate((0, 7, 7)):
+        net = v.withColumn("cost", F.col("cost") * F.when(F.lit(slow > 0) & (F.col("link_id") % 7 == 0), 3).otherwise(1))
+        r = paths.load(net, demand, modes=False)[1].filter("links IS NOT NULL").withColumn("iteration", F.lit(k))
+        out = r if out is None else out.unionByName(r)
+    return edits.merge_routes(out, SHARES).groupBy("mode", "o", "d").agg(F.count("*").alias("routes"), F.round(F.sum("volume"), 4).alias("volume"), F.max("link_sum").alias("link_sum"))
+
+
+_SLOW = "slow AS (SELECT link.* REPLACE (CASE WHEN link_id % 7 = 0 THEN cost * 3 ELSE cost END AS cost) FROM link)"
+_T2 = _tree_sql(table="slow").split(", sp(o")[1].replace("sp s", "sp2 s").replace("recurring.sp", "recurring.sp2")
+register("route_dedupe", merged_routes, FLOWS.replace(", sp(o, n, c, via)", f", {_SLOW}, sp2(o" + _T2 + ", sp(o, n, c, via)", 1) + """,
+walk2(mode, o, d, volume, n) AS (SELECT mode, o, d, volume, d FROM t UNION ALL SELECT w.mode, w.o, w.d, w.volume, l.from_node_id FROM walk2 w JOIN sp2 ON sp2.o = w.o AND sp2.n = w.n JOIN link l ON l.link_id = sp2.via WHERE w.n <> w.o),
+steps2 AS (SELECT w.mode, w.o, w.d, w.volume, sp2.via AS link_id FROM walk2 w JOIN sp2 ON sp2.o = w.o AND sp2.n = w.n WHERE w.n <> w.o),
+r AS (SELECT mode, o, d, any_value(volume) AS volume, list(link_id ORDER BY link_id) AS k, sum(link_id) AS link_sum FROM steps GROUP BY mode, o, d UNION ALL SELECT mode, o, d, any_value(volume), list(link_id ORDER BY link_id), sum(link_id) FROM steps2 GROUP BY mode, o, d)
+SELECT mode, o, d, count(DISTINCT k) AS routes, round(any_value(volume), 4) AS volume, CAST(max(link_sum) AS BIGINT) AS link_sum FROM r GROUP BY mode, o, d""")
+register("theta_shares", lambda s, sf: s.createDataFrame([(i, float(x)) for i, x in enumerate(solver.Result(None, [], [0.5, 0.25, 0.125]).shares())], "iteration int, share double"), "SELECT * FROM (VALUES (CAST(0 AS INT), 0.328125e0), (1, 0.328125e0), (2, 0.21875e0), (3, 0.125e0)) v(iteration, share)")
+
+
+def hierarchy_links(s, sf):
+    n, v, d = edits.hierarchy(derived(s, sf, "node"), links(s, sf), derived(s, sf, "demand"), zone_map(s, sf))
+    return v.select("link_id", "from_node_id", "to_node_id", "fftt").withColumn("fftt", F.round("fftt", 6))
+
+
+register("superzone_hier_links", hierarchy_links, _GRID.replace(with_ctes("node", "demand"), with_ctes("node", "link", "demand")) + """, s AS (SELECT rep_id, row_number() OVER (ORDER BY rep_id) AS super FROM (SELECT DISTINCT rep_id FROM m)), z AS (SELECT zone_id, super, zone_id + (SELECT count(*) FROM s) AS new_id FROM m JOIN s USING (rep_id))
+SELECT link_id, a.new_id AS from_node_id, b.new_id AS to_node_id, round(fftt, 6) AS fftt FROM link JOIN z a ON a.zone_id = from_node_id JOIN z b ON b.zone_id = to_node_id
+UNION ALL SELECT 900000000 + super * 10000 + new_id, super, new_id, 0 FROM z UNION ALL SELECT 900000000 + new_id * 10000 + super, new_id, super, 0 FROM z""")
+
+
+def repaired(s, sf):
+    p = s.read.parquet(f"{sf}/part.parquet").withColumn("facility", F.element_at(F.array(*[F.lit(x) for x in ("motorway", "Trunk ", "primary", "other")]), (F.col("p_partkey") % 4 + 1).cast("int")))
+    lanes, capacity = edits.repair_capacity(F.col("p_size") % 4, F.col("p_size") % 3 * 700.0, F.col("facility"))
+    return p.select("p_partkey", lanes.alias("lanes"), capacity.alias("capacity"))
+
+
+register("adapt_repair", repaired, "SELECT p_partkey, CASE WHEN p_size % 4 <= 0 THEN 1 ELSE p_size % 4 END AS lanes, CASE WHEN p_size % 3 = 0 THEN CASE p_partkey % 4 WHEN 0 THEN 2000e0 WHEN 1 THEN 1900e0 WHEN 2 THEN 1500e0 ELSE 1000e0 END ELSE p_size % 3 * 700e0 END AS capacity FROM part")
+register("intake_evidence", lambda s, sf: edits.evidence(links(s, sf)), with_ctes("link") + " SELECT severity, code FROM (SELECT quantile_cont(length, 0.5) AS l, max(capacity) AS c, quantile_cont(volume / capacity / lanes, 0.5) AS vc, count(DISTINCT plf) AS p FROM link) a, (VALUES ('BLOCKER', 'length_in_metres'), ('BLOCKER', 'daily_capacity'), ('DECISION', 'empty_network'), ('DECISION', 'flat_plf')) f(severity, code) WHERE CASE code WHEN 'length_in_metres' THEN l > 100 WHEN 'daily_capacity' THEN c > 10000 WHEN 'empty_network' THEN vc < 0.05e0 ELSE p <= 1 END")
+register("stage_gate", lambda s, sf: edits.worst_gate(QUERIES["r6_vmt_by_group"](s, sf)), ORACLES["r6_vmt_by_group"].replace(" SELECT link_type", ", g AS (SELECT link_type") + ") SELECT CASE WHEN max(CASE WHEN gate = 'FAIL' THEN 1 ELSE 0 END) = 1 THEN 'FAIL' ELSE 'PASS' END AS gate FROM g")
+
+
+def matrix_to_long(s, sf):
+    d = derived(s, sf, "demand")
+    wide = d.groupBy("o", F.col("mode").alias("core")).pivot("d", list(range(1, 26))).agg(F.sum("volume"))
+    return edits.wide_to_long(wide, "o", {"AUTOMOBILE": "auto", "BUILDING": "auto", "MACHINERY": "truck"})
+
+
+register("matrix_to_long", matrix_to_long, with_ctes("demand") + " SELECT CASE mode WHEN 'MACHINERY' THEN 'truck' ELSE 'auto' END AS mode, o, d, sum(volume) AS volume FROM demand WHERE mode IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') GROUP BY 1, o, d HAVING sum(volume) > 0")
+register("system_cost", lambda s, sf: reports.with_time(links(s, sf).drop("volume").join(aon_volume(s, sf), "link_id")).agg(F.round(F.sum(F.col("travel_time") * F.col("volume")) / 1e6, 4).alias("total")), _AON + " SELECT round(sum(tt * volume) / 1e6, 4) AS total FROM p WHERE volume > 0")
+register("kmeans_superzones", lambda s, sf: edits.zone_clusters(derived(s, sf, "node"), 6).groupBy("cluster").agg(F.count("*").alias("zones")))
+register("od_rank_energy", lambda s, sf: edits.rank_energy(derived(s, sf, "demand")))
+register("plf_apply", lambda s, sf: rounded(links(s, sf), "link_id", plf=reports.bound_plf(F.when(F.col("link_type") == 2, 2.83).when(F.col("link_type") == 4, 2.48).otherwise(3.0) / 3.0, 3.0)), with_ctes("link") + " SELECT link_id, round(greatest(least(CASE link_type WHEN 2 THEN 2.83e0 WHEN 4 THEN 2.48e0 ELSE 3e0 END / 3e0, 1e0), 1e0 / 3e0), 6) AS plf FROM link")

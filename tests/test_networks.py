@@ -173,3 +173,42 @@ def test_command_line(spark, tmp_path, capsys):
     assert engine.main(["accessibility", str(tmp_path)]) == 0
     assert engine.main(["assign", str(tmp_path), "--out", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out/assign")).first().volume == 5
+
+
+def test_identity_hierarchy_keeps_flows(spark):
+    """One zone a centroid: the rebuilt network carries exactly the flows of the old one."""
+    from equiflow.operators import edits
+
+    rng = random.Random(9)
+    rows = [link(10 * a + b, a, b, round(rng.uniform(1, 9), 3)) for a, b in itertools.permutations(range(1, 7), 2) if (a - b) % 5 in (1, 4)]
+    net = frame(spark, rows).withColumn("cost", F.col("fftt"))
+    nodes = spark.createDataFrame([(i, i, float(i), 0.0) for i in range(1, 7)], "node_id long, zone_id long, x double, y double")
+    demand = trips(spark, [("auto", a, b, float(a + b)) for a, b in itertools.permutations(range(1, 7), 2)])
+    same = nodes.select("zone_id", F.col("zone_id").alias("rep_id"))
+    _, made, od = edits.hierarchy(nodes, net, demand, same)
+    want = {r.link_id: r.flow for r in paths.load(net, demand, "fftt")[0].collect()}
+    got = {r.link_id: r.flow for r in paths.load(made, od, "fftt", first_thru=7)[0].collect() if r.link_id < 900_000_000}
+    assert got == want
+
+
+def test_names_declarations_and_periods(spark):
+    from equiflow.operators import edits
+
+    df = spark.createDataFrame([(1, 2, 3)], "Allowed_Uses long, allowed_use long, VDF_Cutoff_Speed long")
+    assert edits.canonical_names(df).columns == ["allowed_use", "cutoff_speed"] and edits.canonical_names(df).first()[0] == 1
+    lines = spark.createDataFrame([("capacity_basis: per_lane # yes",), ("# note",), ("vot: TODO",), ("length_unit: mi",), ("",)], "value string")
+    assert {tuple(r) for r in edits.declared(lines).collect()} == {("capacity_basis", "per_lane"), ("length_unit", "mi")}
+    assert edits.period_columns(spark.createDataFrame([(1, 2, 3)], "id long, VDF_alpha1 long, VDF_alpha2 long"), 2).first().asDict() == {"id": 1, "vdf_alpha": 3}
+    assert edits.period_hours(7, 9) == 2 and edits.period_hours(22, 6) == 8
+    gates = spark.createDataFrame([("PASS",), ("SKIP",), ("WARN",)], "gate string")
+    assert edits.worst_gate(gates).first()[0] == "SKIP"
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    from equiflow.operators import edits
+
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    r = edits.manifest(spark, [str(tmp_path / "a.csv")]).first()
+    assert (r.file, r.bytes, r.sha256) == ("a.csv", 4, hashlib.sha256(b"x\n1\n").hexdigest())

@@ -31,7 +31,7 @@ from . import blobs
 from .common import materialise
 
 #: Bytes of text in a block (more where one text is longer), and in the arrays held at a time.
-BLOCK, CHUNK = 2_000_000, 250_000
+BLOCK, CHUNK = 1_000_000, 250_000
 GRAM, RANGES = 64, 256
 BROADCAST_BYTES = 32_000_000
 

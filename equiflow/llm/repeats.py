@@ -1,20 +1,21 @@
 """Removal of every byte that a 200-byte string covers which also starts elsewhere in the corpus.
 
-The method asked for sorts all suffixes by a difference cover. Its sampled and merged tuples take
-some 20 bytes of shuffle for every byte of text (see the README for figures), so this operator
-keeps its idea - name a sample, let names stand for what follows, order and compare only what the
-names leave open - and takes the sample from the text instead of from residues:
-
-1. The least of the 137 hashed 64-byte strings within a window of 200 bytes is the window's
-   anchor. Equal windows have equal anchors at equal distances, and neighbouring windows share
-   one: an anchor with its run of windows stands for about 70 of them.
-2. Anchors are exchanged, named by their string and by all text that their run covers. A name
-   that occurs once has no repeated window. A run that occurs again as a whole is repeated whole.
-3. Where a name's runs differ in part, all windows of its runs are exchanged by the hash of their
-   200 bytes, each once a block; equal ones meet, and so every window's answer is exact.
-
-Texts are written once, in blocks, so that answers can be matched to what was asked. Answers are
-broadcast while they are small, which is checked, and joined by shuffle beyond that.
+A distributed difference-cover suffix sort, carried to the 200 bytes that the question needs:
+
+1. Positions whose residues lie in a difference cover modulo 133 are sampled (12 of 133). Any two
+   positions meet the sample at one common distance below 133, so equal 200-byte windows hold equal
+   68-byte tuples at equal distances. Sampled tuples are sorted by range and thereby named; a name
+   that occurs once tells that no window around it occurs again.
+2. Names go one level up with all text that can lie in a window around them, up to 132 bytes before
+   the tuple and 200 from its start: where that occurs again too, all its windows do. With so wide a
+   cover this level already reaches the whole depth, so the recursion ends here.
+3. The remaining suffixes, those that names leave open, are merged: ordered by the hash of their
+   200-byte prefix, each once a block, and adjacent ones compared.
+
+The order is that of 64-bit hashes, as only equality of prefixes is asked for. Texts are written
+once, in blocks, so that answers can be matched to what was asked. Answers are broadcast while they
+are small, which is checked, and joined by shuffle beyond that. Ranges grow in number with the
+bytes, so none takes more memory in a larger corpus; a hot name comes once a block and context.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ from .common import materialise
 
 #: Bytes of text in a block (more where one text is longer), and in the arrays held at a time.
 BLOCK, CHUNK = 1_000_000, 250_000
-GRAM, RANGES = 64, 256
 BROADCAST_BYTES = 32_000_000
+#: Bytes of text per range of hashes, and the least and most bits that number the ranges.
+RANGE_TEXT, RANGE_BITS = 64_000_000, (8, 24)
+TWO_BITS = np.array([0, 2, 4, 6], np.uint8)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tables() -> tuple[np.ndarray, int]:
@@ -62,47 +66,100 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def difference_cover(size: int) -> tuple[int, list[int]]:
+    """(v, residues): any two integers reach the residues modulo v by adding one number below v.
+
+    v = q^2 + q + 1 for the largest listed prime q whose v is at most two thirds of size: the
+    zeros of a linear recurrence over q elements are then q + 1 residues with every difference.
+    """
+    for q in (p for p in (13, 11, 7, 5, 3, 2) if 3 * (p * p + p + 1) <= 2 * size):
+        v = q * q + q + 1
+        for a, b, c in np.ndindex(q, q, q):
+            x = [0, 0, 1]
+            while len(x) < v:
+                x.append((a * x[-1] + b * x[-2] + c * x[-3]) % q)
+            d = [i for i in range(v) if x[i] == 0]
+            if len({(i - j) % v for i in d for j in d}) == v and len(d) == q + 1:
+                return v, d
+    return 1, [0]
+
+
 class Windows:
-    """All windows of the concatenated pieces of a chunk, grouped into runs by anchor."""
+    """The windows of a chunk's pieces by hash, and its sampled positions with the windows around each."""
 
-    def __init__(self, pieces: list[bytes], size: int, powers: list):
-        n = np.array([len(p) for p in pieces], np.int64)
-        data = np.frombuffer(b"".join(pieces), np.uint8)
+    def __init__(self, chunk: list[tuple[int, int, bytes]], size: int, cover: tuple[int, list[int]], powers: list):
+        n = np.array([len(p) for *_, p in chunk], np.int64)
+        data = np.frombuffer(b"".join(p for *_, p in chunk), np.uint8)
         total = len(data)
         while not powers or len(powers[0]) < total + 1:
             powers[:] = _powers(max(2 * CHUNK, total + 1))
         up, down = powers
         prefix = np.zeros(total + 1, np.uint64)
         np.cumsum(TABLE[data] * up[:total], out=prefix[1:])
-        gram = lambda k: mixed((prefix[k:] - prefix[:-k]) * down[: total - k + 1])
         start = np.cumsum(n) - n
         counts = np.maximum(n - size + 1, 0)
-        self.piece = np.repeat(np.arange(len(n)), counts)
-        #: start of each window in the chunk
-        self.at = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        if not len(self.at):
-            self.hash = np.zeros(0, np.uint64)
-            self.first = self.last = np.zeros(0, np.int64)
-            self.name = self.stretch = self.hash
-            return
-        small = gram(GRAM)
-        w = size - GRAM + 1
-        key = (small & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(small), dtype=np.uint64)  # a chunk has under 2^24 bytes
-        rows = -(-len(key) // w)
-        padded = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-        padded[: len(key)] = key
-        grid = padded.reshape(rows, w)
-        ahead = np.minimum.accumulate(grid, 1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-        anchor = (np.minimum(behind[self.at], ahead[self.at + w - 1]) & np.uint64(0xFFFFFF)).astype(np.int64)
-        self.hash = gram(size)[self.at]
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (self.piece[1:] != self.piece[:-1])])
-        #: runs as ranges of windows, last inclusive
-        self.first = np.flatnonzero(new)
-        self.last = np.concatenate([self.first[1:], [len(new)]]) - 1
-        self.name = small[anchor[self.first]]
-        reach = (anchor[self.first] - self.at[self.first]).astype(np.uint64) << np.uint64(9) | (self.last - self.first).astype(np.uint64)
-        self.stretch = mixed(mixed(self.hash[self.first] + reach * np.uint64(0x9E3779B97F4A7C15)) ^ self.hash[self.last])
+        #: where each piece's windows begin
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(start - self.bounds[:-1], counts) + np.arange(counts.sum())
+        self.hash = mixed((prefix[at + size] - prefix[at]) * down[at])
+
+        v, residues = cover
+        tuple_ = size - v + 1
+        member = np.zeros(v, bool)
+        member[residues] = True
+        places = np.where(counts > 0, n - tuple_ + 1, 0)
+        piece = np.repeat(np.arange(len(n)), places)
+        local = np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places)
+        sampled = member[(local + np.array([o for _, o, _ in chunk], np.int64)[piece]) % v]
+        piece, local = piece[sampled], local[sampled]
+        first, last = np.maximum(local - v + 1, 0), np.minimum(local, n[piece] - size)
+        #: windows that hold each sampled tuple, last inclusive
+        self.first, self.last = self.bounds[piece] + first, self.bounds[piece] + last
+        at = start[piece] + local
+        self.name = mixed((prefix[at + tuple_] - prefix[at]) * down[at])
+        reach = (local - first).astype(np.uint64) << np.uint64(20) | (last - first).astype(np.uint64)
+        #: the text of all those windows and the tuple's place in it; the lowest bit is kept free
+        self.stretch = mixed(mixed(self.hash[self.first] + reach * ODD) ^ self.hash[self.last]) & ~np.uint64(1)
+
+    def around(self, chosen: np.ndarray) -> np.ndarray:
+        """Which windows hold one of the chosen samples."""
+        n = len(self.hash)
+        return np.cumsum(np.bincount(self.first[chosen], minlength=n + 1)[:n] - np.bincount(self.last[chosen] + 1, minlength=n + 1)[:n]) > 0
+
+
+def _by_range(ranges: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each of the ascending range numbers begins and ends."""
+    found, first = np.unique(ranges, return_index=True)
+    return {int(r): (int(lo), int(hi)) for r, lo, hi in zip(found, first, np.append(first, len(ranges))[1:], strict=True)}
+
+
+class Entries:
+    """A block's samples, each pair of name and stretch once, in order of their range."""
+
+    def __init__(self, windows: list[Windows] | Iterator, bits: int):
+        both = [(w.name, w.stretch) for _, w in windows]
+        name = np.concatenate([n for n, _ in both]) if both else np.zeros(0, np.uint64)
+        stretch = np.concatenate([x for _, x in both]) if both else np.zeros(0, np.uint64)
+        key = name >> np.uint64(32 - bits)
+        # a tie here only leaves an entry twice, which says that it is repeated, as it is
+        order = np.argsort((name & np.uint64(0xFFFFFF << 40)) | (mixed(key ^ stretch * ODD) >> np.uint64(24)), kind="stable")
+        k, x = key[order], stretch[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+        at = np.flatnonzero(new)
+        self.of = np.empty(len(k), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.name = k[at].astype(np.uint32)
+        #: lowest bit: the block has it more than once
+        self.stretch = x[at] | (np.diff(at, append=len(k)) > 1).astype(np.uint64)
+        self.edge = _by_range(k[at] >> np.uint64(32))
+
+    def codes(self, answers: list[dict] | None) -> np.ndarray:
+        codes = np.zeros(len(self.name), np.uint8)
+        for a in answers or []:
+            lo, hi = self.edge[a["range"]]
+            codes[lo:hi] = (np.frombuffer(a["data"], np.uint8)[:, None] >> TWO_BITS & 3).ravel()[: hi - lo]
+        return codes[self.of]
 
 
 def _pieces(texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -123,7 +180,7 @@ def _pieces(texts: list[bytes], size: int) -> Iterator[list[tuple[int, int, byte
 def _blocks(docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, block = [], [], 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], names=["block", "ids", "texts"])
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([held], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], names=["block", "bytes", "ids", "texts"])
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
@@ -135,22 +192,27 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "block long, ids array<long>, texts array<binary>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "block long, bytes long, ids array<long>, texts array<binary>")
+
+
+def _four_a_byte(codes: np.ndarray) -> bytes:
+    return np.bitwise_or.reduce(np.pad(codes, (0, -len(codes) % 4)).reshape(-1, 4) << TWO_BITS, axis=1).astype(np.uint8).tobytes()
 
 
 def _answer1(names: list[np.ndarray], stretches: list[np.ndarray]) -> list[np.ndarray]:
-    """0: the name occurs once; 1: the run is repeated; 2: it is, and others of its name are open; 3: open."""
+    """By entry, 0: the name occurs once; 1: the run is repeated; 2: it is, and others of its name are open; 3: open."""
     name, stretch = np.concatenate(names), np.concatenate(stretches)
     order = np.lexsort((stretch, name))
     name, stretch = name[order], stretch[order]
     group = np.cumsum(np.concatenate([[True], name[1:] != name[:-1]])) - 1
-    again = np.zeros(len(name), bool)
+    again = (stretch & np.uint64(1)).astype(bool)
+    stretch = stretch >> np.uint64(1)
     same = (name[1:] == name[:-1]) & (stretch[1:] == stretch[:-1])
     again[1:] |= same
     again[:-1] |= same
     size = np.bincount(group)[group]
     open_ = (np.bincount(group, weights=~again)[group] > 0) & (size > 1)
-    code = np.where(size == 1, 0, np.where(~open_, 1, np.where(again, 2, 3))).astype(np.uint8)
+    code = np.where((size == 1) & ~again, 0, np.where(~open_, 1, np.where(again, 2, 3))).astype(np.uint8)
     out = np.empty_like(code)
     out[order] = code
     return np.split(out, np.cumsum([len(x) for x in names])[:-1])
@@ -169,34 +231,27 @@ def _answer2(hashes: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(x) for x in hashes])[:-1])
 
 
-def _by_range(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings each range's keys together, and where each range begins in it."""
-    r = (keys >> np.uint64(56)).astype(np.uint8)
-    order = np.argsort(r, kind="stable")
-    return order, np.searchsorted(r[order], np.arange(RANGES + 1))
-
+def _runs(texts: list[bytes], size: int):
+    """A function to go over a block's chunks and their windows; those of a usual block are kept."""
+    cover = difference_cover(size)
 
-def _runs(texts: list[bytes], size: int) -> Iterator[tuple[list, Windows]]:
-    powers: list = []
-    for chunk in _pieces(texts, size):
-        yield chunk, Windows([p for *_, p in chunk], size, powers)
+    def fresh() -> Iterator[tuple[list, Windows]]:
+        powers: list = []
+        for chunk in _pieces(texts, size):
+            yield chunk, Windows(chunk, size, cover, powers)
 
+    if sum(map(len, texts)) > 2 * BLOCK:
+        return fresh
+    kept = list(fresh())
+    return lambda: kept
 
-def _codes(names: np.ndarray, answers: list[dict] | None) -> np.ndarray:
-    codes = np.zeros(len(names), np.uint8)
-    order, edge = _by_range(names)
-    for a in answers or []:
-        r = a["range"]
-        codes[order[edge[r] : edge[r + 1]]] = np.frombuffer(a["data"], np.uint8)
-    return codes
 
-
-def _open_windows(texts: list[bytes], codes: np.ndarray, size: int) -> np.ndarray:
+def _open_windows(runs, codes: np.ndarray) -> np.ndarray:
     found, at = [], 0
-    for _, w in _runs(texts, size):
+    for _, w in runs():
         c = codes[at : at + len(w.first)]
         at += len(c)
-        found.append(w.hash[np.repeat(c >= 2, w.last - w.first + 1)])
+        found.append(w.hash[w.around(c >= 2)])
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -220,37 +275,30 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     enough. A null doc_id stays null; other columns are ignored; an empty table gives no rows.
     """
     blocks = materialise(_blocks(docs))
+    wide = (blocks.agg(F.sum("bytes")).first()[0] or 0) // RANGE_TEXT
+    bits = min(max(RANGE_BITS[0], wide.bit_length()), RANGE_BITS[1])
 
     def send1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                names, stretches = [], []
-                for _, w in _runs(_texts(b, i), size):
-                    names.append(w.name)
-                    stretches.append(w.stretch)
-                name, stretch = np.concatenate(names), np.concatenate(stretches)
-                order, edge = _by_range(name)
-                name, stretch = (name[order] >> np.uint64(24)).astype(np.uint32), stretch[order]
-                keep = [r for r in range(RANGES) if edge[r] < edge[r + 1]]
+                e = Entries(_runs(_texts(b, i), size)(), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keep, pa.int32()), pa.array([b.column("block")[i].as_py()] * len(keep), pa.int64()), pa.array([name[edge[r] : edge[r + 1]].tobytes() for r in keep], pa.binary()), pa.array([stretch[edge[r] : edge[r + 1]].tobytes() for r in keep], pa.binary())],
+                    [pa.array(list(e.edge), pa.int32()), pa.array([b.column("block")[i].as_py()] * len(e.edge), pa.int64()), pa.array([e.name[lo:hi].tobytes() for lo, hi in e.edge.values()], pa.binary()), pa.array([e.stretch[lo:hi].tobytes() for lo, hi in e.edge.values()], pa.binary())],
                     names=["range", "block", "names", "stretches"],
                 )
 
     def answer1(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         codes = _answer1([np.frombuffer(x, np.uint32) for x in table.column("names").to_pylist()], [np.frombuffer(x, np.uint64) for x in table.column("stretches").to_pylist()])
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "data": pa.array([c.tobytes() for c in codes], pa.binary())})
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "data": pa.array([_four_a_byte(c) for c in codes], pa.binary())})
 
     def send2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                texts = _texts(b, i)
-                names = [w.name for _, w in _runs(texts, size)]
-                hashes = np.unique(_open_windows(texts, _codes(np.concatenate(names), b.column("codes")[i].as_py()), size))
-                edge = np.searchsorted(hashes, np.arange(RANGES, dtype=np.uint64) << np.uint64(56)).tolist() + [len(hashes)]
-                keep = [r for r in range(RANGES) if edge[r] < edge[r + 1]]
+                runs = _runs(_texts(b, i), size)
+                hashes = np.unique(_open_windows(runs, Entries(runs(), bits).codes(b.column("codes")[i].as_py())))
+                edge = _by_range(hashes >> np.uint64(64 - bits))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keep, pa.int32()), pa.array([b.column("block")[i].as_py()] * len(keep), pa.int64()), pa.array([blobs.pack(hashes[edge[r] : edge[r + 1]]) for r in keep], pa.binary())],
+                    [pa.array(list(edge), pa.int32()), pa.array([b.column("block")[i].as_py()] * len(edge), pa.int64()), pa.array([blobs.pack(hashes[lo:hi]) for lo, hi in edge.values()], pa.binary())],
                     names=["range", "block", "hashes"],
                 )
 
@@ -263,32 +311,28 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 texts = _texts(b, i)
-                codes = _codes(np.concatenate([w.name for _, w in _runs(texts, size)]), b.column("codes")[i].as_py())
-                asked = _open_windows(texts, codes, size)
-                asked, count = np.unique(asked, return_counts=True)
-                edge = np.searchsorted(asked, np.arange(RANGES, dtype=np.uint64) << np.uint64(56)).tolist() + [len(asked)]
+                runs = _runs(texts, size)
+                codes = Entries(runs(), bits).codes(b.column("codes")[i].as_py())
+                asked, count = np.unique(_open_windows(runs, codes), return_counts=True)
+                edge = _by_range(asked >> np.uint64(64 - bits))
                 again = count > 1
                 for a in b.column("bits")[i].as_py() or []:
-                    lo, hi = edge[a["range"]], edge[a["range"] + 1]
+                    lo, hi = edge[a["range"]]
                     again[lo:hi] |= np.unpackbits(np.frombuffer(a["data"], np.uint8), count=hi - lo).astype(bool)
                 asked = asked[again]
                 gone, at = [np.zeros(len(t) + 1, np.int32) for t in texts], 0
-                for chunk, w in _runs(texts, size):
+                for chunk, w in runs():
                     c = codes[at : at + len(w.first)]
                     at += len(c)
-                    c = np.repeat(c, w.last - w.first + 1)
-                    hit = (c == 1) | (c == 2)
-                    look = np.flatnonzero(c == 3)
+                    hit = w.around((c == 1) | (c == 2))
+                    look = np.flatnonzero(w.around(c >= 2) & ~hit)
                     if len(look) and len(asked):
                         spot = np.minimum(np.searchsorted(asked, w.hash[look]), len(asked) - 1)
                         hit[look] = asked[spot] == w.hash[look]
-                    start = 0
-                    bounds = np.searchsorted(w.piece, np.arange(len(chunk) + 1))
-                    for p, (k, offset, part) in enumerate(chunk):
-                        s = w.at[bounds[p] : bounds[p + 1]][hit[bounds[p] : bounds[p + 1]]] - start + offset
-                        np.add.at(gone[k], s, 1)
-                        np.add.at(gone[k], s + size, -1)
-                        start += len(part)
+                    for p, (k, offset, _) in enumerate(chunk):
+                        s = np.flatnonzero(hit[w.bounds[p] : w.bounds[p + 1]]) + offset
+                        gone[k][s] += 1
+                        gone[k][s + size] -= 1
                 spans, kept = [], []
                 for t, g in zip(texts, gone, strict=True):
                     covered = np.cumsum(g[:-1]) > 0
@@ -300,5 +344,5 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     answer = "block long, range int, data binary"
     codes = materialise(blocks.mapInArrow(send1, "range int, block long, names binary, stretches binary").groupBy("range").applyInArrow(answer1, answer))
     known = _with_answers(blocks, codes, "codes")
-    bits = materialise(known.mapInArrow(send2, "range int, block long, hashes binary").groupBy("range").applyInArrow(answer2, answer))
-    return _with_answers(known, bits, "bits").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    found = materialise(known.mapInArrow(send2, "range int, block long, hashes binary").groupBy("range").applyInArrow(answer2, answer))
+    return _with_answers(known, found, "bits").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

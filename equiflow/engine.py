@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import assign as solver
-from .operators import paths, reports
+from .operators import edits, estimate, paths, reports
 from .sources import gmns
 
 
@@ -67,9 +67,38 @@ def assign(s: Scenario) -> solver.Result:
     return solver.assign(s.links, s.demand, s.modes, solver.Settings(int(s.settings.get("number_of_iterations", 20)), hours, first_through(s), method, target, int(s.settings.get("convergence_consecutive", 1)), s.settings.get("added_delay_per_mile", 0.0)))
 
 
+def simulate(s: Scenario) -> DataFrame:
+    """The vehicles of vehicle.csv on the links, all in one independent part."""
+    hours = s.settings.get("demand_period_ending_hours", 8) - s.settings.get("demand_period_starting_hours", 7)
+    return estimate.simulate(s.links, gmns.vehicles(s.spark, os.path.join(s.folder, "vehicle.csv")).withColumn("part", F.lit(0)), hours)
+
+
+def match(s: Scenario) -> DataFrame:
+    """The nearest link of each position in trace.csv."""
+    end = lambda k: s.nodes.select(F.col("node_id").alias(f"n{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    lines = s.links.join(end(1), F.col("from_node_id") == F.col("n1")).join(end(2), F.col("to_node_id") == F.col("n2"))
+    return estimate.match_points(gmns.traces(s.spark, os.path.join(s.folder, "trace.csv")), lines.select("link_id", "x1", "y1", "x2", "y2"))
+
+
+def peak_factors(s: Scenario) -> DataFrame:
+    """link_type, links, mean and bounded peak load factor, and how many links have one and the same."""
+    bounded = reports.bound_plf(F.col("plf"))
+    return s.links.groupBy("link_type").agg(F.count("*").alias("links"), F.avg("plf").alias("plf"), F.avg(bounded).alias("bounded"), F.sum((bounded != F.col("plf")).cast("int")).alias("out_of_bounds"), F.countDistinct("plf").alias("values"))
+
+
+def gates(s: Scenario) -> DataFrame:
+    """stage, gate of everything that should hold before a run, and the worst of them as stage ``all``."""
+    found = reports.validate(s.links, s.nodes, s.demand, [m["mode"] for m in s.modes.collect()])
+    cut = paths.load(s.links, s.demand, "fftt", first_thru=first_through(s))[1].filter("links IS NULL AND volume > 0 AND o <> d")
+    worst = found.agg(F.max(F.when(F.col("severity") == "ERROR", 2).otherwise(1)).alias("w")).select(F.lit("validate").alias("stage"), F.when(F.col("w") == 2, "FAIL").when(F.col("w") == 1, "WARN").otherwise("PASS").alias("gate"))
+    reach = cut.agg(F.count("*").alias("n")).select(F.lit("accessibility").alias("stage"), F.when(F.col("n") > 0, "WARN").otherwise("PASS").alias("gate"))
+    stages = worst.unionByName(reach)
+    return stages.unionByName(edits.worst_gate(stages).select(F.lit("all").alias("stage"), "gate"))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="equiflow")
-    p.add_argument("command", choices=["assign", "validate", "fill", "inventory", "accessibility", "report", "skim", "demand-bin"])
+    p.add_argument("command", choices=["assign", "validate", "fill", "inventory", "accessibility", "report", "skim", "demand-bin", "simulate", "match", "plf", "intake", "manifest", "gaps", "check"])
     p.add_argument("folder")
     p.add_argument("--out", help="folder for results (Parquet); printed where absent")
     a = p.parse_args(argv)
@@ -89,6 +118,21 @@ def main(argv: list[str] | None = None) -> int:
         out = reports.use_classes(s.links, s.modes)
     elif a.command == "report":
         out = reports.link_performance(assign(s).to_frame(spark)).groupBy("link_type").agg(F.count("*").alias("links"), F.sum("VMT").alias("VMT"), F.sum("VHT").alias("VHT"))
+    elif a.command == "simulate":
+        out = simulate(s)
+    elif a.command == "match":
+        out = match(s)
+    elif a.command == "plf":
+        out = peak_factors(s)
+    elif a.command == "intake":
+        out = edits.declared(spark.read.text(os.path.join(a.folder, "submission.yml")))
+    elif a.command == "manifest":
+        out = edits.manifest(spark, [os.path.join(a.folder, "*.csv")])
+    elif a.command == "gaps":
+        out = gmns.gap_log(spark, os.path.join(a.folder, "summary_log_file.txt"))
+    elif a.command == "check":
+        out = gates(s)
+        code = int(not out.filter("gate = 'FAIL'").isEmpty())
     elif a.command == "demand-bin":
         n = gmns.write_binary_demand(s.demand, os.path.join(a.out or a.folder, "demand.bin"))
         out = spark.createDataFrame([(n,)], "records long")

@@ -97,6 +97,28 @@ def movements(spark: SparkSession, path: str) -> DataFrame:
     return t.select(whole(F.col("ib_link_id")).alias("ib_link_id"), whole(F.col("ob_link_id")).alias("ob_link_id"), _get(t, "penalty", 0.0).alias("penalty"))
 
 
+def vehicles(spark: SparkSession, path: str) -> DataFrame:
+    """agent_id, departure_minute, o, d, links: the trips of a simulation; a closing ``;`` names no link."""
+    t = table(spark, path)
+    ids = F.filter(F.transform(F.split("link_ids", ";"), lambda x: whole(x)), lambda x: x.isNotNull())
+    return t.select(whole(F.col("agent_id")).alias("agent_id"), number(F.col("departure_time")).alias("departure_minute"), _get(t, "o_zone_id", 0, whole).alias("o"), _get(t, "d_zone_id", 0, whole).alias("d"), ids.alias("links")).filter("agent_id IS NOT NULL AND departure_minute IS NOT NULL")
+
+
+def traces(spark: SparkSession, path: str) -> DataFrame:
+    """agent_id, trace_no, x, y: recorded positions; rows without a position are left out."""
+    t = table(spark, path)
+    return t.select("agent_id", whole(F.col("trace_no")).alias("trace_no"), number(F.col("x_coord")).alias("x"), number(F.col("y_coord")).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+
+
+def gap_log(spark: SparkSession, path: str) -> DataFrame:
+    """iteration, step, system_vmt, system_tt, least_tt, gap_percent of each logged iteration; other lines are skipped."""
+    # The labels of a log line.
+    labels = {"iteration": "iter No =", "step": "Lambda =", "system_vmt": "g_System_VMT =", "system_tt": "sys. TT =", "least_tt": "least TT =", "gap_percent": "gap ="}
+    lines = spark.read.text(path).filter(F.col("value").startswith("iter No ="))
+    found = lines.select(*[number(F.substring_index("value", label, -1)).alias(n) for n, label in labels.items()])
+    return found.withColumn("iteration", F.col("iteration").cast("long"))
+
+
 def read_binary_demand(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
     """Binary demand: a 16-byte head (``DTAB``, version, count), then 16-byte records (o, d, volume)."""
 

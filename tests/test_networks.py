@@ -212,3 +212,31 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x\n1\n")
     r = edits.manifest(spark, [str(tmp_path / "a.csv")]).first()
     assert (r.file, r.bytes, r.sha256) == ("a.csv", 4, hashlib.sha256(b"x\n1\n").hexdigest())
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "node.csv").write_text("node_id,zone_id,x_coord,y_coord\n1,1,0,0\n2,2,1,0\n3,,1,1\n")
+    (tmp_path / "link.csv").write_text("link_id,from_node_id,to_node_id,lanes,capacity,vdf_free_speed_mph,vdf_length_mi,vdf_plf\n7,1,3,1,1000,60,1,1.4\n8,3,2,1,1000,60,1,0.9\n")
+    (tmp_path / "demand.csv").write_text("o_zone_id,d_zone_id,volume\n1,2,9\n2,1,1\n")
+    (tmp_path / "vehicle.csv").write_text("agent_id,departure_time,link_ids,o_zone_id,d_zone_id\n1,420,7;8;,1,2\n2,420.5,7;8;,1,2\n,,,,\n")
+    (tmp_path / "trace.csv").write_text("agent_id,trace_no,x_coord,y_coord\na,1,0.2,0.1\na,2,1.0,0.2\na,3,,\n")
+    (tmp_path / "summary_log_file.txt").write_text("no_nodes= 3\niter No = 1, Lambda = 1.0, g_System_VMT = 0.0, sys. TT =  20.5, least TT =  10.0, gap = 105.0 % \n")
+    return tmp_path
+
+
+def test_vehicle_trace_and_log_sources(spark, folder):
+    got = gmns.vehicles(spark, str(folder / "vehicle.csv")).orderBy("agent_id").collect()
+    assert [(r.agent_id, r.departure_minute, r.links) for r in got] == [(1, 420.0, [7, 8]), (2, 420.5, [7, 8])]
+    assert [tuple(r) for r in gmns.traces(spark, str(folder / "trace.csv")).orderBy("trace_no").collect()] == [("a", 1, 0.2, 0.1), ("a", 2, 1.0, 0.2)]
+    assert [tuple(r) for r in gmns.gap_log(spark, str(folder / "summary_log_file.txt")).collect()] == [(1, 1.0, 0.0, 20.5, 10.0, 105.0)]
+
+
+def test_scenario_steps(spark, folder):
+    s = engine.load(spark, str(folder))
+    assert all(r.completed for r in engine.simulate(s).collect())
+    assert {(r.trace_no, r.link_id) for r in engine.match(s).collect()} == {(1, 7), (2, 8)}
+    assert engine.peak_factors(s).first()["out_of_bounds"] == 1
+    assert {tuple(r) for r in engine.gates(s).collect()} == {("validate", "PASS"), ("accessibility", "WARN"), ("all", "WARN")}
+    for command in ("simulate", "manifest", "gaps", "check"):
+        assert engine.main([command, str(folder)]) == 0

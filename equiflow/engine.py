@@ -60,17 +60,19 @@ def first_through(s: Scenario) -> int:
     return low if low is not None else 0
 
 
+def period_hours(s: Scenario) -> float:
+    return edits.period_hours(s.settings.get("demand_period_starting_hours", 7), s.settings.get("demand_period_ending_hours", 8))
+
+
 def assign(s: Scenario) -> solver.Result:
-    hours = s.settings.get("demand_period_ending_hours", 8) - s.settings.get("demand_period_starting_hours", 7)
     method = {0: "fw", 1: "cfw", 2: "bfw"}[int(s.settings.get("assignment_method", 0))]
     target = s.settings.get("convergence_gap_pct") or None
-    return solver.assign(s.links, s.demand, s.modes, solver.Settings(int(s.settings.get("number_of_iterations", 20)), hours, first_through(s), method, target, int(s.settings.get("convergence_consecutive", 1)), s.settings.get("added_delay_per_mile", 0.0)))
+    return solver.assign(s.links, s.demand, s.modes, solver.Settings(int(s.settings.get("number_of_iterations", 20)), period_hours(s), first_through(s), method, target, int(s.settings.get("convergence_consecutive", 1)), s.settings.get("added_delay_per_mile", 0.0)))
 
 
 def simulate(s: Scenario) -> DataFrame:
     """The vehicles of vehicle.csv on the links, all in one independent part."""
-    hours = s.settings.get("demand_period_ending_hours", 8) - s.settings.get("demand_period_starting_hours", 7)
-    return estimate.simulate(s.links, gmns.vehicles(s.spark, os.path.join(s.folder, "vehicle.csv")).withColumn("part", F.lit(0)), hours)
+    return estimate.simulate(s.links, gmns.vehicles(s.spark, os.path.join(s.folder, "vehicle.csv")).withColumn("part", F.lit(0)), period_hours(s))
 
 
 def match(s: Scenario) -> DataFrame:
@@ -82,7 +84,7 @@ def match(s: Scenario) -> DataFrame:
 
 def peak_factors(s: Scenario) -> DataFrame:
     """link_type, links, mean and bounded peak load factor, and how many links have one and the same."""
-    bounded = reports.bound_plf(F.col("plf"))
+    bounded = reports.bound_plf(F.col("plf"), period_hours(s))
     return s.links.groupBy("link_type").agg(F.count("*").alias("links"), F.avg("plf").alias("plf"), F.avg(bounded).alias("bounded"), F.sum((bounded != F.col("plf")).cast("int")).alias("out_of_bounds"), F.countDistinct("plf").alias("values"))
 
 

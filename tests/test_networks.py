@@ -219,6 +219,7 @@ def folder(tmp_path):
     (tmp_path / "node.csv").write_text("node_id,zone_id,x_coord,y_coord\n1,1,0,0\n2,2,1,0\n3,,1,1\n")
     (tmp_path / "link.csv").write_text("link_id,from_node_id,to_node_id,lanes,capacity,vdf_free_speed_mph,vdf_length_mi,vdf_plf\n7,1,3,1,1000,60,1,1.4\n8,3,2,1,1000,60,1,0.9\n")
     (tmp_path / "demand.csv").write_text("o_zone_id,d_zone_id,volume\n1,2,9\n2,1,1\n")
+    (tmp_path / "settings.csv").write_text("number_of_iterations,demand_period_starting_hours,demand_period_ending_hours\n3,7,9\n")
     (tmp_path / "vehicle.csv").write_text("agent_id,departure_time,link_ids,o_zone_id,d_zone_id\n1,420,7;8;,1,2\n2,420.5,7;8;,1,2\n,,,,\n")
     (tmp_path / "trace.csv").write_text("agent_id,trace_no,x_coord,y_coord\na,1,0.2,0.1\na,2,1.0,0.2\na,3,,\n")
     (tmp_path / "summary_log_file.txt").write_text("no_nodes= 3\niter No = 1, Lambda = 1.0, g_System_VMT = 0.0, sys. TT =  20.5, least TT =  10.0, gap = 105.0 % \n")

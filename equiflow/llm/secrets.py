@@ -8,7 +8,9 @@ the dictionary explains. Names and prose cost little, random keys cost all they
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -47,11 +49,12 @@ def find_secrets(text: str, least_novelty: float = 0.7) -> list[tuple[str, int,
 
     Base spans always stay; ``novel`` spans never overlap them.
     """
-    base = [(m.start(), k, kind, m.end()) for k, (kind, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m[group]) >= least]
-    found = list(base)
+    found = sorted((m.start(), k, kind, m.end()) for k, (kind, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m[group]) >= least)
+    starts, ends = [s for s, *_ in found], list(accumulate((e for *_, e in found), max, initial=0))
     if SENSITIVE.search(text):
         for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, _, e in base) and SENSITIVE.search(text, max(0, m.start() - BEFORE), m.start()):
+            # of the base spans that start before its end, none may end behind its start
+            if ends[bisect_left(starts, m.end())] <= m.start() and SENSITIVE.search(text, max(0, m.start() - BEFORE), m.start()):
                 if novelty(text, *m.span()) >= least_novelty:
                     found.append((m.start(), len(BASE), "novel", m.end()))
     return [(kind, s, e, round(novelty(text, s, e), 4)) for s, _, kind, e in sorted(found)]

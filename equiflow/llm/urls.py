@@ -7,6 +7,7 @@ expression, so judging stays in generated code and nothing but the scan is neede
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -15,24 +16,44 @@ from pyspark.sql import functions as F
 # The rules (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-_BAD = "cheap pills casino win bets free spam farm ads track adult poker slots loans replica seo xxx bonus viagra crypto".split()
-_GOOD = "garden museum history science weather library school travel recipes music news football forest river city health theatre".split()
-_TLDS = "com org net example.com example.org example.net".split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in labelled list (1: block), made by rule: compound offer names against site names."""
-    out = []
-    for i, a in enumerate(_BAD):
-        for j in (1, 3):
-            host = f"{a}-{_BAD[(i * 7 + j) % len(_BAD)]}.{_TLDS[(i + j) % 6]}"
-            out += [(f"http{'s' * (i % 2)}://{('www.', 'm.', '')[(i + j) % 3]}{host}/{('en', 'de', 'fr', 'es')[i % 4]}/{37 * i + j}{('', '.html', '?utm_source=feed', '?page=2&ref=x', '#top', '/')[(i + j) % 6]}", 1)]
-            out += [(f"http://{host}/{'x' * j}{i * 7919}?id={i * 104729}&aff={i}&c={j}&s={i * 31}", 1)]
-    for i, a in enumerate(_GOOD):
-        for j in range(4):
-            name = a + ("", "land", "ing", "tion")[j]
-            out += [(f"http{'s' * (j % 2)}://{('www.', 'm.', 'blog.', '')[(i + j) % 4]}{name}.{_TLDS[(i + j) % 6]}/{('en', 'de', 'fr', 'es')[(i + j) % 4]}/{41 * i + j}{('', '.html', '?utm_source=feed', '?page=2&ref=x', '#top', '/')[(i * 5 + j) % 6]}", 0)]
-    return out
+# Names of shops, offers and sites; none is a word of the pages that this is tried on.
+_OFFERS = "loan deal prize bonus poker slots credit diet replica coupon ringtone lottery jackpot dating miracle outlet rebate voucher".split()
+_SITES = "garden museum history science weather library school travel recipe music football forest river theatre harbour village college gallery".split()
+_PLAIN = "north old city st central green lake open first grand royal little".split()
+_SLUGS = "opening hours council meeting minutes summer timetable annual report visit guide members notes review letters results".split()
+_SHARED = (("co.uk", 5), ("github.io", 3), ("edu.au", 1), ("web.app", 4), ("blogspot.com", 5), ("cf.page", 6))  # how often of 10 a host here is an offer's
+
+
+def _draw(rng: random.Random, block: bool) -> str:
+    """A URL of either kind. All that a feature counts occurs in both, more often in one than in the other."""
+    pick, chance = lambda xs: xs[rng.randrange(len(xs))], lambda k: rng.randrange(10) < k
+    names = _OFFERS if block else _SITES
+    name = pick(names)
+    if chance(7):
+        other = pick(_PLAIN) if chance(4) else pick(names)
+        name = f"{other}{'-' if chance(7 if block else 4) else ''}{name}"
+    if block and chance(2):
+        name += f"-{pick(names)}"
+    if chance(6 if block else 1):
+        name += str(rng.randrange(1, 1000 if block else 100))
+    sub = pick(("", "", "www.", "www.", "shop.", "go.") if block else ("", "", "www.", "www.", "news.", "docs."))
+    if chance(3 if block else 1):
+        sub = "".join(pick("bcdfghjkmnpqrstvwxz0123456789") for _ in range(rng.randrange(4, 12))) + "." + sub
+    hosts = [h for h, k in _SHARED for _ in range(k if block else 10 - k)]
+    host = f"{sub}{name}.{pick(hosts) if chance(5) else pick(('com', 'org', 'net', 'info'))}"
+    depth = rng.randrange(0, 3) if block else rng.randrange(0, 5)
+    path = "".join("/" + (str(rng.randrange(2010, 2026)) if chance(2) else "-".join(pick(_SLUGS) for _ in range(rng.randrange(1, 4)))) for _ in range(depth))
+    if chance(7 if block else 1):
+        path += "/" + "".join(pick("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPRSTUVW0123456789") for _ in range(rng.randrange(6, 20)))
+    keys = ("aff", "cid", "sub", "click", "src", "id") if block else ("p", "lang", "sort", "id", "section", "year")
+    query = "&".join(f"{pick(keys)}={rng.randrange(10 ** rng.randrange(1, 9 if block else 5))}" for _ in range(rng.randrange(0, 6 if block else 3)))
+    return f"http{'s' * chance(4 if block else 8)}://{host}{path or '/'}{pick(('', '', '/', '.htm')) if path else ''}{'?' + query if query else ''}"
+
+
+def labelled_urls(seed: int = 1, of_each: int = 150) -> list[tuple[str, int]]:
+    """The built-in labelled list (1: block), made by rule; other seeds give lists to try the trees on."""
+    rng = random.Random(seed)
+    return [(_draw(rng, bool(b)), b) for _ in range(of_each) for b in (1, 0)]
 
 
 FEATURES = ("length", "depth", "digits", "entropy", "params", "hyphens", "labels", "suffix")
@@ -75,7 +96,7 @@ def _grow(rows: list, grad: list[float], hess: list[float], idx: list[int], dept
                     if gain > best[0] + 1e-12:
                         best = (gain, f, (rows[a][f] + rows[b][f]) / 2)
     if best[1] is None:
-        return (round(g / (h + 1), 6),)
+        return (round(g / (h + 1), 5),)  # half of it has 6 digits, so scores rounded to 6 have no ties
     _, f, cut = best
     return (f, round(cut, 5), _grow(rows, grad, hess, [i for i in idx if rows[i][f] < round(cut, 5)], depth - 1), _grow(rows, grad, hess, [i for i in idx if rows[i][f] >= round(cut, 5)], depth - 1))
 

@@ -353,6 +353,21 @@ def test_url_trees_use_other_features():
     assert sum((urls.predict(model, u) > 0) == bool(b) for u, b in rows) > 115
 
 
+def test_built_in_url_trees_split_on_several_features():
+    used = lambda t: [] if len(t) == 1 else [urls.FEATURES[t[0]], *used(t[2]), *used(t[3])]
+    model = urls.fit(urls.labelled_urls())
+    by = Counter(f for t in model["trees"] for f in used(t))
+    assert len(by) >= 5 and max(by.values()) <= 0.5 * sum(by.values())
+    for feature in range(len(urls.FEATURES)):  # no feature separates the labels alone
+        rows = sorted((urls.features(u, model["suffixes"], model["prior"])[feature], b) for u, b in urls.labelled_urls())
+        low = {b: [x for x, y in rows if y == b] for b in (0, 1)}
+        assert min(low[0]) <= max(low[1]) and min(low[1]) <= max(low[0])
+    other = urls.labelled_urls(seed=99, of_each=500)
+    assert sum((urls.predict(model, u) > 0) == bool(b) for u, b in other) / len(other) > 0.8
+    names = ("casino", "win", "bets", "cheap", "pills", "ads", "track", "spam", "farm", "adult", "example", "utm_source", "ref=x")
+    assert not [u for u, _ in urls.labelled_urls() if any(n in re.split(r"[^a-z_=]+", u) for n in names)]
+
+
 def test_mixing(docs, none):
     rows = mixing.taken_words(docs, block_words=16, shard_blocks=20, bin_blocks=8).collect()
     again = mixing.taken_words(docs.repartition(7), block_words=16, shard_blocks=20, bin_blocks=8).collect()

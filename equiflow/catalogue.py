@@ -292,8 +292,8 @@ register("vehicle_generation", lambda s, sf: estimate.vehicles(loaded(s, sf)[1])
 
 
 def simulation(s, sf):
-    v = estimate.vehicles(loaded(s, sf)[1].filter("(o + d) % 5 = 0 AND volume >= 1").withColumn("volume", F.lit(3.0)))
-    agents = v.withColumn("agent_id", F.xxhash64("mode", "o", "d", "i")).withColumn("part", F.lit(0))
+    """All reachable pairs with their own volumes; they share the network, so they are one part."""
+    agents = estimate.vehicles(loaded(s, sf)[1]).withColumn("agent_id", F.xxhash64("mode", "o", "d", "i")).withColumn("part", F.lit(0))
     return estimate.simulate(links(s, sf), agents)
 
 

@@ -41,3 +41,13 @@ def test_paths_are_unique(spark, db):
     link = catalogue.links(spark, SF).select("from_node_id", "to_node_id", "cost").collect()
     for (o, d), c in cost.items():
         assert o == d or sum(cost[o, r.from_node_id] + r.cost == c for r in link if r.to_node_id == d) == 1
+
+
+def test_simulation_has_all_vehicles(spark):
+    """The registered job simulates every trip of every reachable pair, and enough of them that links queue."""
+    pairs = catalogue.loaded(spark, SF)[1].filter("links IS NOT NULL").collect()
+    got = catalogue.QUERIES["simulate"](spark, SF).toPandas()
+    assert len(got) == sum(r.volume for r in pairs) and got.agent_id.nunique() == len(got)  # volumes are whole here
+    free = {r.link_id: int(max(1, r.fftt * 10)) / 10 for r in catalogue.links(spark, SF).collect()}
+    late = (got.arrival_minute - got.departure_minute).dropna()
+    assert late.max() > 2 * max(sum(free[k] for k in r.links) for r in pairs)

@@ -141,6 +141,51 @@ def test_simulation_is_first_in_first_out(spark):
     assert all(b - a > 0.8 for a, b in zip(arrive, arrive[1:]))  # the first link lets one a minute go
 
 
+def simulated_by_force(links, agents, ticks, tick=6.0):
+    """agent -> arrival tick, from a list of who entered which link when, searched anew for every move."""
+    info = {r[0]: (max(1, int(r[7] * 60 / tick)), r[4] * r[3] / 3600 * tick, max(1.0, r[4] * r[3] / 60)) for r in links}
+    start = min(a[2] for a in agents)
+    waiting, on, credit, done = sorted(agents, key=lambda a: (a[2], a[1])), [], dict.fromkeys(info, 0.0), {}
+    held = {"full": 0, "outflow": 0}
+    for t in range(ticks):
+        while waiting and int((waiting[0][2] - start) * 60 / tick) <= t:
+            _, who, _, path = waiting.pop(0)
+            on.append((path[0], who, t + info[path[0]][0], path[1:]))
+        for k, (_, flow, _) in info.items():
+            credit[k] = min(credit[k] + flow, max(1.0, flow))
+        for k in sorted(info):
+            while (head := next((x for x in on if x[0] == k), None)) and head[2] <= t:
+                if credit[k] < 1:
+                    held["outflow"] += 1
+                    break
+                if head[3]:
+                    to = head[3][0]
+                    if sum(x[0] == to for x in on) >= info[to][2] * info[to][0]:
+                        held["full"] += 1
+                        break
+                    on.append((to, head[1], t + info[to][0], head[3][1:]))
+                else:
+                    done[head[1]] = t
+                on.remove(head)
+                credit[k] -= 1
+    return done, held
+
+
+def test_simulation_under_load(spark):
+    """Spillback and outflow limits at a merge and a bottleneck, against a search for every move."""
+    rng = random.Random(6)
+    net = [link(1, 1, 3, 0.3, cap=1200.0), link(2, 2, 3, 0.5, cap=900.0), link(3, 3, 4, 0.1, cap=600.0), link(4, 4, 5, 0.2, cap=150.0), link(5, 4, 6, 0.4, lanes=2, cap=300.0)]
+    ways = [[1, 3, 4], [2, 3, 5], [2, 3, 4], [1, 3, 5], [4]]
+    agents = [(0, i, 420.0 + rng.randrange(120) / 10, ways[rng.randrange(5)]) for i in range(150)]
+    df = spark.createDataFrame(agents, "part long, agent_id long, departure_minute double, links array<long>")
+    want, held = simulated_by_force(net, agents, 300)
+    assert held["full"] > 50 and held["outflow"] > 50 and 0 < len(want) < 150
+    got = {r.agent_id: r for r in estimate.simulate(frame(spark, net), df, hours=0.5).collect()}
+    start = min(a[2] for a in agents)
+    assert len(got) == 150 and {i for i, r in got.items() if r.completed} == set(want)
+    assert all(got[i].arrival_minute == pytest.approx(start + t / 10) for i, t in want.items())
+
+
 def write(folder, **files):
     for name, text in files.items():
         (folder / f"{name}.csv").write_text(text, encoding="utf-8")

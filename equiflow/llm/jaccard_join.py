@@ -82,8 +82,8 @@ def class_key(fp: bytes) -> int:
     return int.from_bytes(fp[:8], "little", signed=True)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp, class: a row for each of docs."""
+def _classes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles, class and the long columns ``more``: a row for each of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -92,9 +92,9 @@ def _classes(docs: DataFrame) -> DataFrame:
                 part = b.slice(i, 1000)
                 sets = shingle_sets(part.column(1).to_pylist(), known)
                 fps = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_key, fps), pa.int64())], names=["doc_id", "n_shingles", "class"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_key, fps), pa.int64()), *part.columns[2:]], names=["doc_id", "n_shingles", "class", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "class", *more)))
 
 
 def _possible(docs: DataFrame, rows: int, ratio: float) -> DataFrame:
@@ -357,6 +357,23 @@ def class_links(sets: DataFrame, *, percent: int = 80, region_tokens: int = 4_00
     return inside if edges is None else edges.unionByName(inside)
 
 
+def _grouped(docs: DataFrame, percent: int, *more: str, **options) -> tuple[DataFrame, DataFrame, int]:
+    """(own: doc_id, n_shingles, class and ``more`` of every row; groups: class, rep, copies, root; rows).
+
+    rep is the smallest doc_id of a class, root its component. With ``more`` the groups have first, too:
+    (none, doc_id, more) of the row that leads the class, a null doc_id only if no other is there.
+    """
+    rows = docs.count()
+    own = materialise(_classes(docs, *more))
+    leads = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more)).alias("first")] if more else []
+    groups = materialise(own.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *leads))
+    wanted = materialise(_possible(docs, rows, percent / 100).distinct().join(groups, "class").select("class", "rep"))
+    if wanted.isEmpty():
+        return own, groups.withColumn("root", F.col("class")), rows
+    roots = materialise(connected(class_links(materialise(_sets(docs, wanted, rows)), percent=percent, **options)))
+    return own, groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), rows
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -366,30 +383,33 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, **options) -> DataFra
     (Jaccard >= percent / 100), null if none in reach has one. Repeated rows are in one component;
     other columns are ignored. An empty table gives no rows.
     """
-    rows = docs.count()
-    own = materialise(_classes(docs))
-    groups = materialise(own.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    wanted = materialise(_possible(docs, rows, percent / 100).distinct().join(groups, "class").select("class", "rep"))
-    sets = materialise(_sets(docs, wanted, rows)) if not wanted.isEmpty() else None
-    if sets is not None:
-        roots = materialise(connected(class_links(sets, percent=percent, **options)))
-        groups = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        lowest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-        groups = materialise(groups.join(lowest, "root").select("class", "copies", "component_id"))
-    else:
-        groups = groups.withColumn("component_id", F.col("rep")).select("class", "copies", "component_id")
+    own, groups, rows = _grouped(docs, percent, **options)
+    lowest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
+    groups = materialise(groups.join(lowest, "root").select("class", "copies", "component_id"))
     alone = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     known = join_hot(own.filter("n_shingles > 0"), groups, "class", "copies", rows)
     return known.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def keep_one_of_each(docs: DataFrame, *, percent: int = 80, **options) -> DataFrame:
-    """The rows of docs, all columns, that lead their component (smallest doc_id), or have no shingles."""
-    found = near_duplicates(docs, percent=percent, **options)
-    ranked = found.filter("n_shingles > 0 AND doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+def drop_near_copies(docs: DataFrame, *, percent: int = 80, **options) -> DataFrame:
+    """The rows of docs, all columns: one of each component, and all that have no shingles.
+
+    The row with the smallest doc_id leads its component, one with a null doc_id only if no other is
+    there; of rows that share that doc_id the one with the least hash of all columns. Rows are told
+    apart by that 64-bit hash, so rows with one doc_id in different components all stay.
+    """
     columns = docs.columns
-    full = docs.select(F.struct(*columns).alias("all"), F.col("doc_id").cast("long").alias("id"))
-    w = Window.partitionBy("id").orderBy(F.xxhash64("all"))
+    row = F.xxhash64(*[c for name in columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))])  # nulls alone don't change a hash
+    _, groups, _ = _grouped(docs.select("doc_id", "text", row.alias("row")), percent, "row", **options)
+    leads = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("lead"))
+    full = docs.select(F.struct(*columns).alias("all"), F.col("doc_id").cast("long").alias("id"), row.alias("row"))
     empty = F.trim(F.regexp_replace(F.coalesce(F.col("all.text"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == ""
-    kept = full.filter(~empty).join(ranked, "id").withColumn("k", F.row_number().over(w)).filter("k = 1")
+    w = Window.partitionBy("row").orderBy("id")  # equal rows
+    kept = full.filter(~empty).join(leads, "row").filter(F.col("id").eqNullSafe(F.col("lead"))).withColumn("k", F.row_number().over(w)).filter("k = 1")
     return full.filter(empty).select("all.*").unionByName(kept.select("all.*"))
+
+
+def keep_one_of_each(docs: DataFrame, *, percent: int = 80, **options) -> DataFrame:
+    """``drop_near_copies`` without the rows that have words but no doc_id; the pipeline keeps those."""
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "") == ""
+    return drop_near_copies(docs, percent=percent, **options).filter(F.col("doc_id").isNotNull() | blank)

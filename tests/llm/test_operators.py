@@ -199,6 +199,27 @@ def test_keep_one_of_each(docs):
     assert Counter(r.doc_id for r in kept.collect() if (r.text or "").strip()) == Counter(low)
 
 
+def test_drop_near_copies_loses_no_component(spark):
+    """Null ids, one id with several texts, and equal rows: one row of every component stays."""
+    w = [[f"{c}{i}" for i in range(40)] for c in "abcdefg"]
+    near = lambda c, k: " ".join([*w[c][:-k], *["edited"] * k])
+    text = [" ".join(x) for x in w]
+    rows = [
+        (None, text[0], "s"), (None, near(0, 1), "t"),  # null ids only
+        (None, text[1], "s"), (4, near(1, 1), "s"),  # a null id gives way to another
+        (5, text[2], "s"), (5, text[3], "s"),  # one id, different texts
+        (3, near(3, 1), "s"),  # ... of which one is a near copy of a smaller id
+        (7, text[4], "s"), (7, text[4], "s"), (7, text[4], None), (None, text[5], None), (None, text[5], None),
+        (8, None, "s"), (None, "", "s"), (None, "one", "s"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for options in ({}, {"region_tokens": 30, "pivots": 2}):
+        got = [tuple(r) for r in jaccard_join.drop_near_copies(df, **options).collect()]
+        assert not Counter(got) - Counter(rows)
+        ids = Counter((r[0], (r[1] or "").split(" ")[0]) for r in got)
+        assert ids == Counter([(None, "a0"), (4, "b0"), (5, "c0"), (3, "d0"), (7, "e0"), (None, "f0"), (8, ""), (None, ""), (None, "one")])
+
+
 def test_connected(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(300) if i % 50] + [(rng.randrange(300), 1000) for _ in range(3)]

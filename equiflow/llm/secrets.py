@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for what they don't cover.
 
-A candidate is a run of key-like characters near a sensitive word. It is compressed with the text
-around it and a list of common identifiers as dictionary; the bytes it adds tell how much of it
-the dictionary explains. Names and prose cost little, random keys cost all they hold.
+A candidate is a run of key-like characters in a text that holds a sensitive word, before or after it
+or as a name joined to it by ``=``, ``_`` or ``-``. It is compressed with the text around it, less
+its own repetitions, and a list of common identifiers as dictionary; the bytes it adds tell how much
+of it the dictionary explains. Names and prose cost little, random keys cost all they hold.
 """
 
 from __future__ import annotations
@@ -23,21 +24,37 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|private|auth|bearer|signature|client_?id|access_?key", re.ASCII | re.IGNORECASE)
+# a name before the value in the same run, as in client_secret-...; what is left must be a candidate itself
+NAME = re.compile(rf"(?:[A-Za-z]+[_-])*?(?:{SENSITIVE.pattern})(?:[_-]?(?:key|id|token|value))*[_-]+", re.ASCII | re.IGNORECASE)
 IDENTIFIERS = " ".join(
     "password passwd secret token api_key apikey access_key private_key public_key client_id client_secret credential authorization "
     "bearer session signature encrypt decrypt username user_id account config settings environment variable function return class "
     "import export default string integer boolean request response header content_type application json http https localhost example "
     "index value object array length buffer stream encode decode base64 sha256 md5 version release commit branch origin master".split()
 ).encode()
-AROUND, BEFORE = 256, 64
+AROUND = 256
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:double>>"
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """What stands around text[start:end] without repetitions of it, whole ones or cut by the window."""
+    value, before, after = text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    for k in range(min(len(value) - 1, AROUND), 3, -1):
+        if before.startswith(value[-k:]):
+            before = before[k:]
+            break
+    for k in range(min(len(value) - 1, AROUND), 3, -1):
+        if after.endswith(value[:k]):
+            after = after[:-k]
+            break
+    return before.replace(value, "") + after.replace(value, "")
+
+
 def novelty(text: str, start: int, end: int) -> float:
     """Marginal compressed bytes per byte of text[start:end], given its surroundings and the identifiers."""
-    around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
+    around = surroundings(text, start, end).encode()
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     zip_ = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     data = text[start:end].encode()
@@ -53,10 +70,13 @@ def find_secrets(text: str, least_novelty: float = 0.7) -> list[tuple[str, int,
     starts, ends = [s for s, *_ in found], list(accumulate((e for *_, e in found), max, initial=0))
     if SENSITIVE.search(text):
         for m in CANDIDATE.finditer(text):
+            start, end = m.span()
+            name = NAME.match(text, start, end)
+            if name and (rest := CANDIDATE.match(text[name.end() : end])):
+                start, end = name.end(), name.end() + rest.end()
             # of the base spans that start before its end, none may end behind its start
-            if ends[bisect_left(starts, m.end())] <= m.start() and SENSITIVE.search(text, max(0, m.start() - BEFORE), m.start()):
-                if novelty(text, *m.span()) >= least_novelty:
-                    found.append((m.start(), len(BASE), "novel", m.end()))
+            if ends[bisect_left(starts, end)] <= start and novelty(text, start, end) >= least_novelty:
+                found.append((start, len(BASE), "novel", end))
     return [(kind, s, e, round(novelty(text, s, e), 4)) for s, _, kind, e in sorted(found)]
 
 

@@ -258,6 +258,20 @@ def test_secrets():
     assert not secrets.find_secrets("")
 
 
+def test_secrets_in_key_value_text():
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.choice(letters) for _ in range(40))
+    far = " plain words of no use here" * 30
+    for text in (f"AWS_ACCESS_KEY={key}", f"private_key={key}==", f"auth={key}", f"http://a.b/c?x=1&signature={key}", f"export CREDENTIAL={key}\n", f"client_secret-{key}", f"{key} is the private value", f"[credentials]{far}\nname = {key}", f"{key}{far} bearer"):
+        found = secrets.find_secrets(text)
+        assert [text[s:e].rstrip("=") for kind, s, e, _ in found if kind == "novel"] == [key], text
+    for gap in (" ", " and again ", " x" * 100, " y" * 118):  # the last ones reach over the window's edge
+        text = f"auth={key}{gap}auth={key}{gap}auth={key}"
+        assert [text[s:e] for _, s, e, _ in secrets.find_secrets(text)] == [key] * 3
+    assert not secrets.find_secrets("auth=" + "authorization_response_header_1_application")
+
+
 def test_secret_scan_rows(docs, none):
     assert secrets.scan_secrets(docs).count() == len(ROWS)
     assert secrets.scan_secrets(none).count() == 0

@@ -31,7 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
-    own = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='equiflow-')}"
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = f"file://{tempfile.mkdtemp(prefix='equiflow-')}"  # one machine, as in tests
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -116,4 +120,6 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components not found in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).distinct()

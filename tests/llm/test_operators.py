@@ -169,7 +169,7 @@ def components(rows, percent=80):
     return Counter((r[0], len(sets[i]), low.get(find(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("options", [{}, {"region_tokens": 300, "pivots": 2}])
+@pytest.mark.parametrize("options", [{}, {"cell_tokens": 400, "pivots": 16}])
 def test_near_duplicates(docs, none, options):
     rows = jaccard_join.near_duplicates(docs, **options).collect()
     assert components(ROWS) == Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
@@ -187,18 +187,11 @@ def test_near_duplicate_chains(spark):
             w[rng.randrange(150)] = f"e{c}_{i}"
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"region_tokens": 500, "pivots": 2}):
+    for options in ({}, {"cell_tokens": 500, "pivots": 8}):
         got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df, **options).collect())
         assert got == components(rows)
 
 
-def test_keep_one_of_each(docs):
-    kept = jaccard_join.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
-    low = {c for _, n, c in components(ROWS) if n and c is not None}
-    assert Counter(r.doc_id for r in kept.collect() if (r.text or "").strip()) == Counter(low)
-
-
 def test_drop_near_copies_loses_no_component(spark):
     """Null ids, one id with several texts, and equal rows: one row of every component stays."""
     w = [[f"{c}{i}" for i in range(40)] for c in "abcdefg"]
@@ -213,7 +206,7 @@ def test_drop_near_copies_loses_no_component(spark):
         (8, None, "s"), (None, "", "s"), (None, "one", "s"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    for options in ({}, {"region_tokens": 30, "pivots": 2}):
+    for options in ({}, {"cell_tokens": 30, "pivots": 8}):
         got = [tuple(r) for r in jaccard_join.drop_near_copies(df, **options).collect()]
         assert not Counter(got) - Counter(rows)
         ids = Counter((r[0], (r[1] or "").split(" ")[0]) for r in got)

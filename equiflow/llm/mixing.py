@@ -3,18 +3,19 @@
 Texts are cut into blocks of at most ``block_words`` words. A source's blocks are permuted by a
 keyed digest, pass after pass, and its quota is a prefix of that order (the last block is cut, so
 the words are exact). How many of a source's blocks each output shard gets is drawn by a tree of
-multivariate hypergeometric splits over the shards; a shard then takes the next disjoint run of
-each source's permuted blocks and shuffles what it has.
+multivariate hypergeometric splits over the shards; a shard then draws the next disjoint run of
+each source's permuted blocks and shuffles what it has. The tree so decides which shard holds which
+words of a document, and in what place; the mix comes out in that order.
 
-Ranks inside a source come from digest ranges of about ``bin_blocks`` blocks each, so a source
-with a third of all rows is spread like any other. The driver holds one number per source and
-per (source, shard) only.
+Ranks inside a source and places inside a shard come from digest ranges of about ``bin_blocks``
+blocks each, so a source with a third of all rows is spread like any other, and a shard of any size
+is shuffled by many tasks. The driver holds one number per source and per (source, shard) only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,55 +49,54 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return by.withColumn("target", F.least("limit", F.coalesce(level * F.col("w"), F.col("limit")))).select("source", "source_size", "target")
 
 
-def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
-    """How many of ``drawn`` items taken without replacement are good; inversion outward from the mode."""
+def uniform(seed: int, node: int, source: int) -> float:
+    """The number in [0, 1) that a node of the tree draws with for a source."""
+    return int(hashlib.md5(f"{seed}|{node}|{source}".encode()).hexdigest()[:13], 16) / 2**52
+
+
+def hypergeometric(u: float, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` items taken without replacement are good: inversion of u over the mean +- 12 deviations."""
     low, high = max(0, drawn - bad), min(drawn, good)
     if low == high:
         return low
+    n = good + bad
+    mean = drawn * good / n
+    wide = 12 * math.sqrt(mean * (bad / n) * ((n - drawn) / max(1, n - 1))) + 1
+    low, high = max(low, math.floor(mean - wide)), min(high, math.ceil(mean + wide))
     lg = math.lgamma
-    mode = min(high, max(low, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    c = lambda n, k: lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-    p = math.exp(c(good, mode) + c(bad, drawn - mode) - c(good + bad, drawn))
-    u = rng.random() - p
-    up, pu, down, pd = mode, p, mode, p
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            pu *= (good - up) * (drawn - up) / ((up + 1) * (bad - drawn + up + 1))
-            up += 1
-            u -= pu
-            if u <= 0:
-                return up
-        if down > low:
-            pd *= down * (bad - drawn + down) / ((good - down + 1) * (drawn - down + 1))
-            down -= 1
-            u -= pd
-            if u <= 0:
-                return down
-    return mode
-
-
-def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
+    log = lambda k: -lg(k + 1) - lg(good - k + 1) - lg(drawn - k + 1) - lg(bad - drawn + k + 1)
+    top = log(min(high, max(low, math.floor(mean))))
+    weights = [math.exp(log(k) - top) for k in range(low, high + 1)]
+    left = u * sum(weights)
+    for k, w in zip(range(low, high + 1), weights, strict=True):
+        left -= w
+        if left <= 0:
+            return k
+    return high
+
+
+def split_tree(quotas: list[int], shards: int, seed: int, node: int = 1) -> list[list[int]]:
     """quotas[source] -> counts[shard][source]; shards get equal totals, at most one block apart."""
     if shards == 1:
         return [quotas]
     left, total = shards // 2, sum(quotas)
-    rng = random.Random(f"{seed}/{shards}/{quotas}")
     need, rest, part = total * left // shards, total, []
-    for q in quotas:
-        x = hypergeometric(rng, q, rest - q, need)
+    for i, q in enumerate(quotas):
+        x = hypergeometric(uniform(seed, node, i), q, rest - q, need)
         part.append(x)
         need, rest = need - x, rest - q
     other = [q - x for q, x in zip(quotas, part, strict=True)]
-    return split_tree(part, left, seed * 2 + 1) + split_tree(other, shards - left, seed * 2 + 2)
+    return split_tree(part, left, seed, 2 * node) + split_tree(other, shards - left, seed, 2 * node + 1)
 
 
 def place_blocks(
-    docs: DataFrame, *, block_words: int = 1024, shard_blocks: int = 4096, max_shards: int = 256, bin_blocks: int = 1000, seed: int = 7
+    docs: DataFrame, *, block_words: int = 1024, shard_blocks: int = 256, shards: int = 256, bin_blocks: int = 1000, seed: int = 7
 ) -> tuple[DataFrame, DataFrame]:
     """(documents with source_size and target, placements).
 
     Placements: shard, position, doc_id, source, size, copy, pass, block, first_word, taken.
-    ``copy`` tells rows apart that share doc_id, source and size. Null texts have size 0 and
+    ``shards`` is how many shards the mix has; a small one has as many as there are ``shard_blocks``
+    in it. ``copy`` tells rows apart that share doc_id, source and size. Null texts have size 0 and
     are never taken; null sources are one source; other columns are ignored; an empty table
     gives empty tables.
     """
@@ -132,7 +132,7 @@ def place_blocks(
     ranked = materialise(ranked)
     per_source = sorted((r["z"], r["s"], r["k"]) for r in ranked.groupBy("s", "z").agg(F.count("*").alias("k")).collect())
     placed_blocks = sum(r[2] for r in per_source)
-    shards = max(1, min(max_shards, -(-placed_blocks // shard_blocks)))
+    shards = max(1, min(shards, -(-placed_blocks // shard_blocks)))
     counts = split_tree([r[2] for r in per_source], shards, seed)
     runs = []
     for i, (z, s, _) in enumerate(per_source):
@@ -142,13 +142,16 @@ def place_blocks(
             runs.append((s, z, shard, at - counts[shard][i], at))
     spark = docs.sparkSession
     cuts = spark.createDataFrame(runs, "s string, z boolean, shard int, lo long, hi long").groupBy("s", "z").agg(F.sort_array(F.collect_list(F.struct("shard", "hi"))).alias("ends"))
-    placements = (
-        ranked.join(F.broadcast(cuts), ["s", "z"])  # a row a source, max_shards numbers each
-        .withColumn("shard", F.filter("ends", lambda e: e["hi"] > F.col("rank"))[0]["shard"])
-        .withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(F.reverse("key"), "doc_id", "pass", "block")))
-        .select("shard", "position", "doc_id", "source", "size", "copy", "pass", "block", "first_word", "taken")
-    )
-    return sized, placements
+    # a row a source, ``shards`` numbers each
+    drawn = ranked.join(F.broadcast(cuts), ["s", "z"]).withColumn("shard", F.filter("ends", lambda e: e["hi"] > F.col("rank"))[0]["shard"])
+    digits = max(1, min(7, math.ceil(math.log(max(2, placed_blocks / shards / bin_blocks), 16))))
+    drawn = drawn.withColumn("order", F.reverse("key")).withColumn("tray", F.substring("order", 1, digits))
+    trays = drawn.groupBy("shard", "tray").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("shard").orderBy("tray").rowsBetween(Window.unboundedPreceding, -1)
+    trays = trays.select("shard", "tray", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "tray").orderBy("order", "doc_id", "pass", "block")
+    placements = drawn.withColumn("n", F.row_number().over(inside)).join(trays, ["shard", "tray"]).withColumn("position", F.col("first") + F.col("n"))
+    return sized, placements.select("shard", "position", "doc_id", "source", "size", "copy", "pass", "block", "first_word", "taken")
 
 
 def _with_targets(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -157,42 +160,52 @@ def _with_targets(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """Per document row: doc_id, size, source_size, target, taken."""
+    """Per document row: doc_id, size, source_size, target, taken, shards.
+
+    shards says where its words are: ``shard:words``, by shard, comma-joined; empty if none are taken.
+    See ``place_blocks`` for nulls, repeated rows and empty tables.
+    """
     sized, placements = place_blocks(docs, **options)
     key = ["doc_id", "source", "size", "copy"]
-    got = placements.groupBy(*key).agg(F.sum("taken").alias("taken"))
+    got = placements.groupBy(*key, "shard").agg(F.sum("taken").alias("w"))
+    got = got.groupBy(*key).agg(F.sum("w").alias("taken"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("shard", "w"))), lambda x: F.concat_ws(":", x["shard"], x["w"])), ",").alias("shards"))
     a, b = sized.alias("a"), got.alias("b")
     joined = a.join(b, (F.col("a.copy") == F.col("b.copy")) & (F.col("a.size") == F.col("b.size")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-    return joined.select("a.doc_id", "a.size", "source_size", "target", F.coalesce("b.taken", F.lit(0).cast("long")).alias("taken"))
+    return joined.select("a.doc_id", "a.size", "source_size", "target", F.coalesce("b.taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("b.shards", F.lit("")).alias("shards"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: the taken words of each row and pass, with the columns of docs.
+    """docs as the shards draw them, in order of shard and place, with the columns of docs.
 
-    A row taken whole keeps its text as it is; one taken in part keeps its taken blocks in text
-    order; one taken twice comes twice. n_chars, where there is one, follows the text.
+    A row for what a shard draws of a document in a pass: its text as it is where that is all of it,
+    else the drawn blocks in text order, at the place of the first of them. n_chars, where there is
+    one, follows the text. Documents that are not taken (null and empty texts among them) have no row;
+    null ids and sources count as values; rows that share id, source and size get the placements of one
+    each; an empty table gives no rows.
     """
     _, placements = place_blocks(docs, **options)
     columns = docs.columns
-    runs = placements.groupBy("doc_id", "source", "size", "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "taken"))).alias("runs"), F.sum("taken").alias("words"))
-    runs = runs.groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("copy", "pass", "runs", "words")).alias("passes"))
-    full = docs.select(F.struct(*columns).alias("all"), F.col("doc_id").cast("long").alias("a"), F.col("source").cast("string").alias("b"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("c"))
-    joined = full.join(runs, F.col("a").eqNullSafe(F.col("doc_id")) & F.col("b").eqNullSafe(F.col("source")) & (F.col("c") == F.col("size")))
-    copy = Window.partitionBy("a", "b", "c").orderBy(F.xxhash64("all"))
-    joined = joined.withColumn("mine", F.row_number().over(copy)).withColumn("one", F.explode("passes")).filter((F.col("one.copy") == F.col("mine")))
+    keys = lambda i, s: [F.coalesce(i, F.lit(0)).alias("i"), i.isNull().alias("no_i"), F.coalesce(s, F.lit("")).alias("s"), s.isNull().alias("no_s")]
+    key = ["i", "no_i", "s", "no_s", "words"]
+    runs = placements.groupBy("doc_id", "source", "size", "copy", "pass", "shard").agg(F.sort_array(F.collect_list(F.struct("first_word", "taken"))).alias("runs"), F.sum("taken").alias("drawn"), F.min("position").alias("position"))
+    runs = runs.groupBy(*keys(F.col("doc_id"), F.col("source")), F.col("size").alias("words")).agg(F.collect_list(F.struct("copy", "shard", "position", "runs", "drawn")).alias("all_runs"))
+    full = docs.select(F.struct(*columns).alias("all"), *keys(F.col("doc_id").cast("long"), F.col("source").cast("string")), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("words"))
+    copy = Window.partitionBy(*key).orderBy(F.xxhash64("all"))
+    joined = full.join(runs, key).withColumn("mine", F.row_number().over(copy)).withColumn("one", F.explode(F.filter("all_runs", lambda x: x["copy"] == F.col("mine"))))
     pieces = F.regexp_extract_all(F.col("all.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     joined = joined.withColumn(
         "cut",
-        F.when(F.col("one.words") == F.col("c"), F.col("all.text")).otherwise(
+        F.when(F.col("one.drawn") == F.col("words"), F.col("all.text")).otherwise(
             F.rtrim(F.array_join(F.flatten(F.transform("one.runs", lambda r: F.slice(pieces, (r["first_word"] + 1).cast("int"), r["taken"].cast("int")))), ""))
         ),
     )
     out = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
-    return joined.select(*[out.get(c, F.col("all")[c]).alias(c) for c in columns])
+    cut = joined.select("one.shard", "one.position", F.struct(*[out.get(c, F.col("all")[c]).alias(c) for c in columns]).alias("row"))
+    return cut.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").select("row.*")
 
 
 ORACLE = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM d),
 s AS (
@@ -212,8 +225,37 @@ k AS (
   SELECT *, least(1024, size - block * 1024) AS words,
     md5(concat_ws('|', '7', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''), size, copy, block, pass)) AS key FROM b
 ), r AS (
-  SELECT *, greatest(0, least(words, quota - (sum(words) OVER (PARTITION BY source ORDER BY pass, key, doc_id ROWS UNBOUNDED PRECEDING) - words))) AS got FROM k
-), g AS (SELECT doc_id, source, size, copy, CAST(sum(got) AS BIGINT) AS taken FROM r GROUP BY ALL)
-SELECT e.doc_id, e.size, e.source_size, e.target, coalesce(g.taken, 0) AS taken
+  SELECT *, greatest(0, least(words, quota - (sum(words) OVER (PARTITION BY source ORDER BY pass, key, doc_id ROWS UNBOUNDED PRECEDING) - words))) AS got,
+    row_number() OVER (PARTITION BY source ORDER BY pass, key, doc_id) - 1 AS rank FROM k
+), n AS (SELECT source, CAST(count(*) AS BIGINT) AS blocks, row_number() OVER (ORDER BY source NULLS LAST) AS nr FROM r WHERE got > 0 GROUP BY source),
+top AS (SELECT CAST(sum(blocks) AS BIGINT) AS total, CAST(greatest(1, least(256, (sum(blocks) + 255) // 256)) AS BIGINT) AS shards, list(blocks ORDER BY nr) AS quotas FROM n),
+tree(node, first, shards, quotas, i, need, rest, part) AS (
+  SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT), shards, quotas, CAST(1 AS BIGINT), CAST(total * (shards // 2) // shards AS BIGINT), total, CAST([] AS BIGINT[]) FROM top
+  UNION ALL
+  SELECT CASE WHEN i <= len(quotas) THEN node ELSE 2 * node + side END, CASE WHEN i <= len(quotas) OR side = 0 THEN first ELSE first + shards // 2 END,
+    CASE WHEN i <= len(quotas) THEN shards WHEN side = 0 THEN shards // 2 ELSE shards - shards // 2 END, CASE WHEN i <= len(quotas) THEN quotas ELSE child END,
+    CASE WHEN i <= len(quotas) THEN i + 1 ELSE 1 END,
+    CASE WHEN i <= len(quotas) THEN need - x ELSE CAST(list_sum(child) AS BIGINT) * (CASE WHEN side = 0 THEN shards // 2 ELSE shards - shards // 2 END // 2) // CASE WHEN side = 0 THEN shards // 2 ELSE shards - shards // 2 END END,
+    CASE WHEN i <= len(quotas) THEN rest - quotas[i] ELSE CAST(list_sum(child) AS BIGINT) END, CASE WHEN i <= len(quotas) THEN list_append(part, x) ELSE CAST([] AS BIGINT[]) END
+  FROM (
+    SELECT *, CASE WHEN i > len(quotas) OR a = z THEN a ELSE least(z, a + len(list_filter(range(1, len(weights) + 1), lambda j: list_sum(weights[1:j]) < u * list_sum(weights)))) END AS x,
+      CASE WHEN side = 0 THEN part ELSE list_transform(range(1, len(quotas) + 1), lambda j: quotas[j] - part[j]) END AS child
+    FROM (
+      SELECT *, list_transform(range(a, z + 1), lambda q: exp(
+          lgamma(m + 1) + lgamma(good - m + 1) + lgamma(need - m + 1) + lgamma(bad - need + m + 1)
+          - lgamma(q + 1) - lgamma(good - q + 1) - lgamma(need - q + 1) - lgamma(bad - need + q + 1))) AS weights
+      FROM (
+        SELECT *, CAST(least(z, greatest(a, floor(mean))) AS BIGINT) AS m FROM (
+          SELECT *, CAST(greatest(lo, floor(mean - wide)) AS BIGINT) AS a, CAST(least(hi, ceil(mean + wide)) AS BIGINT) AS z FROM (
+            SELECT *, CASE WHEN lo = hi THEN 0 ELSE 12 * sqrt(mean * (bad / (good + bad)) * ((good + bad - need) / greatest(1, good + bad - 1))) + 1 END AS wide FROM (
+              SELECT *, greatest(0, need - bad) AS lo, least(need, good) AS hi, CASE WHEN good + bad = 0 THEN 0 ELSE need * good / (good + bad) END AS mean FROM (
+                SELECT tree.*, side, coalesce(quotas[i], 0) AS good, rest - coalesce(quotas[i], 0) AS bad,
+                  CAST('0x' || substr(md5(concat_ws('|', '7', node, i - 1)), 1, 13) AS BIGINT) / 4503599627370496 AS u
+                FROM tree, (VALUES (0), (1)) v(side) WHERE shards > 1 AND (side = 0 OR i > len(quotas)))))))))
+), leaf AS (SELECT first AS shard, unnest(quotas) AS blocks, unnest(range(1, len(quotas) + 1)) AS nr FROM tree WHERE shards = 1),
+ends AS (SELECT shard, nr, sum(blocks) OVER (PARTITION BY nr ORDER BY shard) AS hi, sum(blocks) OVER (PARTITION BY nr ORDER BY shard) - blocks AS lo FROM leaf),
+h AS (SELECT doc_id, r.source, size, copy, shard, CAST(sum(got) AS BIGINT) AS words FROM r JOIN n ON r.source IS NOT DISTINCT FROM n.source JOIN ends ON ends.nr = n.nr AND rank >= lo AND rank < hi WHERE got > 0 GROUP BY ALL),
+g AS (SELECT doc_id, source, size, copy, CAST(sum(words) AS BIGINT) AS taken, string_agg(shard || ':' || words, ',' ORDER BY shard) AS shards FROM h GROUP BY doc_id, source, size, copy)
+SELECT e.doc_id, e.size, e.source_size, e.target, coalesce(g.taken, 0) AS taken, coalesce(g.shards, '') AS shards
 FROM e LEFT JOIN g ON e.doc_id IS NOT DISTINCT FROM g.doc_id AND e.source IS NOT DISTINCT FROM g.source AND e.size = g.size AND e.copy = g.copy
 """

@@ -133,8 +133,8 @@ def removed_by_force(texts, size):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_repeated_bytes(docs, none, monkeypatch, small):
-    if small:  # many blocks and chunks, texts in parts, answers by shuffle
-        for k, v in (("BLOCK", 3000), ("CHUNK", 500), ("BROADCAST_BYTES", 0)):
+    if small:  # many blocks and chunks, texts in parts, many buckets
+        for k, v in (("BLOCK", 3000), ("CHUNK", 500), ("BUCKET", 5000)):
             monkeypatch.setattr(repeats, k, v)
     rows = repeats.remove_repeats(docs).collect()
     texts = [(r[1] or "").encode() for r in ROWS]
@@ -442,26 +442,58 @@ def test_placements_are_disjoint_and_dense(docs):
 
 
 def test_mixed_documents_hold_what_is_taken(docs):
-    out = mixing.mix_documents(docs)
+    options = dict(block_words=300, shard_blocks=5, bin_blocks=8)
+    out = mixing.mix_documents(docs, **options)
     assert out.columns == docs.columns
-    words = Counter()
-    for r in out.collect():
+    words, found = Counter(), out.collect()
+    starts = mixing.place_blocks(docs, **options)[1].groupBy("shard", "doc_id", "source", "size", "copy", "pass").agg({"position": "min"}).orderBy("shard", "min(position)").collect()
+    assert [r.doc_id for r in found] == [r.doc_id for r in starts]  # in order of shard and place
+    for r in found:
         words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
         assert r.n_chars == len(r.text)
     want = Counter()
-    for r in mixing.taken_words(docs).collect():
+    for r in mixing.taken_words(docs, **options).collect():
         want[r.doc_id] += r.taken
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
     assert words == Counter({k: v for k, v in want.items() if v})
 
 
 def test_hypergeometric_and_tree():
-    rng = random.Random(1)
-    draws = [mixing.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
+    draws = [mixing.hypergeometric(mixing.uniform(1, k, 0), 30, 70, 20) for k in range(4000)]
     assert np.mean(draws) == pytest.approx(6, abs=0.15) and np.var(draws) == pytest.approx(20 * 0.3 * 0.7 * 80 / 99, rel=0.12)
+    assert mixing.hypergeometric(0.5, 10**9, 10**9, 10**6) == pytest.approx(500_000, abs=10_000)
     shards = mixing.split_tree([100, 7, 0, 53], 7, 3)
     assert [sum(c) for c in zip(*shards)] == [100, 7, 0, 53] and max(map(sum, shards)) - min(map(sum, shards)) <= 2
 
 
+def test_tree_decides_what_shards_hold(docs, monkeypatch):
+    """The tree's counts are those of the blocks in the shards, and another tree gives another result."""
+    options = dict(block_words=16, shard_blocks=20, bin_blocks=8)
+    counts, real = [], mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: counts.append(real(*a)) or counts[-1])
+    placed = mixing.place_blocks(docs, **options)[1].collect()
+    seen = Counter((r.shard, r.source) for r in placed)
+    assert [sorted(v for (s, _), v in seen.items() if s == i) for i in range(len(counts[0]))] == [sorted(x for x in c if x) for c in counts[0]]
+    before = Counter(map(tuple, mixing.taken_words(docs, **options).collect()))
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: [quotas] + [[0] * len(quotas)] * (shards - 1))
+    assert before != Counter(map(tuple, mixing.taken_words(docs, **options).collect()))
+
+
+def test_mixing_sql(spark, tmp_path):
+    """The registered query against its SQL, on rows with nulls, copies and clashing columns; several shards."""
+    import duckdb
+
+    rng = random.Random(12)
+    rows = [(i if i % 50 else None, " ".join(["w"] * rng.choice((0, 3, 900, 2500))), f"s{i % 4}" if i % 9 else None, "x", i) for i in range(700)] + [(7, "same words", "s1", "x", 1)] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, source string, shard string, size long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.taken_words(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT doc_id, size, source_size, target, taken, shards FROM ({mixing.ORACLE})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert len({x.split(":")[0] for r in want for x in r[5].split(",")}) > 4
+
+
 def spots_by_force(text):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     anchors, out = set(spotsigs.ANCHORS), set()

@@ -9,49 +9,54 @@ A distributed difference-cover suffix sort, carried to the 200 bytes that the qu
 2. Names go one level up with all text that can lie in a window around them, up to 132 bytes before
    the tuple and 200 from its start: where that occurs again too, all its windows do. With so wide a
    cover this level already reaches the whole depth, so the recursion ends here.
-3. The remaining suffixes, those that names leave open, are merged: ordered by the hash of their
-   200-byte prefix, each once a block, and adjacent ones compared.
-
-The order is that of 64-bit hashes, as only equality of prefixes is asked for. Texts are written
-once, in blocks, so that answers can be matched to what was asked. Answers are broadcast while they
-are small, which is checked, and joined by shuffle beyond that. Ranges grow in number with the
-bytes, so none takes more memory in a larger corpus; a hot name comes once a block and context.
+3. The remaining suffixes, those that names leave open, are merged: ordered by two hashes of their
+   200-byte prefix (96 bits), each once a block, and adjacent ones compared.
+
+The order is that of hashes, as only equality of prefixes is asked for; names with what surrounds
+them are told apart by over 100 bits. Texts move once, into a table of blocks bucketed by their
+number, so that answers of any size are joined to them without moving texts again. Ranges and buckets
+grow in number with the bytes, so none takes more memory in a larger corpus; a hot name comes once a
+block and context.
 """
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import materialise
+from .common import materialise, remove, shared_dir, shuffle_partitions
 
 #: Bytes of text in a block (more where one text is longer), and in the arrays held at a time.
 BLOCK, CHUNK = 1_000_000, 250_000
-BROADCAST_BYTES = 32_000_000
+#: Bytes of text in a bucket.
+BUCKET = 64_000_000
 #: Bytes of text per range of hashes, and the least and most bits that number the ranges.
 RANGE_TEXT, RANGE_BITS = 64_000_000, (8, 24)
 TWO_BITS = np.array([0, 2, 4, 6], np.uint8)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tables() -> tuple[np.ndarray, int]:
-    rng = np.random.default_rng(20240229)
+def _tables(seed: int) -> tuple[np.ndarray, int]:
+    rng = np.random.default_rng(seed)
     return rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
 
 
-TABLE, BASE_INT = _tables()
+TABLE, BASE_INT = _tables(20240229)
+SECOND_TABLE, SECOND_BASE = _tables(20230131)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE_INT, -1, 1 << 64)
+def _powers(n: int, root: int = BASE_INT) -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(root, -1, 1 << 64)
     up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-    for out, base in ((up, BASE_INT), (down, inverse)):
+    for out, base in ((up, root), (down, inverse)):
         out[0] = 1
         k = 1
         while k < n:
@@ -102,6 +107,7 @@ class Windows:
         self.bounds = np.concatenate([[0], np.cumsum(counts)])
         at = np.repeat(start - self.bounds[:-1], counts) + np.arange(counts.sum())
         self.hash = mixed((prefix[at + size] - prefix[at]) * down[at])
+        self.data, self.at, self.size = data, at, size
 
         v, residues = cover
         tuple_ = size - v + 1
@@ -121,6 +127,19 @@ class Windows:
         #: the text of all those windows and the tuple's place in it; the lowest bit is kept free
         self.stretch = mixed(mixed(self.hash[self.first] + reach * ODD) ^ self.hash[self.last]) & ~np.uint64(1)
 
+    def second(self, chosen: np.ndarray, powers: list) -> np.ndarray:
+        """32 bits of another hash of the chosen windows."""
+        if not chosen.any():
+            return np.zeros(0, np.uint32)
+        total = len(self.data)
+        while not powers or len(powers[0]) < total + 1:
+            powers[:] = _powers(max(2 * CHUNK, total + 1), SECOND_BASE)
+        up, down = powers
+        prefix = np.zeros(total + 1, np.uint64)
+        np.cumsum(SECOND_TABLE[self.data] * up[:total], out=prefix[1:])
+        at = self.at[chosen]
+        return (mixed((prefix[at + self.size] - prefix[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+
     def around(self, chosen: np.ndarray) -> np.ndarray:
         """Which windows hold one of the chosen samples."""
         n = len(self.hash)
@@ -218,17 +237,22 @@ def _answer1(names: list[np.ndarray], stretches: list[np.ndarray]) -> list[np.nd
     return np.split(out, np.cumsum([len(x) for x in names])[:-1])
 
 
-def _answer2(hashes: list[np.ndarray]) -> list[np.ndarray]:
-    every = np.concatenate(hashes)
-    order = np.argsort(every, kind="stable")
-    s = every[order]
-    again = np.zeros(len(s), bool)
-    same = s[1:] == s[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    out = np.empty_like(again)
-    out[order] = again
-    return np.split(out, np.cumsum([len(x) for x in hashes])[:-1])
+def _distinct(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (h, c) in order, each once; which of them each row is; how many rows each has."""
+    order = np.lexsort((c, h))
+    hs, cs = h[order], c[order]
+    new = np.ones(len(hs), bool)
+    new[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
+    group = np.cumsum(new) - 1
+    of = np.empty(len(hs), np.int64)
+    of[order] = group
+    return hs[new], cs[new], of, np.bincount(group, minlength=int(new.sum()))
+
+
+def _answer2(hashes: list[np.ndarray], seconds: list[np.ndarray]) -> list[np.ndarray]:
+    """By entry: whether another block has it."""
+    *_, of, count = _distinct(np.concatenate(hashes), np.concatenate(seconds))
+    return np.split(count[of] > 1, np.cumsum([len(x) for x in hashes])[:-1])
 
 
 def _runs(texts: list[bytes], size: int):
@@ -246,20 +270,39 @@ def _runs(texts: list[bytes], size: int):
     return lambda: kept
 
 
-def _open_windows(runs, codes: np.ndarray) -> np.ndarray:
-    found, at = [], 0
+def _open_windows(runs, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hashes, seconds, at, powers = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], 0, []
     for _, w in runs():
         c = codes[at : at + len(w.first)]
         at += len(c)
-        found.append(w.hash[w.around(c >= 2)])
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        chosen = w.around(c >= 2)
+        hashes.append(w.hash[chosen])
+        seconds.append(w.second(chosen, powers))
+    return np.concatenate(hashes), np.concatenate(seconds)
+
+
+def _bucketed(blocks: DataFrame, parts: int) -> DataFrame:
+    """blocks as a written table of ``parts`` buckets by block, which joins by block without a shuffle."""
+    spark = blocks.sparkSession
+    name = f"equiflow_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    blocks.repartition(parts, "block").write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
+    atexit.register(_drop, spark, name, path)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+    remove(spark, path)
 
 
 def _with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """blocks with the answers to each; broadcast while they have few bytes, else by shuffle."""
-    held = answers.agg(F.sum(F.length("data") + 16)).first()[0] or 0
+    """blocks with the answers to each: these are shuffled and hashed, the blocks stay in their buckets."""
     by = answers.groupBy("block").agg(F.collect_list(F.struct("range", "data")).alias(name))
-    return blocks.join(F.broadcast(by) if held <= BROADCAST_BYTES else by, "block", "left")
+    return blocks.join(by.hint("shuffle_hash"), "block", "left")
 
 
 def _texts(b: pa.RecordBatch, i: int) -> list[bytes]:
@@ -273,9 +316,11 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     and may lie in one document. A null text counts as empty and loses nothing, and neither does
     one of under ``size`` bytes. Repeated rows are copies of each other, so they go wholly if long
     enough. A null doc_id stays null; other columns are ignored; an empty table gives no rows.
+    A text may have up to 2 GB, what Arrow can hold in a value.
     """
-    blocks = materialise(_blocks(docs))
-    wide = (blocks.agg(F.sum("bytes")).first()[0] or 0) // RANGE_TEXT
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wide = total // RANGE_TEXT
+    blocks = _bucketed(_blocks(docs), max(shuffle_partitions(docs.sparkSession), total // BUCKET))
     bits = min(max(RANGE_BITS[0], wide.bit_length()), RANGE_BITS[1])
 
     def send1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,15 +340,15 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 runs = _runs(_texts(b, i), size)
-                hashes = np.unique(_open_windows(runs, Entries(runs(), bits).codes(b.column("codes")[i].as_py())))
+                hashes, seconds, *_ = _distinct(*_open_windows(runs, Entries(runs(), bits).codes(b.column("codes")[i].as_py())))
                 edge = _by_range(hashes >> np.uint64(64 - bits))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(edge), pa.int32()), pa.array([b.column("block")[i].as_py()] * len(edge), pa.int64()), pa.array([blobs.pack(hashes[lo:hi]) for lo, hi in edge.values()], pa.binary())],
-                    names=["range", "block", "hashes"],
+                    [pa.array(list(edge), pa.int32()), pa.array([b.column("block")[i].as_py()] * len(edge), pa.int64()), pa.array([blobs.pack(hashes[lo:hi]) for lo, hi in edge.values()], pa.binary()), pa.array([seconds[lo:hi].tobytes() for lo, hi in edge.values()], pa.binary())],
+                    names=["range", "block", "hashes", "seconds"],
                 )
 
     def answer2(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        again = _answer2([blobs.unpack(x) for x in table.column("hashes").to_pylist()])
+        again = _answer2([blobs.unpack(x) for x in table.column("hashes").to_pylist()], [np.frombuffer(x, np.uint32) for x in table.column("seconds").to_pylist()])
         return pa.table({"block": table.column("block"), "range": table.column("range"), "data": pa.array([np.packbits(a).tobytes() for a in again], pa.binary())})
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,22 +358,21 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
                 texts = _texts(b, i)
                 runs = _runs(texts, size)
                 codes = Entries(runs(), bits).codes(b.column("codes")[i].as_py())
-                asked, count = np.unique(_open_windows(runs, codes), return_counts=True)
+                asked, _, of, count = _distinct(*_open_windows(runs, codes))
                 edge = _by_range(asked >> np.uint64(64 - bits))
                 again = count > 1
                 for a in b.column("bits")[i].as_py() or []:
                     lo, hi = edge[a["range"]]
                     again[lo:hi] |= np.unpackbits(np.frombuffer(a["data"], np.uint8), count=hi - lo).astype(bool)
-                asked = asked[again]
+                repeated, done = again[of], 0
                 gone, at = [np.zeros(len(t) + 1, np.int32) for t in texts], 0
                 for chunk, w in runs():
                     c = codes[at : at + len(w.first)]
                     at += len(c)
                     hit = w.around((c == 1) | (c == 2))
-                    look = np.flatnonzero(w.around(c >= 2) & ~hit)
-                    if len(look) and len(asked):
-                        spot = np.minimum(np.searchsorted(asked, w.hash[look]), len(asked) - 1)
-                        hit[look] = asked[spot] == w.hash[look]
+                    look = np.flatnonzero(w.around(c >= 2))
+                    hit[look] |= repeated[done : done + len(look)]
+                    done += len(look)
                     for p, (k, offset, _) in enumerate(chunk):
                         s = np.flatnonzero(hit[w.bounds[p] : w.bounds[p + 1]]) + offset
                         gone[k][s] += 1
@@ -344,5 +388,5 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     answer = "block long, range int, data binary"
     codes = materialise(blocks.mapInArrow(send1, "range int, block long, names binary, stretches binary").groupBy("range").applyInArrow(answer1, answer))
     known = _with_answers(blocks, codes, "codes")
-    found = materialise(known.mapInArrow(send2, "range int, block long, hashes binary").groupBy("range").applyInArrow(answer2, answer))
+    found = materialise(known.mapInArrow(send2, "range int, block long, hashes binary, seconds binary").groupBy("range").applyInArrow(answer2, answer))
     return _with_answers(known, found, "bits").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

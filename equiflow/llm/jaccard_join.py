@@ -314,7 +314,7 @@ def _pivot_round(cells: DataFrame, sizes: DataFrame, pivots: int, percent: int,
     return edges, materialise(cells.join(ids, ["cell", "class"], "left_semi").select("cell", "class", "n", "set"))
 
 
-def class_links(sets: DataFrame, *, percent: int = 80, cell_tokens: int = 200_000, pivots: int = 16) -> DataFrame:
+def class_links(sets: DataFrame, *, percent: int = 80, cell_tokens: int = 1_000_000, pivots: int = 16) -> DataFrame:
     """Edges (a, b) between classes that connect exactly what links connect. sets: class, n, set."""
     total = sets.agg(F.sum("n")).first()[0] or 0
     # tokens in more than this many classes are frequent; there are at most 2^20 of them
@@ -340,7 +340,7 @@ def class_links(sets: DataFrame, *, percent: int = 80, cell_tokens: int = 200_00
                 # sizes of partners are in the same or a neighbouring range, so each class joins two
                 size = int(np.log(n) / width)
                 for g in (size, size + 1):
-                    out.append(mixed(first + MIX[0] * np.uint64(g)).view(np.int64))
+                    out.append(mixed(first + np.uint64(int(MIX[0]) * g % (1 << 64))).view(np.int64))
                     keys.append(np.full(len(first), k, np.int64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, keys)], names=["token", "class"])

@@ -37,39 +37,71 @@ OTHER = set("ad ads advert advertisement banner sponsor sponsored promo nav navb
 MAIN = set("article content post entry story body main text page prose".split())
 
 
+BARRED = set("form button select dialog datalist".split())
+
+
 class Node:
-    __slots__ = ("tag", "parent", "names", "own", "words", "links", "keep")
+    __slots__ = ("tag", "parent", "names", "own", "words", "links", "keep", "barred")
 
-    def __init__(self, tag: str, parent: int, attributes: str):
+    def __init__(self, tag: str, parent: int, attributes: str, barred: bool = False):
         self.tag, self.parent, self.own, self.words, self.links = tag, parent, 0, 0, 0
         parts = {p for m in NAMES.finditer(attributes) for p in re.split(r"[^a-z]+", next(g for g in m.groups("") if g or g == "").lower())} if "=" in attributes else set()
         self.names = "hidden" if HIDDEN.search(attributes) else "other" if parts & OTHER else "main" if parts & MAIN else "none"
         m = KEEP.search(attributes)
         self.keep = m and int(m[1])
+        #: in a form or control, so known not to be content
+        self.barred = barred or tag in BARRED
+
+
+class Open:
+    """The open elements: (node or -1 where inline markup has none, tag), with the places of each tag."""
+
+    def __init__(self):
+        self.stack, self.places, self.blocks, self.nodes = [(0, "#root")], {}, [0], [0]
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.stack)
+        self.stack.append((node, tag))
+        self.places.setdefault(tag, []).append(at)
+        if node >= 0:
+            self.nodes.append(node)
+            if tag not in INLINE:
+                self.blocks.append(at)
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            node, tag = self.stack.pop()
+            self.places[tag].pop()
+            if node >= 0:
+                self.nodes.pop()
+                if tag not in INLINE:
+                    self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Place of the last open element of these tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Nodes, parents first, and blocks (node, text) in page order."""
-    nodes, stack, blocks, run = [Node("#root", -1, "")], [(0, "#root")], [], []
+    """Nodes, parents first, and blocks (node, text) in page order; time linear in the page."""
+    nodes, held, blocks, run = [Node("#root", -1, "")], Open(), [], []
 
     def flush():
         if run:
             text = " ".join(entities.unescape("".join(t for t, _ in run)).split())
             if text:
-                at = next(i for i, name in reversed(stack) if i >= 0)
+                at = held.nodes[-1]
                 words = text.count(" ") + 1
-                linked = sum(len(t.split()) for t, a in run if a)
                 blocks.append((at, text))
                 nodes[at].own += words
-                while at >= 0:
-                    nodes[at].words += words
-                    nodes[at].links += linked
-                    at = nodes[at].parent
+                nodes[at].words += words
+                nodes[at].links += sum(len(t.split()) for t, a in run if a)
             run.clear()
 
     def close(k: int):
-        flush()
-        del stack[k:]
+        if len(held.nodes) > 1 and any(n >= 0 for n, _ in held.stack[k:]):
+            flush()
+        held.pop_to(k)
 
     links = 0
     for m in TOKEN.finditer(page):
@@ -83,15 +115,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if slash:
             if tag == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] == tag:
-                    if stack[k][0] >= 0:
-                        close(k)
-                    else:
-                        del stack[k]
-                    break
-                if tag in INLINE and stack[k][0] >= 0 and stack[k][1] not in INLINE:
-                    break
+            k = held.last((tag,))
+            # inline markup doesn't end across the block that it is in
+            if k and not (tag in INLINE and held.blocks[-1] > k):
+                if held.stack[k][0] < 0 and k < len(held.stack) - 1:
+                    if all(n < 0 for n, _ in held.stack[k:]):
+                        held.pop_to(k)
+                else:
+                    close(k)
             continue
         if tag in INLINE or tag in VOID:
             if tag in ("br", "wbr", "hr", "img", "input"):
@@ -104,31 +135,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             links += tag == "a"
             named = attributes and NAMES.search(attributes)
             if not named or tag == "a":
-                stack.append((-1, tag))
+                held.push(-1, tag)
                 continue
         else:
             flush()
             links = 0
             if tag in BREAKS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] >= 0 and stack[k][1] not in INLINE:
-                        break
+                k = held.last(("p",))
+                if k and held.blocks[-1] == k:
+                    close(k)
             if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in CLOSES[tag]:
-                        close(k)
-                        break
-                    if stack[k][1] in STOPS[tag]:
-                        break
-        parent = next(i for i, _ in reversed(stack) if i >= 0)
+                k = held.last(CLOSES[tag])
+                if k > held.last(STOPS[tag]):
+                    close(k)
         if tag in INLINE:
             flush()
-        nodes.append(Node(tag, parent, attributes or ""))
-        stack.append((len(nodes) - 1, tag))
+        parent = held.nodes[-1]
+        nodes.append(Node(tag, parent, attributes or "", nodes[parent].barred))
+        held.push(len(nodes) - 1, tag)
     flush()
+    for n in reversed(nodes[1:]):  # children come after their parents
+        up = nodes[n.parent]
+        up.words += n.words
+        up.links += n.links
     return nodes, blocks
 
 
@@ -140,7 +169,7 @@ def seen(n: Node) -> tuple:
 def labelled_pages(count: int = 160, seed: int = 11) -> list[str]:
     """Pages made by rule from usual layouts; data-keep marks what is main text."""
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha")) for _ in range(rng.randint(1, 4)))
+    word = lambda: "".join(rng.choice(("ka", "lo", "mi", "nu", "pe", "ro", "su", "ti", "vo", "ze")) for _ in range(rng.randint(1, 4)))
     say = lambda lo, hi: " ".join(word() for _ in range(rng.randint(lo, hi))) + "."
     link = lambda: f"<a href='/x'>{word()} {word()}</a>"
     menu = lambda: f"<ul data-keep=0>{''.join(f'<li data-keep=0>{link()}</li>' for _ in range(rng.randint(2, 4)))}</ul>"
@@ -216,6 +245,8 @@ def marginals(nodes: list[Node], model: dict) -> list[float]:
                 if v := get(f):
                     a += v[0]
                     b += v[1]
+            if node.barred:
+                b -= 1e4
         up.append([a, b])
     sent = [None] * n
     (s00, s01), (s10, s11) = step
@@ -246,14 +277,16 @@ def main_text(page: str | None, model: dict) -> str:
         return ""
     nodes, blocks = parse(page)
     p = marginals(nodes, model)
-    return "\n".join(t for i, t in blocks if i and p[i] >= 0.5)
+    # a page without any element is its text
+    return "\n".join(t for i, t in blocks if (p[i] >= 0.5 if i else len(nodes) == 1))
 
 
 def extract_pages(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """page_id, url, text of every row; no shuffle.
 
     A null or empty html has an empty text; html of any length is read whole and need not be well
-    formed; repeated rows are read each; other columns are ignored.
+    formed; a text without markup is the main text itself; repeated rows are read each; null ids and
+    urls stay null; other columns are ignored; an empty table gives no rows.
     """
     model = model or fit(labelled_pages())
     schema = pages.select("page_id", "url").schema.add("text", "string")

@@ -20,7 +20,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+#: Below this the likeness of two fingerprints counts as none, so sets of very different length aren't compared.
+LEAST_LIKENESS = 0.05
+
+
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited text and the next text, and how alike they are.
+
+    A null text is empty; rows with one id are ordered by their texts, null ids come last; an empty
+    table gives no rows.
+    """
     df = spotsigs.with_next(documents(spark, sf_dir))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
@@ -33,8 +42,8 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         spotsigs.fingerprint(F.col("spots")).alias("fingerprint"),
         spotsigs.fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
-        spotsigs.likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+        spotsigs.pruned_likeness(F.col("spots"), F.col("edited_spots"), LEAST_LIKENESS).alias("near_edited"),
+        spotsigs.pruned_likeness(F.col("spots"), F.col("next_spots"), LEAST_LIKENESS).alias("near_next"),
     )
 
 

@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty for what they don't cover.
 
 A candidate is a run of key-like characters in a text that holds a sensitive word, before or after it
-or as a name joined to it by ``=``, ``_`` or ``-``. It is compressed with the text around it, less
-its own repetitions, and a list of common identifiers as dictionary; the bytes it adds tell how much
-of it the dictionary explains. Names and prose cost little, random keys cost all they hold.
+or as a name joined to it by ``=``, ``_`` or ``-``. It has letters and digits, or letters alone that
+make no words. It is compressed with the text around it, less its own repetitions, the identifiers of
+the whole text and a list of common ones as dictionary; the bytes it adds tell how much of it the
+dictionary explains. Names and prose cost little, random keys cost all they hold.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|private|auth|bearer|signature|client_?id|access_?key", re.ASCII | re.IGNORECASE)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_ -]?key|credential|private|auth|bearer|signature|client[_ -]?id|access[_ -]?key", re.ASCII | re.IGNORECASE)
 # a name before the value in the same run, as in client_secret-...; what is left must be a candidate itself
 NAME = re.compile(rf"(?:[A-Za-z]+[_-])*?(?:{SENSITIVE.pattern})(?:[_-]?(?:key|id|token|value))*[_-]+", re.ASCII | re.IGNORECASE)
 IDENTIFIERS = " ".join(
@@ -34,6 +35,7 @@ IDENTIFIERS = " ".join(
     "import export default string integer boolean request response header content_type application json http https localhost example "
     "index value object array length buffer stream encode decode base64 sha256 md5 version release commit branch origin master".split()
 ).encode()
+IDENTIFIER = re.compile(r"[A-Za-z_]{3,}")
 AROUND = 256
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,novelty:double>>"
 
@@ -52,10 +54,28 @@ def surroundings(text: str, start: int, end: int) -> str:
     return before.replace(value, "") + after.replace(value, "")
 
 
-def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes per byte of text[start:end], given its surroundings and the identifiers."""
+def key_like(run: str) -> bool:
+    """Letters and digits; or, of letters alone, few vowels or case that changes as in no name."""
+    letters = [c for c in run if c.isalpha()]
+    if any(c.isdigit() for c in run):
+        return bool(letters)
+    turns = sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))
+    return 5 * sum(c in "aeiouyAEIOUY" for c in letters) < len(letters) or (len(run) >= 20 and 6 * turns >= len(run))
+
+
+def identifiers(text: str) -> set[str]:
+    return set(IDENTIFIER.findall(text))
+
+
+def novelty(text: str, start: int, end: int, names: set[str] | None = None) -> float:
+    """Marginal compressed bytes per byte of text[start:end], given its surroundings and the identifiers.
+
+    names: the text's identifiers; those that are a part of the run itself explain nothing.
+    """
+    run = text[start:end]
+    own = " ".join(sorted(w for w in (identifiers(text) if names is None else names) if w not in run)).encode()
     around = surroundings(text, start, end).encode()
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + own + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     zip_ = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     data = text[start:end].encode()
     return max(0, len(zip_.compress(data)) - len(zip_.compress(b""))) / max(1, len(data))
@@ -69,22 +89,23 @@ def find_secrets(text: str, least_novelty: float = 0.7) -> list[tuple[str, int,
     found = sorted((m.start(), k, kind, m.end()) for k, (kind, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m[group]) >= least)
     starts, ends = [s for s, *_ in found], list(accumulate((e for *_, e in found), max, initial=0))
     if SENSITIVE.search(text):
+        names = identifiers(text)
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             name = NAME.match(text, start, end)
             if name and (rest := CANDIDATE.match(text[name.end() : end])):
                 start, end = name.end(), name.end() + rest.end()
             # of the base spans that start before its end, none may end behind its start
-            if ends[bisect_left(starts, end)] <= start and novelty(text, start, end) >= least_novelty:
-                found.append((start, len(BASE), "novel", end))
-    return [(kind, s, e, round(novelty(text, s, e), 4)) for s, _, kind, e in sorted(found)]
+            if key_like(text[start:end]) and ends[bisect_left(starts, end)] <= start and (new := novelty(text, start, end, names)) >= least_novelty:
+                found.append((start, len(BASE), "novel", end, new))
+    return [(kind, s, e, round(n[0] if n else novelty(text, s, e, set()), 4)) for s, _, kind, e, *n in sorted(found)]
 
 
 def scan_secrets(docs: DataFrame, least_novelty: float = 0.7) -> DataFrame:
     """doc_id and spans (kind, start, end, novelty) of every row; no shuffle.
 
     A null text counts as empty and has no spans; repeated rows are scanned each; a null doc_id
-    stays null; other columns are ignored.
+    stays null; other columns are ignored; an empty table gives no rows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ recurrent unit read a window, attention pools its states, and a text's score is
 window.
 
 Only a bounded sample of labelled rows reaches the driver (``per_class`` of each label, picked by
-a hash of doc_id); the fitted network is some hundred kB and is broadcast.
+a hash of doc_id, and of the clean ones ``clean_windows`` windows); the fitted network is some hundred kB and is broadcast.
 """
 
 from __future__ import annotations
@@ -92,9 +92,9 @@ class Network:
             self.p["w" + d], self.p["u" + d] = init(WORD_DIM + CHAR_DIM, 3 * HIDDEN), init(HIDDEN, 3 * HIDDEN)
         self.scale, self.shift = 1.0, 0.0
 
-    def inputs(self, words: list[str]) -> np.ndarray:
+    def inputs(self, words: list[str], known: dict[str, list[int]] | None = None) -> np.ndarray:
         ids = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
-        grams = [trigrams(w) for w in words]
+        grams = [known[w] if known else trigrams(w) for w in words]
         n = np.fromiter(map(len, grams), np.int64, len(grams))
         flat = self.p["tri"][np.concatenate([np.asarray(g) for g in grams])] if grams else np.zeros((0, CHAR_DIM), np.float32)
         chars = np.add.reduceat(flat, np.cumsum(n) - n) / n[:, None] if grams else flat
@@ -185,11 +185,11 @@ class Scorer:
         return sigmoid((np.concatenate(out).astype(float) - net.shift) * net.scale) if out else np.zeros(0)
 
 
-def train(texts: list[str | None], labels: list[int], *, steps: int = 240, seed: int = 5) -> Network:
+def train(texts: list[str | None], labels: list[int], *, clean_windows: int = 40_000, steps: int = 240, seed: int = 5) -> Network:
     """Fit on labelled texts. Windows of clean texts are clean; of a toxic text, the worst one is toxic.
 
-    Which one that is comes first from the words' log odds, then from the network itself. With
-    one label only (or none) the network gives that label to every text.
+    Which one that is comes first from the words' log odds, then from the network itself. A step takes
+    192 windows of clean texts, drawn from ``clean_windows`` of them picked at random. With one label only (or none) the network gives that label to every text.
     """
     docs = [words_of(t) for t in texts]
     y = np.asarray(labels, int)
@@ -213,12 +213,13 @@ def train(texts: list[str | None], labels: list[int], *, steps: int = 240, seed:
     cut = lambda d, s: d[s : s + WINDOW]
     all_pos = [(k, s) for k, d in enumerate(pos) for s in windows(len(d))]
     clean = [(k, s) for k, d in enumerate(neg) for s in windows(len(d))]
-    clean = [clean[i] for i in rng.permutation(len(clean))[:40_000]]
+    clean = [clean[i] for i in rng.permutation(len(clean))[:clean_windows]]
     best = {}
     for k, s in all_pos:
         v = max(value.get(w, 0.0) for w in cut(pos[k], s))
         best[k] = max(best.get(k, (-9.0, 0)), (v, s))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    grams: dict[str, list[int]] = {}
     for step in range(1, steps + 1):
         if step == steps // 2:
             scorer, best = Scorer(net), {}
@@ -231,7 +232,10 @@ def train(texts: list[str | None], labels: list[int], *, steps: int = 240, seed:
         target = np.asarray([v for *_, v in chosen], np.float32)
         distinct = list({w for b in batch for w in b})
         spot = {w: i for i, w in enumerate(distinct)}
-        e = net.inputs(distinct)
+        for w in distinct:
+            if w not in grams:
+                grams[w] = trigrams(w)
+        e = net.inputs(distinct, grams)
         ids, mask = np.zeros((WINDOW, len(batch)), int), np.zeros((WINDOW, len(batch)), np.float32)
         for j, b in enumerate(batch):
             ids[: len(b), j] = [spot[w] for w in b]
@@ -240,11 +244,11 @@ def train(texts: list[str | None], labels: list[int], *, steps: int = 240, seed:
         per = np.zeros_like(e)
         np.add.at(per, ids.ravel(), (dx * mask[:, :, None]).reshape(-1, e.shape[1]))
         g["emb"], g["tri"] = np.zeros_like(net.p["emb"]), np.zeros_like(net.p["tri"])
-        for i, w in enumerate(distinct):
-            if w in words:
-                g["emb"][words[w]] += per[i, :WORD_DIM]
-            t = trigrams(w)
-            np.add.at(g["tri"], t, per[i, WORD_DIM:] / len(t))
+        own = np.fromiter((words.get(w, 0) for w in distinct), np.int64, len(distinct))
+        g["emb"][own[own > 0]] = per[own > 0, :WORD_DIM]
+        n = np.fromiter((len(grams[w]) for w in distinct), np.int64, len(distinct))
+        t = np.concatenate([grams[w] for w in distinct])
+        np.add.at(g["tri"], t, np.repeat(per[:, WORD_DIM:] / n[:, None], n, axis=0))
         for k, v in g.items():
             a, b = moments[k]
             a += 0.1 * (v - a)
@@ -265,15 +269,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200) -> Network:
-    """Train on at most ``per_class`` rows of each label that are not held out."""
+def fit_on(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200, clean_windows: int = 40_000) -> Network:
+    """Train on at most ``per_class`` rows of each label that are not held out, and ``clean_windows`` windows of clean ones."""
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("y")).filter(~held_out(F.col("id")))
     picked = [r for v in (0, 1) for r in rows.filter(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     if not picked:
         return train([], [])
     few = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], "id long, y int"))  # 2 * per_class rows
     got = sorted((r["id"], r["y"], r["text"] or "") for r in docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id")).select("id", "y", "text").collect())
-    return train([t for *_, t in got], [v for _, v, _ in got])
+    return train([t for *_, t in got], [v for _, v, _ in got], clean_windows=clean_windows)
 
 
 def scored(docs: DataFrame, net: Network, name: str = "score") -> Column:
@@ -293,20 +297,24 @@ def scored(docs: DataFrame, net: Network, name: str = "score") -> Column:
     return score(F.col("text")).alias(name)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the texts don't move.
 
     Null and empty texts get the score of an empty window; repeated rows are scored each; a null
     doc_id is not held out; other columns are ignored. Without labels of both kinds all texts get
-    the label that is there (clean if none).
+    the label that is there (clean if none). An empty table gives no rows. options: those of ``fit_on``.
     """
-    net = fit_on(docs, labels, per_class=per_class)
+    net = fit_on(docs, labels, **options)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), scored(docs, net))
     return df.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200) -> DataFrame:
-    """The rows of docs, all columns, whose score is below 0.5."""
+def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, whose score is below 0.5.
+
+    Null and empty texts have the score of an empty window; rows with null or repeated ids are judged
+    each by their text; an empty table gives no rows. options: those of ``fit_on``.
+    """
     columns = docs.columns
-    net = fit_on(docs, labels, per_class=per_class)
+    net = fit_on(docs, labels, **options)
     return docs.select(F.struct(*columns).alias("all"), scored(docs, net, "how")).filter("how < 0.5").select("all.*")

@@ -153,7 +153,8 @@ def judge_urls(pages: DataFrame, model: dict | None = None, rules: tuple = RULES
     A rule fits its host and all subdomains if the path starts with the rule's; the longest host,
     then the longest path, wins. Without a rule the trees decide (block at a score above 0). A url
     that is null or has no ``://`` has an empty host and path and is judged by the trees as an
-    empty or whole string. Repeated rows are judged each; other columns are ignored.
+    empty or whole string. Repeated rows are judged each; a null page_id stays null; other columns are
+    ignored; an empty table gives no rows.
     """
     model = model or fit(labelled_urls())
     u = F.coalesce(F.col("url"), F.lit(""))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import vdf
 from .operators import assign as solver
-from .operators import paths, reports
+from .operators import checks, compare, paths, reports, staging, workflow
+from .sources import gmns
 from .plans.scenario import derived, with_ctes
 
 QUERIES: dict = {}
@@ -30,19 +31,19 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LOADED = with_ctes("link") + """, v AS (SELECT *, volume / greatest(0.01e0, lanes) / greatest(0.0001e0, plf) AS D,
-  volume / greatest(0.01e0, lanes) / greatest(0.0001e0, plf) / greatest(0.1e0, capacity) AS x, 0.75e0 * free_speed AS vc, beta + 1.5e0 AS a FROM link)"""
+  volume / greatest(0.01e0, lanes) / greatest(0.0001e0, plf) / greatest(0.1e0, capacity) AS x, 0.75e0 * free_speed AS vc FROM link)"""
 BPR = "fftt * (1 + alpha * pow(x, beta))"
 REF = "CASE WHEN x < 1 THEN (1 - x) * free_speed + x * vc ELSE vc END"
 PERIOD = f"CASE WHEN x > 1 THEN ({REF}) / (1 + alpha * pow(x, beta)) ELSE x * (({REF}) / (1 + alpha * pow(x, beta))) + (1 - x) * (({REF}) + free_speed) / 2 END"
 FORMULAS = {
     "bpr": (lambda k, c: vdf.bpr(k, c.fftt, c.doc, c.alpha, c.beta), BPR),
     "modified_bpr": (lambda k, c: vdf.bpr(k, c.fftt, c.doc, c.alpha, c.beta, 0.2), "fftt * (1 + 0.2e0 * x + alpha * pow(x, beta))"),
-    "conic": (lambda k, c: vdf.conic(k, c.fftt, c.doc, c.beta + 1.5, vdf.conic_b(c.beta + 1.5)), "fftt * (2 + sqrt(a * a * (1 - x) * (1 - x) + pow((2 * a - 1) / (2 * a - 2), 2)) - a * (1 - x) - (2 * a - 1) / (2 * a - 2))"),
+    "conic": (lambda k, c: vdf.conic(k, c.fftt, c.doc, c.alpha, c.beta), "fftt * (2 + sqrt(alpha * alpha * (1 - x) * (1 - x) + beta * beta) - alpha * (1 - x) - beta)"),
     "qvdf": (lambda k, c: vdf.qvdf(k, c.doc, c.length, c.free_speed, 0.75 * c.free_speed, c.alpha, c.beta, 1.0, 1.0, 1.0), f"length / greatest(0.1e0, {PERIOD}) * 60"),
     "bpr2": (lambda k, c: vdf.bpr2(k, c.fftt, c.doc, c.alpha, c.beta), "fftt * (1 + alpha * pow(x, CASE WHEN x > 1 THEN 2 * beta ELSE beta END))"),
     "inrets": (lambda k, c: vdf.inrets(k, c.fftt, c.doc, c.alpha), "CASE WHEN x <= 1 THEN fftt * (1.1e0 - alpha * x) / greatest(0.05e0, 1.1e0 - x) ELSE fftt * ((1.1e0 - alpha) / 0.1e0) * x * x END"),
-    "akcelik": (lambda k, c: vdf.akcelik(k, c.fftt, c.doc, c.beta), "fftt + x - 1 + sqrt((x - 1) * (x - 1) + beta * x)"),
-    "signal": (lambda k, c: vdf.signal(k, c.fftt, c.doc, c.alpha, c.beta, 0.45), f"{BPR} + 0.5e0 * 60 * 0.3025e0 / greatest(0.05e0, 1 - least(1e0, x) * 0.45e0) / 60"),
+    "akcelik": (lambda k, c: vdf.akcelik(k, c.fftt, c.doc, c.alpha, c.beta), "fftt + alpha * (x - 1 + sqrt((x - 1) * (x - 1) + beta * x))"),
+    "signal": (lambda k, c: vdf.signal(k, c.fftt, c.doc, c.alpha, c.beta, F.lit(0.45)), f"{BPR} + 0.5e0 * 60 * 0.3025e0 / greatest(0.05e0, 1 - least(1e0, x) * 0.45e0) / 60"),
     "added_delay": (lambda k, c: k.most(0.0, vdf.bpr(k, c.fftt, c.doc, c.alpha, c.beta) + 1.4 * c.length), f"greatest(0e0, {BPR} + 1.4e0 * length)"),
 }
 
@@ -119,23 +120,24 @@ register("link_drop_rules", lambda s, sf: broken(s, sf)[0].filter("lanes > 0 AND
 
 
 def demand_filter(s, sf):
-    t = broken(s, sf)[1].join(F.broadcast(derived(s, sf, "node").select(F.col("zone_id").alias("o"), F.lit(True).alias("known"))), "o", "left")
-    return t.groupBy("mode").agg(F.sum(F.when(F.col("known"), F.col("volume")).otherwise(0.0)).alias("kept"), F.sum(F.when(F.col("known").isNull(), F.col("volume")).otherwise(0.0)).alias("dropped"), F.sum(F.col("known").isNull().cast("long")).alias("dropped_rows"))
+    kept, out = gmns.known_zones(broken(s, sf)[1], derived(s, sf, "node"))
+    both = kept.groupBy("mode").agg(F.sum("volume").alias("kept")).join(out, "mode", "full")
+    return both.select("mode", F.coalesce("kept", F.lit(0.0)).alias("kept"), F.coalesce("volume", F.lit(0.0)).alias("dropped"), F.coalesce("rows", F.lit(0)).alias("dropped_rows"))
 
 
 register("demand_zone_filter", demand_filter, with_ctes("node", "demand") + f", {BROKEN_OD} SELECT mode, sum(CASE WHEN o <= 25 THEN volume ELSE 0 END) AS kept, sum(CASE WHEN o > 25 THEN volume ELSE 0 END) AS dropped, CAST(sum(CASE WHEN o > 25 THEN 1 ELSE 0 END) AS BIGINT) AS dropped_rows FROM trips GROUP BY mode")
 
 
 def origins_without_exit(s, sf):
-    out = reports.mode_costs(links(s, sf).filter("from_node_id % 6 <> 0"), derived(s, sf, "mode")).filter("allowed").join(links(s, sf).select("link_id", F.col("from_node_id").alias("o")), "link_id").select("mode", "o").distinct()
-    return derived(s, sf, "demand").groupBy("mode", "o").agg(F.sum("volume").alias("volume")).filter("volume > 0").join(out, ["mode", "o"], "left_anti")
+    return checks.infeasible_origins(links(s, sf).filter("from_node_id % 6 <> 0"), derived(s, sf, "mode"), derived(s, sf, "demand"))
 
 
 register("infeasible_origins", origins_without_exit, with_ctes("link", "mode", "demand") + f" SELECT mode, o, sum(volume) AS volume FROM demand t WHERE NOT EXISTS (SELECT 1 FROM link JOIN mode m ON {_CAN.replace('mode)', 'm.mode)')} WHERE m.mode = t.mode AND from_node_id = t.o AND from_node_id % 6 <> 0) GROUP BY mode, o HAVING sum(volume) > 0")
 register("origin_totals", lambda s, sf: derived(s, sf, "demand").groupBy("o").agg(F.sum("volume").alias("volume"), F.count("*").alias("pairs")), with_ctes("demand") + " SELECT o, sum(volume) AS volume, count(*) AS pairs FROM demand GROUP BY o")
 register("allowed_use_inventory", lambda s, sf: reports.use_classes(links(s, sf), derived(s, sf, "mode")), with_ctes("link", "mode") + f""", k AS (SELECT link_id, allowed_use, sum(CASE WHEN {_CAN} THEN 1 ELSE 0 END) AS k, min(CASE WHEN {_CAN} THEN mode END) AS one, min(CASE WHEN NOT {_CAN} THEN mode END) AS missing, count(*) AS n FROM link, mode GROUP BY ALL)
 SELECT CASE WHEN allowed_use IN ('', 'all') THEN 'all' WHEN allowed_use = 'closed' THEN 'closed' WHEN k = n THEN 'all' WHEN k = 1 THEN 'only:' || one WHEN k = n - 1 THEN 'no:' || missing ELSE 'custom' END AS class, count(*) AS links FROM k GROUP BY 1""")
-register("plf_inventory", lambda s, sf: links(s, sf).groupBy("link_type").agg(F.count("*").alias("links"), F.round(F.avg("plf"), 6).alias("mean_plf"), F.min("plf").alias("min_plf"), F.max("plf").alias("max_plf"), F.sum((F.col("plf") == 1).cast("long")).alias("flat")), with_ctes("link") + " SELECT link_type, count(*) AS links, round(avg(plf), 6) AS mean_plf, min(plf) AS min_plf, max(plf) AS max_plf, CAST(sum(CASE WHEN plf = 1 THEN 1 ELSE 0 END) AS BIGINT) AS flat FROM link GROUP BY link_type")
+register("plf_inventory", lambda s, sf: rounded(staging.plf_inventory(links(s, sf).withColumn("plf", F.col("plf") * (F.col("link_id") % 5) / 3), 3.0, "link_type"), "link_type", "links", "flat", "out_of_range", "below_hour", mean_plf="mean_plf", min_plf="min_plf", max_plf="max_plf", phi="phi"),
+         with_ctes("link") + " SELECT link_type, count(*) AS links, CAST(sum(CASE WHEN p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS flat, CAST(sum(CASE WHEN p <= 0 OR p > 1 THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range, CAST(sum(CASE WHEN p * 3 < 1 THEN 1 ELSE 0 END) AS BIGINT) AS below_hour, round(avg(p), 6) AS mean_plf, round(min(p), 6) AS min_plf, round(max(p), 6) AS max_plf, round(avg(p) * 3, 6) AS phi FROM (SELECT *, plf * (link_id % 5) / 3 AS p FROM link) GROUP BY link_type")
 register("plf_bounds", lambda s, sf: rounded(links(s, sf), "link_id", bounded=reports.bound_plf(F.col("plf") * (F.col("link_id") % 7 - 1) / 3, 3.0)), with_ctes("link") + " SELECT link_id, round(CASE WHEN plf * (link_id % 7 - 1) / 3 <= 0 THEN 0.25e0 ELSE greatest(least(plf * (link_id % 7 - 1) / 3, 1e0), 1e0 / 3) END, 6) AS bounded FROM link")
 register("turn_bans", lambda s, sf: reports.turn_bans(links(s, sf), movements(s, sf), True), with_ctes("link") + " SELECT a.link_id AS ib_link_id, b.link_id AS ob_link_id FROM link a JOIN link b ON a.to_node_id = b.from_node_id WHERE a.from_node_id = b.to_node_id OR (a.link_id + b.link_id) % 17 = 0")
 
@@ -174,12 +176,16 @@ def loaded(s, sf):
     return paths.load(links(s, sf), derived(s, sf, "demand"), modes=False)
 
 
+def flows(s, sf):
+    return paths.load_flows(links(s, sf), derived(s, sf, "demand"), modes=False)
+
+
 def aon_volume(s, sf):
-    return loaded(s, sf)[0].join(F.broadcast(derived(s, sf, "mode").select("mode", "pce")), "mode").groupBy("link_id").agg(F.sum(F.col("flow") * F.col("pce")).alias("volume"))
+    return flows(s, sf).join(F.broadcast(derived(s, sf, "mode").select("mode", "pce")), "mode").groupBy("link_id").agg(F.sum(F.col("flow") * F.col("pce")).alias("volume"))
 
 
 register("aon_volume", aon_volume, FLOWS + " SELECT link_id, sum(volume * pce) AS volume FROM steps JOIN mode USING (mode) GROUP BY link_id")
-register("aon_mode_volume", lambda s, sf: loaded(s, sf)[0].select("mode", "link_id", "flow"), FLOWS + " SELECT mode, link_id, sum(volume) AS flow FROM steps GROUP BY mode, link_id")
+register("aon_mode_volume", lambda s, sf: flows(s, sf).select("mode", "link_id", "flow"), FLOWS + " SELECT mode, link_id, sum(volume) AS flow FROM steps GROUP BY mode, link_id")
 register("aon_route_lengths", lambda s, sf: loaded(s, sf)[1].select("mode", "o", "d", "volume", F.size("links").cast("long").alias("hops"), F.col("cost").cast("long").alias("cost")), FLOWS + " SELECT mode, o, d, any_value(volume) AS volume, count(*) AS hops, any_value((SELECT c FROM sp WHERE sp.o = steps.o AND sp.n = steps.d)) AS cost FROM steps GROUP BY mode, o, d")
 
 
@@ -240,18 +246,51 @@ for _m in ("fw", "cfw", "bfw"):
 
 # comparisons and stage reports
 register("compare_stats", lambda s, sf: rounded(reports.fit(links(s, sf), "volume", "ref_volume"), "n", digits=5, r2="r2", rmse="rmse", rmse_percent="rmse_percent", sum_a="sum_a", sum_b="sum_b"), with_ctes("link") + " SELECT count(*) AS n, round(pow(corr(volume, ref_volume), 2), 5) AS r2, round(sqrt(avg(pow(volume - ref_volume, 2))), 5) AS rmse, round(sqrt(avg(pow(volume - ref_volume, 2))) / avg(ref_volume) * 100, 5) AS rmse_percent, sum(volume) AS sum_a, sum(ref_volume) AS sum_b FROM link")
-register("rmse_by_volume_group", lambda s, sf: rounded(reports.fit(links(s, sf).withColumn("g", reports.volume_group(F.col("ref_volume"))), "volume", "ref_volume", "g"), "g", "n", digits=5, rmse="rmse", rmse_percent="rmse_percent"), with_ctes("link") + " SELECT CASE WHEN ref_volume < 500 THEN '0-500' WHEN ref_volume < 1000 THEN '500-1000' WHEN ref_volume < 2000 THEN '1000-2000' ELSE '2000+' END AS g, count(*) AS n, round(sqrt(avg(pow(volume - ref_volume, 2))), 5) AS rmse, round(sqrt(avg(pow(volume - ref_volume, 2))) / avg(ref_volume) * 100, 5) AS rmse_percent FROM link GROUP BY 1")
-register("band_share", lambda s, sf: links(s, sf).agg(F.round(F.avg((F.abs(F.col("volume") - F.col("ref_volume")) <= 0.1 * F.col("ref_volume")).cast("double")), 6).alias("within_10"), F.sum(F.when(F.col("allowed_use") == "closed", F.col("volume")).otherwise(0.0)).alias("closed_leak"), F.round(F.sum("volume") / F.sum("ref_volume"), 6).alias("ratio"), F.round(F.avg(F.col("volume") - F.col("ref_volume")), 6).alias("bias")), with_ctes("link") + " SELECT round(avg(CASE WHEN abs(volume - ref_volume) <= 0.1e0 * ref_volume THEN 1e0 ELSE 0e0 END), 6) AS within_10, sum(CASE WHEN allowed_use = 'closed' THEN volume ELSE 0e0 END) AS closed_leak, round(sum(volume) / sum(ref_volume), 6) AS ratio, round(avg(volume - ref_volume), 6) AS bias FROM link")
-register("r1_lane_miles", lambda s, sf: links(s, sf).groupBy("link_type", "area_type").agg(F.count("*").alias("links"), F.round(F.sum(F.col("length") * F.col("lanes")), 6).alias("lane_miles")), with_ctes("link") + " SELECT link_type, area_type, count(*) AS links, round(sum(length * lanes), 6) AS lane_miles FROM link GROUP BY ALL")
-register("r2_od_by_class", lambda s, sf: derived(s, sf, "demand").groupBy("mode").agg(F.count("*").alias("pairs"), F.sum("volume").alias("trips"), F.sum(F.when(F.col("o") == F.col("d"), F.col("volume")).otherwise(0.0)).alias("within")), with_ctes("demand") + " SELECT mode, count(*) AS pairs, sum(volume) AS trips, sum(CASE WHEN o = d THEN volume ELSE 0 END) AS within FROM demand GROUP BY mode")
-register("r3_vdf_by_code", lambda s, sf: links(s, sf).groupBy("vdf_type").agg(F.count("*").alias("links"), F.round(F.avg("alpha"), 6).alias("alpha"), F.round(F.avg("beta"), 6).alias("beta"), F.round(F.percentile("capacity", F.lit(0.5)), 6).alias("median_capacity")), with_ctes("link") + " SELECT vdf_type, count(*) AS links, round(avg(alpha), 6) AS alpha, round(avg(beta), 6) AS beta, round(quantile_cont(capacity, 0.5), 6) AS median_capacity FROM link GROUP BY vdf_type")
-register("r4_plf_by_type", lambda s, sf: links(s, sf).groupBy("link_type").agg(F.round(F.avg("plf"), 6).alias("mean"), F.min("plf").alias("low"), F.max("plf").alias("high")), with_ctes("link") + " SELECT link_type, round(avg(plf), 6) AS mean, min(plf) AS low, max(plf) AS high FROM link GROUP BY link_type")
-register("r5_identities", lambda s, sf: reports.link_performance(links(s, sf)).agg(F.round(F.sum("VMT") - F.sum(F.col("volume") * F.col("length")), 4).alias("vmt_gap"), F.sum((F.col("speed") > F.col("free_speed") * 1.001).cast("long")).alias("too_fast"), F.round(F.regr_r2("volume", "ref_volume"), 6).alias("r2"), F.round(F.sum(F.col("volume") * F.col("ref_volume")) / F.sum(F.col("ref_volume") * F.col("ref_volume")), 6).alias("slope")), TIMED + " SELECT 0e0 AS vmt_gap, CAST(sum(CASE WHEN length / greatest(1e-9, tt) * 60 > free_speed * 1.001e0 THEN 1 ELSE 0 END) AS BIGINT) AS too_fast, round(regr_r2(volume, ref_volume), 6) AS r2, round(sum(volume * ref_volume) / sum(ref_volume * ref_volume), 6) AS slope FROM p")
-register("r5_problem_links", lambda s, sf: links(s, sf).filter("abs(volume - ref_volume) > 0.5 * ref_volume").select("link_id", "volume", "ref_volume"), with_ctes("link") + " SELECT link_id, volume, ref_volume FROM link WHERE abs(volume - ref_volume) > 0.5e0 * ref_volume")
-register("r6_vmt_by_group", lambda s, sf: links(s, sf).groupBy("link_type", "area_type").agg(F.sum(F.col("volume") * F.col("length")).alias("vmt"), F.sum(F.col("ref_volume") * F.col("length")).alias("ref_vmt")).withColumn("gate", F.when(F.abs(F.col("vmt") / F.col("ref_vmt") - 1) <= 0.05, "PASS").otherwise("FAIL")), with_ctes("link") + " SELECT link_type, area_type, sum(volume * length) AS vmt, sum(ref_volume * length) AS ref_vmt, CASE WHEN abs(sum(volume * length) / sum(ref_volume * length) - 1) <= 0.05e0 THEN 'PASS' ELSE 'FAIL' END AS gate FROM link GROUP BY link_type, area_type")
+_GROUP = "CASE " + " ".join(f"WHEN r >= {lo} AND r < {hi} THEN {lo}" for lo, hi, _ in reports.VOLUME_GROUPS if hi) + f" ELSE {reports.VOLUME_GROUPS[-1][0]} END"
+_LIMIT = "CASE g " + " ".join(f"WHEN {lo} THEN {most}e0" for lo, _, most in reports.VOLUME_GROUPS) + " END"
+register("rmse_by_volume_group", lambda s, sf: rounded(reports.fit_by_group(links(s, sf).withColumns({"v": F.col("volume") * 9, "r": F.col("ref_volume") * 10}), "v", "r"), "g", "n", "holds", digits=5, error="error", limit="limit", ratio="ratio"),
+         with_ctes("link") + f", v AS (SELECT volume * 9 AS v, ref_volume * 10 AS r FROM link), w AS (SELECT *, {_GROUP} AS g FROM v) SELECT g, count(*) AS n, sqrt(avg(pow(v - r, 2))) / avg(r) <= any_value({_LIMIT}) AS holds, round(sqrt(avg(pow(v - r, 2))) / avg(r), 5) AS error, any_value({_LIMIT}) AS \"limit\", round(sum(v) / sum(r), 5) AS ratio FROM w GROUP BY g")
+register("band_share", lambda s, sf: rounded(compare.band(links(s, sf)), "closed_leak", within="within", ratio="ratio", bias="bias"), with_ctes("link") + " SELECT round(avg(CASE WHEN abs(volume - ref_volume) <= 0.1e0 * ref_volume THEN 1e0 ELSE 0e0 END), 6) AS within, sum(CASE WHEN allowed_use = 'closed' THEN volume ELSE 0e0 END) AS closed_leak, round(sum(volume) / sum(ref_volume), 6) AS ratio, round(avg(volume - ref_volume), 6) AS bias FROM link")
+register("r1_lane_miles", lambda s, sf: rounded(workflow.lane_miles(links(s, sf), "link_type", "area_type"), "link_type", "area_type", "links", lane_miles="lane_miles"), with_ctes("link") + " SELECT link_type, area_type, count(*) AS links, round(sum(length * lanes), 6) AS lane_miles FROM link GROUP BY ALL")
+register("r1_reverse_paired", lambda s, sf: workflow.reverse_paired(links(s, sf).filter("link_id % 7 <> 0")), with_ctes("link") + ", v AS (SELECT DISTINCT from_node_id AS f, to_node_id AS t FROM link WHERE link_id % 7 <> 0) SELECT count(*) AS directed, (SELECT count(*) FROM v a JOIN v b ON a.f = b.t AND a.t = b.f) AS paired FROM v")
+register("r2_od_by_class", lambda s, sf: workflow.demand_by_class(derived(s, sf, "demand")), with_ctes("demand") + " SELECT mode, count(CASE WHEN volume <> 0 THEN 1 END) AS pairs, sum(volume) AS trips, sum(CASE WHEN o = d THEN volume ELSE 0 END) AS within FROM demand GROUP BY mode")
+register("r2_use_groups", lambda s, sf: workflow.use_groups(links(s, sf)), with_ctes("link") + " SELECT CASE allowed_use WHEN '' THEN 'all' ELSE allowed_use END AS allowed_use, count(*) AS links FROM link GROUP BY 1")
+register("r3_vdf_by_code", lambda s, sf: rounded(workflow.parameters_by_code(links(s, sf)), "vdf_type", "links", alpha="alpha", beta="beta", median_capacity="median_capacity"), with_ctes("link") + " SELECT vdf_type, count(*) AS links, round(avg(alpha), 6) AS alpha, round(avg(beta), 6) AS beta, round(quantile_cont(capacity, 0.5), 6) AS median_capacity FROM link GROUP BY vdf_type")
+
+
+def holed(s, sf):
+    k = F.col("link_id")
+    return links(s, sf).withColumns({"capacity": F.when(k % 11 != 0, F.col("capacity")), "alpha": F.when(k % 5 != 0, F.col("alpha"))})
+
+
+register("r3_join_rate", lambda s, sf: rounded(workflow.join_rate(holed(s, sf)), "links", "no_capacity", "no_parameters", "gate", rate="rate"), with_ctes("link") + ", n AS (SELECT count(*) AS links, count(CASE WHEN link_id % 11 = 0 THEN 1 END) AS no_capacity, count(CASE WHEN link_id % 5 = 0 THEN 1 END) AS no_parameters FROM link) SELECT *, CASE WHEN no_capacity = 0 AND no_parameters = 0 THEN 'PASS' WHEN 100e0 * (links - greatest(no_capacity, no_parameters)) / links > 95 THEN 'WARN' ELSE 'FAIL' END AS gate, round(100e0 * (links - greatest(no_capacity, no_parameters)) / links, 6) AS rate FROM n")
+register("r4_plf_by_type", lambda s, sf: rounded(workflow.plf_by(links(s, sf), "link_type"), "link_type", "low", "high", mean="mean"), with_ctes("link") + " SELECT link_type, round(avg(plf), 6) AS mean, min(plf) AS low, max(plf) AS high FROM link GROUP BY link_type")
+register("r4_plf_gate", lambda s, sf: workflow.plf_gate(links(s, sf).withColumn("plf", F.when(F.col("link_type") > 0, F.lit(1.0))), 3.0), with_ctes("link") + " SELECT min(CASE WHEN link_type > 0 THEN 1e0 END) = 1 AND max(CASE WHEN link_type > 0 THEN 1e0 END) = 1 AS flat, CASE WHEN min(CASE WHEN link_type > 0 THEN 1e0 END) = 1 THEN 'FAIL' ELSE 'PASS' END AS gate FROM link")
+
+
+def reported(s, sf):
+    """A run whose reported miles are a little off, so that the identities have something to find."""
+    p = reports.link_performance(links(s, sf).withColumn("vdf_type", F.lit(0)))
+    return p.withColumns({"VMT": F.when(F.col("link_id") % 3 == 0, 1.2).otherwise(1.0) * F.col("VMT"), "speed": F.when(F.col("link_id") % 10 == 0, 2.0).otherwise(1.0) * F.col("speed")})
+
+
+_REPORTED = LOADED + f", p AS (SELECT *, {BPR} AS tt FROM v), q AS (SELECT *, CASE WHEN link_id % 3 = 0 THEN 1.2e0 ELSE 1e0 END * volume * length AS VMT, CASE WHEN link_id % 10 = 0 THEN 2e0 ELSE 1e0 END * length / tt * 60 AS speed FROM p)"
+register("r5_identities", lambda s, sf: rounded(workflow.identities(reported(s, sf)), "out_of_bounds", "gate", vmt_off="vmt_off", vht_off="vht_off"), _REPORTED + ", r AS (SELECT abs(sum(VMT) - sum(volume * length)) / sum(VMT) * 100 AS off, CAST(sum(CASE WHEN speed < 0 OR speed > free_speed * 1.05e0 THEN 1 ELSE 0 END) AS BIGINT) AS out_of_bounds FROM q) SELECT out_of_bounds, CASE WHEN off <= 1 AND out_of_bounds = 0 THEN 'PASS' ELSE 'FAIL' END AS gate, round(off, 6) AS vmt_off, 0e0 AS vht_off FROM r")
+register("r5_reference", lambda s, sf: rounded(workflow.against_reference(links(s, sf)), "n", r2="r2", slope="slope"), with_ctes("link") + " SELECT count(*) AS n, round(regr_r2(volume, ref_volume), 6) AS r2, round(sum(volume * ref_volume) / sum(ref_volume * ref_volume), 6) AS slope FROM link")
+register("r5_problem_links", lambda s, sf: workflow.problem_links(links(s, sf)).select("link_id", "volume", "ref_volume"), with_ctes("link") + " SELECT link_id, volume, ref_volume FROM link WHERE ref_volume > 0 AND abs(volume - ref_volume) > 0.5e0 * ref_volume")
+
+
+def mile_groups(s, sf):
+    p = reports.link_performance(links(s, sf).withColumn("vdf_type", F.lit(0))).withColumns({"ref_vmt": F.col("ref_volume") * F.col("length"), "ref_vht": F.col("ref_volume") * F.col("fftt") / 60})
+    return workflow.miles_by_group(p, "link_type", "area_type")
+
+
+_GROUPS = LOADED + f", g AS (SELECT link_type, area_type, sum(volume * length) AS VMT, sum(ref_volume * length) AS ref_vmt, sum(volume * {BPR} / 60) AS VHT, sum(ref_volume * fftt / 60) AS ref_vht FROM v GROUP BY link_type, area_type), h AS (SELECT *, (VMT - ref_vmt) / ref_vmt * 100 AS difference, ref_vmt >= 0.01e0 * sum(ref_vmt) OVER () AND VMT > 0 AS material FROM g)"
+register("r6_vmt_by_group", lambda s, sf: rounded(mile_groups(s, sf), "link_type", "area_type", "material", VMT="VMT", ref_vmt="ref_vmt", VHT="VHT", ref_vht="ref_vht", difference="difference"), _GROUPS + " SELECT link_type, area_type, material, round(VMT, 6) AS VMT, round(ref_vmt, 6) AS ref_vmt, round(VHT, 6) AS VHT, round(ref_vht, 6) AS ref_vht, round(difference, 6) AS difference FROM h")
+register("r6_gate", lambda s, sf: rounded(workflow.miles_gate(mile_groups(s, sf)), "gate", difference="difference", worst="worst"), _GROUPS + ", t AS (SELECT (sum(VMT) - sum(ref_vmt)) / sum(ref_vmt) * 100 AS d, max(CASE WHEN material THEN abs(difference) END) AS w FROM h) SELECT CASE WHEN abs(d) <= 5 THEN 'PASS' ELSE 'WARN' END AS gate, round(d, 6) AS difference, round(w, 6) AS worst FROM t")
 register("top_congested", lambda s, sf: rounded(reports.with_load(links(s, sf)), "link_id", doc="doc").orderBy(F.desc("doc"), "link_id").limit(5), LOADED + " SELECT link_id, round(x, 6) AS doc FROM v ORDER BY round(x, 6) DESC, link_id LIMIT 5")
 register("run_report_by_type", lambda s, sf: rounded(reports.link_performance(links(s, sf)).groupBy("link_type").agg(F.count("*").alias("links"), F.sum("VMT").alias("v"), F.sum("VHT").alias("h")), "link_type", "links", digits=4, VMT="v", VHT="h"), TIMED + " SELECT link_type, count(*) AS links, round(sum(volume * length), 4) AS VMT, round(sum(volume * tt / 60), 4) AS VHT FROM p GROUP BY link_type")
-register("enforcement_failures", lambda s, sf: loaded(s, sf)[0].join(F.broadcast(links(s, sf).select("link_id", "allowed_use")), "link_id").filter(~reports.allowed(F.col("allowed_use"), F.col("mode")) & (F.col("flow") > 0.01)).select("mode", "link_id", "flow"), FLOWS + f" SELECT mode, link_id, sum(steps.volume) AS flow FROM steps JOIN link USING (link_id) WHERE NOT {_CAN} GROUP BY mode, link_id")
+register("enforcement_failures", lambda s, sf: flows(s, sf).join(F.broadcast(links(s, sf).select("link_id", "allowed_use")), "link_id").filter(~reports.allowed(F.col("allowed_use"), F.col("mode")) & (F.col("flow") > 0.01)).select("mode", "link_id", "flow"), FLOWS + f" SELECT mode, link_id, sum(steps.volume) AS flow FROM steps JOIN link USING (link_id) WHERE NOT {_CAN} GROUP BY mode, link_id")
 
 # edits
 _PROD = "prod AS (SELECT o AS zone_id, sum(volume) AS trips FROM demand GROUP BY o)"
@@ -267,10 +306,99 @@ def zone_map(s, sf):
 
 register("superzone_grid", zone_map, _GRID + " SELECT zone_id, rep_id FROM m")
 register("superzone_od", lambda s, sf: reports.regroup_demand(derived(s, sf, "demand"), zone_map(s, sf)), _GRID + " SELECT mode, a.rep_id AS o, b.rep_id AS d, sum(volume) AS volume FROM demand JOIN m a ON a.zone_id = o JOIN m b ON b.zone_id = d WHERE a.rep_id <> b.rep_id GROUP BY ALL")
-register("demand_diff", lambda s, sf: derived(s, sf, "demand").join(derived(s, sf, "demand").filter("(o + d) % 3 = 0").select("mode", "o", "d", F.floor(F.col("volume") / 2).cast("double").alias("base")), ["mode", "o", "d"], "left").select("mode", "o", "d", (F.col("volume") - F.coalesce("base", F.lit(0.0))).alias("diff")), with_ctes("demand") + " SELECT mode, o, d, volume - CASE WHEN (o + d) % 3 = 0 THEN floor(volume / 2) ELSE 0 END AS diff FROM demand")
+
+
+def demand_changes(s, sf):
+    d = derived(s, sf, "demand")
+    base = d.filter("(o + d) % 3 = 0").withColumn("volume", F.col("volume") + F.when(F.col("o") % 2 == 0, 3).otherwise(-1))
+    more, less = solver.demand_difference(d, base)
+    return more.select("mode", "o", "d", F.col("volume").alias("diff")).unionByName(less.select("mode", "o", "d", (-F.col("volume")).alias("diff")))
+
+
+register("demand_diff", demand_changes, with_ctes("demand") + " SELECT * FROM (SELECT mode, o, d, volume - CASE WHEN (o + d) % 3 = 0 THEN volume + CASE WHEN o % 2 = 0 THEN 3 ELSE -1 END ELSE 0 END AS diff FROM demand) WHERE diff <> 0")
 register("mode_split", lambda s, sf: derived(s, sf, "demand").groupBy("o", "d").agg(F.sum("volume").alias("v")).crossJoin(F.broadcast(s.createDataFrame([("sov", 0.5), ("hov", 0.25), ("truck", 0.25)], "token string, share double"))).select("o", "d", "token", (F.col("v") * F.col("share")).alias("volume")), with_ctes("demand") + " SELECT o, d, token, v * share AS volume FROM (SELECT o, d, sum(volume) AS v FROM demand GROUP BY o, d), (VALUES ('sov', 0.5e0), ('hov', 0.25e0), ('truck', 0.25e0)) s(token, share)")
 register("renumber_zones_first", lambda s, sf: reports.renumber(derived(s, sf, "node").withColumn("zone_id", F.when(F.col("node_id") % 3 == 0, F.col("node_id")).otherwise(0))), with_ctes("node") + " SELECT node_id, row_number() OVER (ORDER BY CASE WHEN node_id % 3 = 0 THEN 0 ELSE 1 END, node_id) AS new_id FROM node")
-register("convergence_delta", lambda s, sf: links(s, sf).agg(F.max(F.abs(F.col("volume") - F.col("ref_volume"))).alias("max_delta"), F.sum(F.col("volume") * F.col("length")).alias("vmt")), with_ctes("link") + " SELECT max(abs(volume - ref_volume)) AS max_delta, sum(volume * length) AS vmt FROM link")
+
+
+def runs(s, sf):
+    v = links(s, sf)
+    two = [v.select(F.lit(k).alias("iterations"), "link_id", F.col(c).alias("volume"), "length") for k, c in ((1, "volume"), (10, "ref_volume"))]
+    return two[0].unionByName(two[1]).unionByName(v.select(F.lit(20).alias("iterations"), "link_id", ((F.col("volume") + F.col("ref_volume")) / 2).alias("volume"), "length"))
+
+
+register("convergence_delta", lambda s, sf: compare.convergence(runs(s, sf)), with_ctes("link") + " SELECT 1 AS iterations, sum(volume * length) AS vmt, CAST(NULL AS DOUBLE) AS max_delta FROM link UNION ALL SELECT 10, sum(ref_volume * length), max(abs(volume - ref_volume)) FROM link UNION ALL SELECT 20, sum((volume + ref_volume) / 2 * length), max(abs((volume + ref_volume) / 2 - ref_volume)) FROM link")
+register("two_runs", lambda s, sf: rounded(compare.two_runs(links(s, sf), links(s, sf).filter("link_id % 4 <> 0").withColumn("volume", F.col("ref_volume"))), "n", "max_delta", digits=5, r2="r2", rmse="rmse", vmt_a="vmt_a", vmt_b="vmt_b"), with_ctes("link") + " SELECT count(*) AS n, max(abs(volume - ref_volume)) AS max_delta, round(pow(corr(volume, ref_volume), 2), 5) AS r2, round(sqrt(avg(pow(volume - ref_volume, 2))), 5) AS rmse, round(sum(volume * length), 5) AS vmt_a, round(sum(ref_volume * length), 5) AS vmt_b FROM link WHERE link_id % 4 <> 0")
+
+
+def doubled(s, sf):
+    v = links(s, sf)
+    return v.unionByName(v.filter("link_id % 3 = 0").withColumns({"link_id": F.col("link_id") + 100_000, "lanes": F.col("lanes") + 5}))
+
+
+register("performance_by_ends", lambda s, sf: compare.performance_of_links(links(s, sf).select("from_node_id", "to_node_id", "volume"), doubled(s, sf).filter("link_id % 5 <> 0"), "lanes"), with_ctes("link") + ", w AS (SELECT link_id, from_node_id AS f, to_node_id AS t, lanes FROM link UNION ALL SELECT link_id + 100000, from_node_id, to_node_id, lanes + 5 FROM link WHERE link_id % 3 = 0), z AS (SELECT f, t, arg_max(lanes, link_id) AS lanes FROM w WHERE link_id % 5 <> 0 GROUP BY f, t) SELECT from_node_id, to_node_id, volume, z.lanes FROM link LEFT JOIN z ON f = from_node_id AND t = to_node_id")
+register("performance_by_id", lambda s, sf: compare.performance_of_ids(links(s, sf).select("link_id", "volume"), links(s, sf).filter("link_id % 5 <> 0"), "capacity"), with_ctes("link") + " SELECT link_id, volume, capacity FROM link WHERE link_id % 5 <> 0")
+register("volumes_with_reference", lambda s, sf: compare.volumes_with_reference(links(s, sf), links(s, sf).withColumn("factype", F.col("area_type"))).select("from_node_id", "to_node_id", "volume", "ref_volume"), with_ctes("link") + " SELECT from_node_id, to_node_id, volume, ref_volume FROM link WHERE area_type <> 0")
+register("benchmark_medians", lambda s, sf: compare.benchmark(links(s, sf).select(F.col("link_type").alias("facility"), F.col("area_type").alias("area"), "free_speed"), s.createDataFrame([(f, a, 36.0 + f + a) for f in (1, 2, 3) for a in (0, 1, 2)], "facility long, area long, expected double"), F.col("free_speed"), F.lit(3.0)), with_ctes("link") + ", m AS (SELECT link_type AS facility, area_type AS area, quantile_cont(free_speed, 0.5) AS median, count(*) AS links FROM link GROUP BY ALL) SELECT *, 36e0 + facility + area AS expected, abs(median - (36e0 + facility + area)) <= 3 AS within FROM m WHERE facility <= 3")
+
+# parameters by facility, adapted tables
+_CONIC = "CASE link_type " + " ".join(f"WHEN {k} THEN {v}e0" for k, v in staging.CONIC_A.items()) + " END"
+register("stage_conic", lambda s, sf: rounded(reports.with_time(staging.with_conic(links(s, sf), "link_type").withColumn("beta", F.lit(9.0))), "link_id", "vdf_type", travel_time="travel_time"), LOADED + f", c AS (SELECT *, {_CONIC} AS a FROM v) SELECT link_id, CASE WHEN a IS NULL THEN 0 ELSE 1 END AS vdf_type, round(fftt * (2 + sqrt(a * a * (1 - x) * (1 - x) + pow((2 * a - 1) / (2 * a - 2), 2)) - a * (1 - x) - (2 * a - 1) / (2 * a - 2)), 6) AS travel_time FROM c")
+_Q = lambda i: f"CASE link_type WHEN 1 THEN {staging.QUEUE[1][i]}e0 WHEN 2 THEN {staging.QUEUE[2][i]}e0 ELSE {staging.QUEUE_OTHERS[i]}e0 END"
+register("stage_queue", lambda s, sf: rounded(reports.with_time(staging.with_queue(links(s, sf), "link_type")), "link_id", digits=5, travel_time="travel_time"), with_ctes("link") + f""", p AS (SELECT *, {_Q(0)} AS al, {_Q(1)} AS be, {_Q(3)} AS cd, {_Q(4)} AS n, volume / lanes / {_Q(6)} / capacity AS x, 0.75e0 * free_speed AS vc FROM link),
+q AS (SELECT *, {REF} AS ref, cd * pow(x, n) AS pp FROM p), r AS (SELECT *, ref / (1 + al * pow(x, be)) AS qs FROM q)
+SELECT link_id, round(length / greatest(0.1e0, CASE WHEN pp > 1 THEN qs ELSE pp * qs + (1 - pp) * (ref + free_speed) / 2 END) * 60, 5) AS travel_time FROM r""")
+register("stage_modified_bpr", lambda s, sf: rounded(staging.with_modified_bpr(links(s, sf).withColumns({"facility": F.col("link_id") % 15, "weave": F.col("link_id") % 2, "lanes": F.col("lanes") + 3})), "link_id", linear="linear", alpha="alpha", beta="beta", capacity="capacity"),
+         with_ctes("link") + ", w AS (SELECT link_id, link_id % 15 AS f, link_id % 2 = 1 AS w, capacity, lanes + 3 AS lanes FROM link), t AS (SELECT *, CASE WHEN w AND f IN (1, 4, 5, 6) THEN 9 WHEN f IN (1, 4, 5, 6) THEN 1 WHEN f IN (7, 8, 9) THEN 7 WHEN f IN (0, 2, 3) THEN f ELSE 10 END AS c FROM w) SELECT link_id, CASE c WHEN 9 THEN 0.2e0 WHEN 0 THEN 0e0 WHEN 2 THEN 0e0 WHEN 3 THEN 0e0 ELSE 0.1e0 END AS linear, CASE c WHEN 9 THEN 1.25e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 1e0 WHEN 3 THEN 1.25e0 WHEN 7 THEN 1e0 WHEN 0 THEN 0.15e0 ELSE 0.45e0 END AS alpha, CASE c WHEN 9 THEN 5.5e0 WHEN 1 THEN 6e0 ELSE 4e0 END AS beta, round(CASE WHEN w AND lanes > 4 THEN capacity * pow(0.98e0, lanes - 1) ELSE capacity END, 6) AS capacity FROM t")
+_CODES = "CASE code " + " ".join(f"WHEN {k} THEN {v[1]}" for k, v in staging.BY_CODE.items()) + " END"
+register("stage_code_table", lambda s, sf: rounded(staging.with_code_table(links(s, sf).withColumn("vdf_code", 100 * (1 + F.col("area_type")) + F.col("link_id") % 12)), "link_id", "recoded", alpha="alpha"), with_ctes("link") + f", c AS (SELECT *, 100 * (1 + area_type) + link_id % 12 AS code FROM link) SELECT link_id, {_CODES} IS NOT NULL AS recoded, round(coalesce({_CODES}, alpha), 6) AS alpha FROM c")
+register("stage_observed_plf", lambda s, sf: rounded(links(s, sf), "link_id", plf=staging.observed_plf(F.col("volume"), F.col("capacity"), F.col("ref_volume") / 1000)), with_ctes("link") + ", p AS (SELECT *, volume / (4 * capacity * (ref_volume / 1000)) AS p FROM link) SELECT link_id, round(CASE WHEN volume > 0 AND ref_volume > 0 AND p >= 0.3e0 AND p <= 1.5e0 THEN p ELSE 0.8503e0 END, 6) AS plf FROM p")
+register("stage_prohibited_use", lambda s, sf: links(s, sf).select("link_id", staging.prohibited_use(F.col("link_id") % 14).alias("allowed_use")), with_ctes("link") + " SELECT link_id, CASE link_id % 14 WHEN 2 THEN 'hov2;hov3' WHEN 11 THEN 'hov2;hov3' WHEN 6 THEN 'hov3' WHEN 4 THEN 'trk' WHEN 10 THEN 'trk' ELSE '' END AS allowed_use FROM link")
+
+
+def as_text(s, sf):
+    """The links as a file would have them: text, other names, some holes."""
+    k = F.col("link_id")
+    return links(s, sf).select(k.cast("string").alias("LINK_ID"), F.col("from_node_id").cast("string").alias("From_Node_ID"), F.col("to_node_id").cast("string").alias("to_node_id"), F.when(k % 5 == 0, "0").otherwise(F.col("lanes").cast("string")).alias("Lanes"), F.when(k % 3 == 0, "").otherwise(F.col("capacity").cast("string")).alias("capacity"), F.col("free_speed").cast("string").alias("FREE_SPEED"), F.when(k % 2 == 0, F.lit("7.5")).otherwise("").alias("VDF_length_mi"), F.col("length").cast("string").alias("length"), F.when(k % 4 == 0, "Motorway ").otherwise("lane").alias("facility_type"))
+
+
+register("adapt_links", lambda s, sf: staging.adapt_links(as_text(s, sf)).select("link_id", "lanes", "capacity", F.col("vdf_free_speed_mph").cast("double").alias("speed"), F.col("vdf_length_mi").cast("double").alias("miles")), with_ctes("link") + " SELECT CAST(link_id AS VARCHAR) AS link_id, CASE WHEN link_id % 5 = 0 THEN 1e0 ELSE lanes END AS lanes, CASE WHEN link_id % 3 <> 0 THEN capacity WHEN link_id % 4 = 0 THEN 2000e0 ELSE 1000e0 END AS capacity, free_speed AS speed, CASE WHEN link_id % 2 = 0 THEN 7.5e0 ELSE length END AS miles FROM link")
+
+
+def period_table(s, sf):
+    settings = {"iterations": 1, "agent_types": {}, "periods": {"2": {"name": "NT", "time_period": "1800_0600"}}, "demand_files": []}
+    v = links(s, sf).select("link_id", "from_node_id", "to_node_id", F.col("link_type").cast("string").alias("link_type"), "lanes", "free_speed", "length", F.col("fftt").alias("VDF_fftt2"), (F.col("capacity") * 10).alias("VDF_cap2"), F.lit(1.0).alias("VDF_cap1"), F.col("alpha").alias("VDF_alpha2"), F.col("beta").alias("VDF_beta2"))
+    return staging.single_period(v, derived(s, sf, "node").withColumn("pos", -F.col("node_id")), settings, "nt")[0]
+
+
+register("single_period", lambda s, sf: rounded(period_table(s, sf), "link_id", vdf_plf="vdf_plf", capacity="capacity", miles="vdf_length_mi", cutoff_speed="cutoff_speed"), with_ctes("link") + " SELECT link_id, CASE WHEN link_type = 2 THEN 0.39e0 ELSE 0.4e0 END AS vdf_plf, round(round(capacity * 10 / (lanes * 12e0), 3), 6) AS capacity, round(round(fftt * free_speed / 60, 6), 6) AS miles, round(round(free_speed * 0.75e0, 3), 6) AS cutoff_speed FROM link")
+
+
+def text_tables(s, sf):
+    """Node and link files with faults of every kind."""
+    n = derived(s, sf, "node").select(F.when(F.col("node_id") == 9, "9x").otherwise(F.col("node_id").cast("string")).alias("node_id"), F.col("zone_id").cast("string").alias("zone_id"), F.lit("0").alias("x_coord"))
+    k = F.col("link_id")
+    v = links(s, sf).orderBy("link_id").select(k.cast("string").alias("link_id"), F.when(k % 31 == 0, "?").otherwise(F.col("from_node_id").cast("string")).alias("from_node_id"), F.when(k % 17 == 0, "99").otherwise(F.col("to_node_id").cast("string")).alias("to_node_id"), F.when(k % 13 == 0, "0").otherwise(F.col("lanes").cast("string")).alias("lanes"), F.lit("10").alias("capacity"), F.col("free_speed").cast("string").alias("free_speed"), F.col("vdf_type").cast("string").alias("vdf_type"), F.when(k % 2 == 0, "1").alias("vdf_cp"), F.lit("1").alias("vdf_cd"), F.lit("1").alias("vdf_n"), F.lit("4").alias("vdf_s"), F.lit("1").alias("vdf_plf"), "allowed_use")
+    return n, v
+
+
+_TEXT = with_ctes("node", "link")
+register("check_files", lambda s, sf: checks.check_tables(*text_tables(s, sf), ["AUTOMOBILE", "BUILDING"], 3.0), _TEXT + """
+SELECT 'ERROR' AS severity, 'node' AS file, 'missing_column' AS code, 'y_coord' AS item
+UNION ALL SELECT 'ERROR', 'link', 'not_a_number', 'from_node_id:' || link_id FROM link WHERE link_id % 31 = 0
+UNION ALL SELECT 'ERROR', 'link', 'unknown_to', CAST(link_id AS VARCHAR) FROM link WHERE link_id % 17 = 0
+UNION ALL SELECT 'ERROR', 'link', 'not_positive', 'lanes:' || link_id FROM link WHERE link_id % 13 = 0
+UNION ALL SELECT 'WARNING', 'link', 'queue_parameter', 'vdf_cp:' || link_id FROM link WHERE vdf_type = 2 AND link_id % 2 <> 0
+UNION ALL SELECT 'WARNING', 'link', 'unknown_mode', link_id || ':' || t FROM (SELECT link_id, unnest(string_split(allowed_use, ';')) AS t FROM link WHERE allowed_use NOT IN ('', 'all', 'closed')) WHERE t NOT IN ('AUTOMOBILE', 'BUILDING')
+UNION ALL SELECT 'WARNING', 'link', 'flat_plf', 'vdf_plf'""")
+register("check_movements", lambda s, sf: checks.check_movements(movements(s, sf).withColumn("ob_link_id", F.when(F.col("ib_link_id") % 5 == 0, -F.col("ob_link_id")).otherwise(F.col("ob_link_id"))), links(s, sf)), with_ctes("link") + " SELECT 'ERROR' AS severity, 'movement' AS file, 'unknown_ob_link_id' AS code, CAST(-b.link_id AS VARCHAR) AS item FROM link a JOIN link b ON a.to_node_id = b.from_node_id WHERE (a.link_id + b.link_id) % 17 = 0 AND a.link_id % 5 = 0")
+register("fill_log", lambda s, sf: checks.fill_with_log(holed(s, sf).withColumn("allowed_use", F.when(F.col("link_id") % 7 == 0, " ").otherwise("all")))[1], with_ctes("link") + " SELECT 'alpha' AS \"column\", count(*) AS filled FROM link WHERE link_id % 5 = 0 UNION ALL SELECT 'allowed_use', count(*) FROM link WHERE link_id % 7 = 0")
+register("zone_degrees", lambda s, sf: checks.zone_degrees(links(s, sf), derived(s, sf, "mode"), derived(s, sf, "node")), with_ctes("node", "link", "mode") + f" SELECT mode, zone_id, (SELECT count(*) FROM link WHERE from_node_id = zone_id AND {_CAN}) AS out_links, (SELECT count(*) FROM link WHERE to_node_id = zone_id AND {_CAN}) AS in_links FROM node, mode")
+
+
+def declared_query(s, sf):
+    lines = s.createDataFrame([("capacity_basis: per_lane",), ("length_unit: m  # metres",), ("vot: TODO",), ("capacity_period: daily",), ("# none",)], "value string")
+    return checks.declarations(edits.declared(lines), checks.link_facts(links(s, sf)), 3.0)
+
 
 # estimation, vehicles, simulation and map matching
 from .operators import estimate  # noqa: E402
@@ -292,8 +420,8 @@ register("vehicle_generation", lambda s, sf: estimate.vehicles(loaded(s, sf)[1])
 
 
 def simulation(s, sf):
-    """All reachable pairs with their own volumes; they share the network, so they are one part."""
-    agents = estimate.vehicles(loaded(s, sf)[1]).withColumn("agent_id", F.xxhash64("mode", "o", "d", "i")).withColumn("part", F.lit(0))
+    """All reachable pairs with their own volumes; those that share roads are one task."""
+    agents = estimate.vehicles(loaded(s, sf)[1]).withColumn("agent_id", F.xxhash64("mode", "o", "d", "i"))
     return estimate.simulate(links(s, sf), agents)
 
 
@@ -364,7 +492,8 @@ def repaired(s, sf):
 
 register("adapt_repair", repaired, "SELECT p_partkey, CASE WHEN p_size % 4 <= 0 THEN 1 ELSE p_size % 4 END AS lanes, CASE WHEN p_size % 3 = 0 THEN CASE p_partkey % 4 WHEN 0 THEN 2000e0 WHEN 1 THEN 1900e0 WHEN 2 THEN 1500e0 ELSE 1000e0 END ELSE p_size % 3 * 700e0 END AS capacity FROM part")
 register("intake_evidence", lambda s, sf: edits.evidence(links(s, sf)), with_ctes("link") + " SELECT severity, code FROM (SELECT quantile_cont(length, 0.5) AS l, max(capacity) AS c, quantile_cont(volume / capacity / lanes, 0.5) AS vc, count(DISTINCT plf) AS p FROM link) a, (VALUES ('BLOCKER', 'length_in_metres'), ('BLOCKER', 'daily_capacity'), ('DECISION', 'empty_network'), ('DECISION', 'flat_plf')) f(severity, code) WHERE CASE code WHEN 'length_in_metres' THEN l > 100 WHEN 'daily_capacity' THEN c > 10000 WHEN 'empty_network' THEN vc < 0.05e0 ELSE p <= 1 END")
-register("stage_gate", lambda s, sf: edits.worst_gate(QUERIES["r6_vmt_by_group"](s, sf)), ORACLES["r6_vmt_by_group"].replace(" SELECT link_type", ", g AS (SELECT link_type") + ") SELECT CASE WHEN max(CASE WHEN gate = 'FAIL' THEN 1 ELSE 0 END) = 1 THEN 'FAIL' ELSE 'PASS' END AS gate FROM g")
+register("stage_gate", lambda s, sf: edits.worst_gate(QUERIES["r5_identities"](s, sf).select("gate").unionByName(QUERIES["r3_join_rate"](s, sf).select("gate")).unionByName(QUERIES["r6_gate"](s, sf).select("gate"))), "SELECT 'FAIL' AS gate")
+register("intake_declarations", declared_query, "SELECT * FROM (VALUES " + ", ".join(f"('{sev}', 'submission', 'undeclared', '{k}')" for k, sev in checks.DECLARATIONS if k not in ("capacity_basis", "length_unit", "capacity_period")) + ", ('DECISION', 'submission', 'daily_capacity', 'capacity_period'), ('DECISION', 'submission', 'length_unit_differs', 'm'), ('DECISION', 'submission', 'flat_plf', 'peak_load_factor')) f(severity, file, code, item)")
 
 
 def matrix_to_long(s, sf):
@@ -377,4 +506,84 @@ register("matrix_to_long", matrix_to_long, with_ctes("demand") + " SELECT CASE m
 register("system_cost", lambda s, sf: reports.with_time(links(s, sf).drop("volume").join(aon_volume(s, sf), "link_id")).agg(F.round(F.sum(F.col("travel_time") * F.col("volume")) / 1e6, 4).alias("total")), _AON + " SELECT round(sum(tt * volume) / 1e6, 4) AS total FROM p WHERE volume > 0")
 register("kmeans_superzones", lambda s, sf: edits.zone_clusters(derived(s, sf, "node"), 6).groupBy("cluster").agg(F.count("*").alias("zones")))
 register("od_rank_energy", lambda s, sf: edits.rank_energy(derived(s, sf, "demand")))
-register("plf_apply", lambda s, sf: rounded(links(s, sf), "link_id", plf=reports.bound_plf(F.when(F.col("link_type") == 2, 2.83).when(F.col("link_type") == 4, 2.48).otherwise(3.0) / 3.0, 3.0)), with_ctes("link") + " SELECT link_id, round(greatest(least(CASE link_type WHEN 2 THEN 2.83e0 WHEN 4 THEN 2.48e0 ELSE 3e0 END / 3e0, 1e0), 1e0 / 3e0), 6) AS plf FROM link")
+register("plf_apply", lambda s, sf: rounded(staging.with_plf(links(s, sf), "AM"), "link_id", plf="plf"), with_ctes("link") + " SELECT link_id, round(greatest(least(CASE WHEN link_type IN (2, 3, 4, 6, 10, 11) THEN 2.48e0 ELSE 2.83e0 END / 3e0, 1e0), 1e0 / 3e0), 6) AS plf FROM link")
+
+
+def own_links(s, sf):
+    """Links with parameters of their own."""
+    k = F.col("link_id")
+    return links(s, sf).withColumns({"linear": k % 3 * 0.1, "conic_a": F.when(k % 2 == 0, 4.0).otherwise(0.0), "conic_b": F.lit(0.0), "cutoff": F.col("free_speed") * 0.6, "cd": 1 + k % 3 * 0.1, "n": 1 + k % 2 * 0.2, "green": 0.3 + k % 3 * 0.1})
+
+
+_OWN = LOADED.replace("0.75e0 * free_speed AS vc", "0.6e0 * free_speed AS vc") + f""", o AS (SELECT *, link_id % 3 * 0.1e0 AS li, CASE WHEN link_id % 2 = 0 THEN 4e0 ELSE alpha END AS ca, CASE WHEN link_id % 2 = 0 THEN 7e0 / 6 ELSE beta END AS cb, (1 + link_id % 3 * 0.1e0) * pow(x, 1 + link_id % 2 * 0.2e0) AS pp, 0.3e0 + link_id % 3 * 0.1e0 AS gr, {REF} AS ref FROM v),
+q AS (SELECT *, ref / (1 + alpha * pow(x, beta)) AS qs FROM o), z AS (SELECT link_id, CASE vdf_type WHEN 0 THEN fftt * (1 + li * x + alpha * pow(x, beta)) WHEN 1 THEN fftt * (2 + sqrt(ca * ca * (1 - x) * (1 - x) + cb * cb) - ca * (1 - x) - cb)
+  WHEN 2 THEN length / greatest(0.1e0, CASE WHEN pp > 1 THEN qs ELSE pp * qs + (1 - pp) * (ref + free_speed) / 2 END) * 60 WHEN 3 THEN {FORMULAS['bpr2'][1]} WHEN 4 THEN {FORMULAS['inrets'][1]} WHEN 5 THEN {FORMULAS['akcelik'][1]}
+  ELSE {BPR} + 30 * pow(1 - gr, 2) / greatest(0.05e0, 1 - least(1e0, x) * gr) / 60 END AS tt FROM q)"""
+register("link_times_own_parameters", lambda s, sf: rounded(reports.with_time(own_links(s, sf)), "link_id", digits=5, travel_time="travel_time"), _OWN + " SELECT link_id, round(greatest(0e0, tt), 5) AS travel_time FROM z")
+
+# reports of pairs
+register("od_report", lambda s, sf: rounded(edits.od_report(minutes_pairs(s, sf), derived(s, sf, "node"), 25), "mode", "o", "d", "geometry", "map_url", digits=5, miles="miles", minutes="minutes", straight_miles="straight_miles", ratio="ratio"), _PAIRS + """, a AS (SELECT p.*, m.x AS x1, m.y AS y1, n.x AS x2, n.y AS y2, pow(sin(radians(n.y - m.y) / 2), 2) + cos(radians(m.y)) * cos(radians(n.y)) * pow(sin(radians(n.x - m.x) / 2), 2) AS h FROM pairs p JOIN node m ON m.node_id = p.o JOIN node n ON n.node_id = p.d),
+b AS (SELECT *, 3958.8e0 * 2 * atan2(sqrt(h), sqrt(1 - h)) AS s FROM a)
+SELECT mode, o, d, printf('LINESTRING (%.6f %.6f, %.6f %.6f)', x1::DOUBLE, y1::DOUBLE, x2::DOUBLE, y2::DOUBLE) AS geometry, CASE WHEN volume > 10 THEN printf('https://www.google.com/maps/dir/%.6f,%.6f/%.6f,%.6f', y1::DOUBLE, x1::DOUBLE, y2::DOUBLE, x2::DOUBLE) ELSE '' END AS map_url,
+  round(miles, 5) AS miles, round(cost, 5) AS minutes, round(s, 5) AS straight_miles, round(CASE WHEN s < 0.001e0 THEN 1 ELSE miles / s END, 5) AS ratio FROM b""")
+register("path_totals", lambda s, sf: rounded(reports.totals(minutes_pairs(s, sf), lengths(s, sf)), "pairs", "trips", digits=4, pair_miles="pair_miles", pair_minutes="pair_minutes", trip_miles="trip_miles", trip_minutes="trip_minutes"), _PAIRS + " SELECT count(*) AS pairs, sum(volume) AS trips, round(avg(miles), 4) AS pair_miles, round(avg(cost), 4) AS pair_minutes, round(sum(volume * miles) / sum(volume), 4) AS trip_miles, round(sum(volume * cost) / sum(volume), 4) AS trip_minutes FROM pairs")
+register("delay_performance", lambda s, sf: rounded(reports.delay_performance(minutes_pairs(s, sf).withColumn("cost", F.col("cost") * (1 + F.col("o") / 50)), lengths(s, sf), minutes_pairs(s, sf).select("mode", "o", "d", F.col("cost").alias("free_minutes"))), "mode", digits=4, hours="hours", free_hours="free_hours", delay="delay", tti="tti", speed="speed", free_speed="free_speed"), _PAIRS + ", a AS (SELECT mode, sum(volume * cost * (1 + o / 50) / 60) AS h, sum(volume * cost / 60) AS f, sum(volume * miles) AS m FROM pairs GROUP BY mode) SELECT mode, round(h, 4) AS hours, round(f, 4) AS free_hours, round(h - f, 4) AS delay, round(h / f, 4) AS tti, round(m / h, 4) AS speed, round(m / f, 4) AS free_speed FROM a")
+register("access_reasons", lambda s, sf: checks.access(cut_network(s, sf), derived(s, sf, "mode").withColumn("mode", F.col("mode")), derived(s, sf, "demand"), paths.load_pairs(cut_network(s, sf).withColumn("allowed_use", F.lit("all")), derived(s, sf, "demand"))).select("mode", "kind", "o", "d", "volume"),
+         _tree_sql("AND l.from_node_id <> 13 AND l.to_node_id <> 25").replace(with_ctes("link", recursive=True), with_ctes("link", "demand", "mode", recursive=True)) + f", cut AS (SELECT * FROM link WHERE from_node_id <> 13 AND to_node_id <> 25) SELECT d.mode, CASE WHEN NOT EXISTS (SELECT 1 FROM cut JOIN mode m ON {_CAN.replace('mode)', 'm.mode)')} WHERE m.mode = d.mode AND from_node_id = d.o) THEN 'no_out' WHEN NOT EXISTS (SELECT 1 FROM cut JOIN mode m ON {_CAN.replace('mode)', 'm.mode)')} WHERE m.mode = d.mode AND to_node_id = d.d) THEN 'no_in' ELSE 'no_path' END AS kind, d.o, d.d, volume FROM demand d WHERE volume > 1e-6 AND d.o <> d.d AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.o = d.o AND sp.n = d.d)")
+register("two_skims", lambda s, sf: rounded(compare.two_skims(minutes_skim(s, sf, links(s, sf)), minutes_skim(s, sf, links(s, sf).withColumn("cost", F.col("cost") * F.when(F.col("link_id") % 7 == 0, 3).otherwise(1)))), "pairs", digits=5, r2="r2", mean_difference="mean_difference"), None)
+
+
+def minutes_skim(s, sf, v):
+    return paths.skim(v, origins(s, sf)).withColumn("cost", F.col("cost") / 1e7)
+
+
+register("skim_of_pairs", lambda s, sf: paths.skim(links(s, sf).withColumn("cost", F.col("cost") / 1e7), origins(s, sf), floor=2.0, pairs=derived(s, sf, "demand").filter("volume > 0"), digits=4), None)
+
+
+def vmt_objective(s, sf):
+    return estimate.objective(count_pairs(s, sf), counts(s, sf), w_vmt=1e-3, vmt=100_000.0)
+
+
+register("odme_vmt_objective", lambda s, sf: rounded(vmt_objective(s, sf), "od_term", "link_term", digits=3, vmt_term="vmt_term", total="total"), _EST + ", m AS (SELECT pow(sum(steps.volume * length) - 100000, 2) AS m FROM steps JOIN link USING (link_id)) SELECT (SELECT sum(pow(volume - target, 2)) FROM od2) AS od_term, (SELECT sum(off * off) FROM off) AS link_term, round(m, 3) AS vmt_term, round((SELECT sum(pow(volume - target, 2)) FROM od2) + (SELECT sum(off * off) FROM off) + 1e-3 * m, 3) AS total FROM m")
+register("count_fit", lambda s, sf: rounded(compare.fit_of_counts(links(s, sf).join(counts(s, sf), "link_id").withColumn("volume", F.col("ref_volume"))), "n", "sum_volume", "sum_obs", digits=5, r2="r2", correlation2="correlation2", rmse="rmse"), with_ctes("link") + " SELECT count(*) AS n, sum(ref_volume) AS sum_volume, sum(volume) AS sum_obs, round(1 - sum(pow(ref_volume - volume, 2)) / (var_pop(volume) * count(*)), 5) AS r2, round(pow(corr(ref_volume, volume), 2), 5) AS correlation2, round(sqrt(avg(pow(ref_volume - volume, 2))), 5) AS rmse FROM link WHERE link_id % 3 = 0 AND volume > 1")
+register("odme_estimate", lambda s, sf: estimate.estimate(count_pairs(s, sf).select("mode", "o", "d", "volume", "target", "links"), counts(s, sf), 2).groupBy("mode").agg(F.count("*").alias("pairs"), F.round(F.sum("volume"), 2).alias("volume")))
+
+
+def routes_of_three(s, sf):
+    v, demand, out = links(s, sf), derived(s, sf, "demand"), None
+    for k, slow in enumerate((0, 7, 11)):
+        net = v.withColumn("cost", F.col("cost") * F.when(F.lit(slow > 0) & (F.col("link_id") % max(slow, 2) == 0), 3).otherwise(1))
+        r = paths.load_pairs(net, demand, modes=False).filter("links IS NOT NULL").withColumn("iteration", F.lit(k))
+        out = r if out is None else out.unionByName(r)
+    return edits.merge_routes(out, SHARES)
+
+
+register("route_table", lambda s, sf: edits.numbered_routes(routes_of_three(s, sf), 25)[0].select("mode", "o", "d", "route_id", F.round("share", 6).alias("share"), reports.joined_ids(F.col("links")).alias("links")))
+register("mode_split_pairs", lambda s, sf: derived(s, sf, "demand").groupBy("o", "d").agg(F.countDistinct("mode").alias("classes")), with_ctes("demand") + " SELECT o, d, count(DISTINCT mode) AS classes FROM demand GROUP BY o, d")
+register("pattern_clusters", lambda s, sf: edits.pattern_clusters(derived(s, sf, "demand"), 5, 6).groupBy("cluster").agg(F.count("*").alias("zones")))
+register("weighted_clusters", lambda s, sf: edits.zone_clusters(edits.demand_weights(derived(s, sf, "node"), derived(s, sf, "demand")), 6, "weight").groupBy("cluster").agg(F.count("*").alias("zones")))
+register("gps_routes", lambda s, sf: estimate.trace_routes(estimate.trace_ends(gps(s, sf), derived(s, sf, "node")), links(s, sf), "cost").select("agent_id", "o", "d", F.col("cost").cast("long").alias("cost"), F.size("links").alias("hops")), None)
+register("trajectories", lambda s, sf: estimate.simulate(links(s, sf), estimate.vehicles(loaded(s, sf)[1]).withColumn("agent_id", F.xxhash64("mode", "o", "d", "i")), trajectory=True).groupBy("place").agg(F.count("*").alias("entries")))
+
+# a network that grows with the tables
+_GTREE = _tree_sql(table="glink").replace(with_ctes("link", recursive=True), with_ctes("glink", "gdemand", recursive=True)).replace("FROM node", "FROM gnode")
+_GFLOWS = _GTREE + """, t AS (SELECT mode, o, d, volume FROM gdemand WHERE volume > 0 AND o <> d),
+walk(mode, o, d, volume, n) AS (SELECT mode, o, d, volume, d FROM t UNION ALL SELECT w.mode, w.o, w.d, w.volume, l.from_node_id FROM walk w JOIN sp ON sp.o = w.o AND sp.n = w.n JOIN glink l ON l.link_id = sp.via WHERE w.n <> w.o),
+steps AS (SELECT w.mode, w.o, w.d, w.volume, sp.via AS link_id FROM walk w JOIN sp ON sp.o = w.o AND sp.n = w.n WHERE w.n <> w.o)"""
+
+
+def network(s, sf):
+    return derived(s, sf, "glink"), derived(s, sf, "gdemand")
+
+
+register("network_skim", lambda s, sf: paths.skim(network(s, sf)[0], derived(s, sf, "gnode").select(F.col("node_id").alias("o"))), _GTREE + " SELECT o, n AS d, c AS cost FROM sp")
+register("network_flows", lambda s, sf: paths.load_flows(*network(s, sf)), _GFLOWS + " SELECT mode, link_id, sum(volume) AS flow FROM steps GROUP BY mode, link_id")
+register("network_od_performance", lambda s, sf: paths.load_pairs(*network(s, sf)).select("mode", "o", "d", "volume", F.col("cost").cast("long").alias("cost"), F.round("miles", 6).alias("miles"), F.size("links").cast("long").alias("hops")), _GFLOWS + " SELECT mode, steps.o, steps.d, any_value(steps.volume) AS volume, any_value(sp.c) AS cost, round(sum(length), 6) AS miles, count(*) AS hops FROM steps JOIN glink USING (link_id) JOIN sp ON sp.o = steps.o AND sp.n = steps.d GROUP BY mode, steps.o, steps.d")
+
+
+def network_equilibrium(s, sf):
+    r = solver.assign(*network(s, sf), derived(s, sf, "mode"), solver.Settings(iterations=6, hours=8.0))
+    return s.createDataFrame([(i + 1, float(g), float(a)) for i, (g, a) in enumerate(zip(r.gaps, r.steps, strict=True))], "iteration int, gap_percent double, step double")
+
+
+register("network_equilibrium", network_equilibrium)

@@ -1,6 +1,7 @@
 """Static user equilibrium by the Frank-Wolfe family.
 
-An iteration is one Spark job (trees and loading, parallel by origin and class, summed per link).
+An iteration is one Spark job (trees and loading, parallel by origin and class, summed per link);
+where trips times links are few it is done on the driver, as a job's latency would be all its time.
 Link vectors are as long as the network and stay on the driver; step sizes come from the grid of
 1/32 that bisection with five halvings can reach.
 """
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import vdf
 from .paths import FAR, Graph, usable_links
 
+#: Demand rows, and origins and classes times links, up to which iterations run on the driver.
+DRIVER_PAIRS, DRIVER_STEPS = 200_000, 5_000_000
+
 
 @dataclass
 class Settings:
@@ -27,6 +31,7 @@ class Settings:
     gap_target: float | None = None
     consecutive: int = 1
     added_per_mile: float = 0.0
+    gap_by_total: bool = False  # gap over the current total instead of the least one
 
 
 @dataclass
@@ -35,6 +40,14 @@ class Result:
     gaps: list[float] = field(default_factory=list)
     steps: list[float] = field(default_factory=list)
 
+    def to_pandas(self) -> pd.DataFrame:
+        return self.links
+
+    def summary(self) -> dict:
+        """Links, loaded links, vehicle miles and hours, and the last gap."""
+        v = self.links
+        return {"links": len(v), "loaded": int((v.volume > 0).sum()), "VMT": float((v.volume * v.length).sum()), "VHT": float((v.volume * v.travel_time).sum() / 60), "gap_percent": self.gaps[-1] if self.gaps else None}
+
     def shares(self) -> list[float]:
         """Share of each iteration's routes in the final flows (plain Frank-Wolfe)."""
         out = [1.0]
@@ -60,58 +73,78 @@ def line_step(slope) -> float:
 
 
 class Problem:
-    def __init__(self, links: DataFrame, demand: DataFrame, modes: DataFrame, settings: Settings):
+    """bans: (ib_link_id, ob_link_id) that may not follow each other. base: columns base_volume, or
+    base_vol_<class>, of links hold volumes that the first loading adds to."""
+
+    def __init__(self, links: DataFrame, demand: DataFrame, modes: DataFrame, settings: Settings, bans: DataFrame | None = None):
         self.s = settings
         self.links = links.orderBy("from_node_id", "to_node_id", "link_id").toPandas()
         self.modes = modes.orderBy("k").toPandas()
         v = self.links
         self.fixed = {m.mode: vdf.generalized_minutes(v.toll.to_numpy(), v.length.to_numpy(), m.operating_cost, m.vot) for m in self.modes.itertuples()}
         self.usable = {m: usable_links(v.allowed_use.fillna("").to_numpy(), m) for m in self.modes["mode"]}
+        #: a class without paths of its own takes those of the first one
+        dedicated = self.modes["dedicated"].fillna(True) if "dedicated" in self.modes else [True] * len(self.modes)
+        first = self.modes["mode"].iloc[0]
+        self.paths_of = {m: m if own else first for m, own in zip(self.modes["mode"], dedicated, strict=True)}
         self.pce = dict(zip(self.modes["mode"], self.modes.pce, strict=True))
+        self.own = {n: v[n].to_numpy() for n in vdf.DEFAULTS if n in v}
+        banned = set()
+        if bans is not None:
+            where = {int(x): i for i, x in enumerate(v.link_id)}
+            banned = {(where[a], where[b]) for a, b in bans.select("ib_link_id", "ob_link_id").toPandas().itertuples(index=False) if a in where and b in where}
+        self.graph = Graph(v.link_id.to_numpy(), v.from_node_id.to_numpy(), v.to_node_id.to_numpy(), np.zeros(len(v)), settings.first_thru, banned)
+        self.spark = links.sparkSession
+        self.held = self.spark.sparkContext.broadcast((self.graph, self.fixed, self.usable, self.paths_of, self.pce))
+        self.work, self.local = self.grouped(demand)
+
+    def grouped(self, demand: DataFrame) -> tuple[DataFrame, pd.DataFrame | None]:
+        """A row per origin and class with its destinations: the unit of work in every iteration; collected if it is little."""
         trips = demand.filter((F.col("volume") > 1e-6) & (F.col("o") != F.col("d")))
-        # a row per origin and class with its destinations: the unit of work in every iteration
-        self.work = trips.groupBy("o", "mode").agg(F.collect_list("d").alias("d"), F.collect_list("volume").alias("q")).persist()
+        work = trips.groupBy("o", "mode").agg(F.collect_list("d").alias("d"), F.collect_list("volume").alias("q")).persist()
+        rows, pairs = work.agg(F.count("*"), F.sum(F.size("d"))).first()
+        small = (pairs or 0) <= DRIVER_PAIRS and rows * len(self.links) <= DRIVER_STEPS
+        return work, work.toPandas() if small else None
 
     def times(self, volume: np.ndarray) -> np.ndarray:
         v, k = self.links, vdf.OnArrays
         _, x = vdf.demand_over_capacity(k, volume, v.lanes.to_numpy(), self.s.hours, v.plf.to_numpy(), v.capacity.to_numpy())
-        return vdf.travel_time(k, v.vdf_type.to_numpy(), v.fftt.to_numpy(), x, v.alpha.to_numpy(), v.beta.to_numpy(), v.length.to_numpy(), v.free_speed.to_numpy(), hours=self.s.hours, added_per_mile=self.s.added_per_mile)
+        return vdf.travel_time(k, v.vdf_type.to_numpy(), v.fftt.to_numpy(), x, v.alpha.to_numpy(), v.beta.to_numpy(), v.length.to_numpy(), v.free_speed.to_numpy(), hours=self.s.hours, added_per_mile=self.s.added_per_mile, **self.own)
 
-    def load(self, times: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    def load(self, times: np.ndarray, work: tuple | None = None) -> tuple[dict[str, np.ndarray], float]:
         """({class: link flows}, least total cost) of everyone on the cheapest paths."""
-        v = self.links
-        graph = Graph(v.link_id.to_numpy(), v.from_node_id.to_numpy(), v.to_node_id.to_numpy(), times, self.s.first_thru)
-        fixed, usable, pce = self.fixed, self.usable, self.pce
+        rows, local = work or (self.work, self.local)
+        if local is not None:
+            flow, least = _loaded(local, times, self.held.value)
+            return {m: flow.get(m, np.zeros(len(times))) for m in self.fixed}, least
+        held, sent = self.held, self.spark.sparkContext.broadcast(times)
 
         def run(batches):
             flow, least = {}, 0.0
             for b in batches:
-                for o, mode, ds, qs in zip(b.o, b["mode"], b.d, b.q, strict=True):
-                    if o not in graph.index:
-                        continue
-                    dist, into = graph.tree(graph.index[o], usable[mode], times + fixed[mode])
-                    node = np.zeros(len(graph.nodes))
-                    for d, q in zip(ds, qs, strict=True):
-                        n = graph.index.get(d)
-                        if n is not None and dist[n] < FAR:
-                            node[n] += q
-                            least += q * pce[mode] * dist[n]
-                    f = flow.setdefault(mode, np.zeros(len(times)))
-                    for n in np.argsort(-np.where(np.isfinite(dist), dist, -1), kind="stable"):  # far nodes hand their flow on first
-                        if node[n] and into[n] >= 0:
-                            f[into[n]] += node[n]
-                            node[graph.tail[into[n]]] += node[n]
+                more, cost = _loaded(b, sent.value, held.value)
+                least += cost
+                for m, f in more.items():
+                    flow[m] = flow.get(m, 0.0) + f
             for mode, f in flow.items():
                 at = np.flatnonzero(f)
                 yield pd.DataFrame({"mode": mode, "link": at, "flow": f[at]})
             yield pd.DataFrame({"mode": [""], "link": [-1], "flow": [least]})
 
-        got = self.work.mapInPandas(run, "mode string, link long, flow double").groupBy("mode", "link").agg(F.sum("flow").alias("flow")).toPandas()
+        got = rows.mapInPandas(run, "mode string, link long, flow double").groupBy("mode", "link").agg(F.sum("flow").alias("flow")).toPandas()
+        sent.unpersist()
         out = {m: np.zeros(len(times)) for m in self.fixed}
         for m, part in got[got.link >= 0].groupby("mode"):
             out[m][part.link.to_numpy()] = part.flow.to_numpy()
         return out, float(got[got.link < 0].flow.sum())
 
+    def base(self) -> dict[str, np.ndarray]:
+        """Volumes by class that are there before the first loading."""
+        v = self.links
+        if len(self.modes) == 1 and "base_volume" in v:
+            return {self.modes["mode"].iloc[0]: v.base_volume.fillna(0.0).to_numpy(float)}
+        return {m: v[f"base_vol_{m}"].fillna(0.0).to_numpy(float) if f"base_vol_{m}" in v else np.zeros(len(v)) for m in self.fixed}
+
     def total(self, by_mode: dict[str, np.ndarray]) -> np.ndarray:
         return sum(self.pce[m] * f for m, f in by_mode.items())
 
@@ -119,19 +152,52 @@ class Problem:
         return float(sum(self.pce[m] * f @ (times + self.fixed[m]) for m, f in by_mode.items()))
 
 
-def assign(links: DataFrame, demand: DataFrame, modes: DataFrame, settings: Settings | None = None) -> Result:
-    """Equilibrium link flows. settings.iterations counts the first loading, as N - 1 steps follow it."""
+def _loaded(work: pd.DataFrame, times: np.ndarray, held: tuple) -> tuple[dict[str, np.ndarray], float]:
+    """Link flows by class and the least cost of the rows (o, mode, d, q)."""
+    graph, fixed, usable, paths_of, pce = held
+    flow, least = {}, 0.0
+    for mode, rows in work.groupby("mode", sort=False):
+        rows = rows[rows.o.isin(graph.index)]
+        of = paths_of[mode]
+        for k in range(0, len(rows), 256):
+            part = rows.iloc[k : k + 256]
+            forest = graph.forest(np.array([graph.index[o] for o in part.o]), usable[of], times + fixed[of])
+            size = part.d.map(len).to_numpy()
+            i = np.repeat(np.arange(len(part)), size)
+            d, q = np.concatenate(part.d.to_numpy()), np.concatenate(part.q.to_numpy())
+            node = np.searchsorted(graph.nodes, d)
+            node = np.where((node < len(graph.nodes)) & (graph.nodes[np.minimum(node, len(graph.nodes) - 1)] == d), node, -1)
+            ok = (node >= 0) & (forest.dist[i, node] < FAR)
+            i, node, q = i[ok], node[ok], q[ok]
+            least += float(pce[mode] * (q @ forest.dist[i, node]))
+            flow[mode] = flow.get(mode, 0.0) + forest.flows(i, node, q)
+    return flow, least
+
+
+def assign(links: DataFrame, demand: DataFrame, modes: DataFrame, settings: Settings | None = None, bans: DataFrame | None = None, base_demand: DataFrame | None = None) -> Result:
+    """Equilibrium link flows. settings.iterations counts the first loading, as N - 1 steps follow it.
+
+    bans: turns that no path takes (``reports.turn_bans``). base_demand: the trips that the base
+    volumes of the links stand for; the first loading then adds only what the demand has beyond them.
+    """
     s = settings or Settings()
-    p = Problem(links, demand, modes, s)
+    p = Problem(links, demand, modes, s, bans)
     first = p.fixed[p.modes["mode"].iloc[0]]
-    x, _ = p.load(p.times(np.zeros(len(p.links))))
+    if base_demand is None:
+        x, _ = p.load(p.times(np.zeros(len(p.links))))
+    else:
+        base = p.base()
+        more, less = demand_difference(demand, base_demand)
+        t = p.times(p.total(base))
+        up, down = (p.load(t, p.grouped(part))[0] for part in (more, less))
+        x = {m: np.maximum(0.0, base[m] + up[m] - down[m]) for m in p.fixed}
     gaps, steps, older, below = [], [], [], 0
     for _ in range(1, s.iterations):
         v = p.total(x)
         t = p.times(v)
         y, least = p.load(t)
         now = p.system(x, t)
-        gaps.append((now - least) / max(0.1, least) * 100)
+        gaps.append((now - least) / max(0.1, now if s.gap_by_total else least) * 100)
         below = below + 1 if s.gap_target is not None and 0 <= gaps[-1] < s.gap_target else 0
         if below >= s.consecutive:
             break
@@ -153,6 +219,13 @@ def assign(links: DataFrame, demand: DataFrame, modes: DataFrame, settings: Sett
     return Result(out, gaps, steps)
 
 
+def demand_difference(demand: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trips beyond the base and trips that the base has beyond them, both positive; pairs that the base doesn't list count whole."""
+    b = base.select("mode", "o", "d", F.col("volume").alias("base"))
+    d = demand.join(b, ["mode", "o", "d"], "left").withColumn("volume", F.col("volume") - F.coalesce("base", F.lit(0.0))).drop("base")
+    return d.filter("volume > 0"), d.filter("volume < 0").withColumn("volume", -F.col("volume"))
+
+
 def _conjugate(p: Problem, x: dict, y: dict, older: list[dict], steps: list[float]) -> dict:
     """Directions conjugate to one (or two) before, under the diagonal slope of the times."""
     v = p.total(x)

@@ -24,6 +24,37 @@ def merge_routes(routes: DataFrame, shares: list[float]) -> DataFrame:
     return merged.select("mode", "o", "d", "links", F.aggregate("links", F.lit(0).cast("long"), lambda s, k: s + k).alias("link_sum"), "share", (F.col("q") * F.col("share")).alias("volume"))
 
 
+def numbered_routes(routes: DataFrame, zones: int) -> tuple[DataFrame, DataFrame]:
+    """(merged routes with route_id within their pair, link_id and background volume).
+
+    In networks of 1000 zones or more the routes of pairs below one trip are not listed; their volume is
+    the background of the links. routes: as ``merge_routes`` returns them.
+    """
+    w = Window.partitionBy("mode", "o", "d").orderBy(F.desc("share"), "links")
+    all_ = routes.withColumn("route_id", F.row_number().over(w))
+    total = F.sum("volume").over(Window.partitionBy("mode", "o", "d"))
+    all_ = all_.withColumn("_q", total)
+    small = F.lit(zones >= 1000) & (F.col("_q") < 1)
+    back = all_.filter(small).select(F.explode("links").alias("link_id"), "volume").groupBy("link_id").agg(F.sum("volume").alias("background_volume"))
+    return all_.filter(~small).drop("_q"), back
+
+
+def od_report(pairs: DataFrame, nodes: DataFrame, zones: int) -> DataFrame:
+    """Per pair with a path: miles, minutes, straight miles, their ratio (1 below a thousandth of a mile), a line and a map link.
+
+    The line is given in networks below 300 zones or for 10 trips and more, the link above 10 trips. pairs:
+    mode, o, d, volume, cost, links, miles; nodes: node_id, x, y.
+    """
+    from .reports import haversine_miles, map_url, wkt_line
+
+    end = lambda k, c: F.broadcast(nodes.select(F.col("node_id").alias(c), F.col("x").cast("double").alias(f"x{k}"), F.col("y").cast("double").alias(f"y{k}")))  # noqa: E731  a row a node
+    p = pairs.filter("links IS NOT NULL").join(end(1, "o"), "o").join(end(2, "d"), "d")
+    at = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    straight = haversine_miles(*at)
+    line = F.when(F.lit(zones < 300) | (F.col("volume") >= 10), wkt_line(*at)).otherwise("")
+    return p.select("mode", "o", "d", "volume", "miles", F.col("cost").alias("minutes"), straight.alias("straight_miles"), F.when(straight < 0.001, 1.0).otherwise(F.col("miles") / straight).alias("ratio"), line.alias("geometry"), F.when(F.col("volume") > 10, map_url(*at)).otherwise("").alias("map_url"))
+
+
 def canonical_names(df: DataFrame) -> DataFrame:
     """Lower-case names with aliases resolved; of names that become one the first stays."""
     seen, keep = set(), []
@@ -107,20 +138,80 @@ def zone_clusters(zones: DataFrame, k: int, weight: str | None = None, seed: int
     return model.fit(data).transform(data).select("zone_id", "cluster")
 
 
+def _matrix(demand: DataFrame):
+    """(row matrix of origins by destinations, origins in its order, sum of squares); rows stay distributed."""
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    cells = demand.groupBy("o", "d").agg(F.sum("volume").alias("v")).filter("v <> 0")
+    ids = sorted(r[0] for r in cells.select("d").distinct().collect())  # zones
+    rows_ = sorted(r[0] for r in cells.select("o").distinct().collect())
+    place, line = {z: i for i, z in enumerate(ids)}, {z: i for i, z in enumerate(rows_)}
+    per = cells.groupBy("o").agg(F.collect_list(F.struct("d", "v")).alias("row"))
+    rows = per.rdd.map(lambda r: IndexedRow(line[r["o"]], Vectors.sparse(len(ids), {place[x["d"]]: float(x["v"]) for x in r["row"]})))
+    total = cells.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
+    return IndexedRowMatrix(rows, len(rows_), max(1, len(ids))), rows_, total
+
+
 def rank_energy(demand: DataFrame, levels: tuple = (0.5, 0.9, 0.99)) -> DataFrame:
-    """(level, rank): how many singular values hold that part of the matrix's energy. Zones square, on the driver."""
-    import numpy as np
+    """(level, rank): how many singular values hold that part of the matrix's energy.
+
+    As many singular values as the last level needs, twice as many a try; the matrix is not collected.
+    """
+    matrix, origins, total = _matrix(demand)
+    most, k, part = matrix.numCols(), 8, []
+    while total and (not part or (part[-1] < max(levels) and len(part) < most)):
+        k = min(most, 2 * k)
+        held = 0.0
+        part = [held := held + float(x) ** 2 / total for x in matrix.computeSVD(k, computeU=False).s]
+        if k == most:
+            break
+    return demand.sparkSession.createDataFrame([(float(x), next((i + 1 for i, p in enumerate(part) if p >= x - 1e-12), len(part))) for x in levels], "level double, rank int")
+
+
+def od_embedding(demand: DataFrame, rank: int = 24) -> DataFrame:
+    """zone_id, features: origins by the main destination patterns, rows of length 1."""
+    matrix, origins, _ = _matrix(demand)
+    svd = matrix.computeSVD(min(rank, matrix.numCols()), computeU=True)
+    s = [float(x) for x in svd.s]
+
+    def row(r):
+        v = [float(x) * y for x, y in zip(r.vector.toArray(), s, strict=True)]
+        n = sum(x * x for x in v) ** 0.5 + 1e-9
+        return origins[r.index], [x / n for x in v]
+
+    return demand.sparkSession.createDataFrame(svd.U.rows.map(row), "zone_id long, features array<double>")
+
+
+def pattern_clusters(demand: DataFrame, k: int, rank: int = 24, seed: int = 7) -> DataFrame:
+    """zone_id, cluster by k-means over ``od_embedding``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    data = od_embedding(demand, rank).select("zone_id", array_to_vector("features").alias("at"))
+    return KMeans(k=k, seed=seed, featuresCol="at", predictionCol="cluster").fit(data).transform(data).select("zone_id", "cluster")
+
 
-    od = demand.groupBy("o", "d").agg(F.sum("volume").alias("v")).toPandas()  # one cell a zone pair
-    table = od.pivot(index="o", columns="d", values="v").fillna(0.0).to_numpy()
-    s = np.linalg.svd(table, compute_uv=False) ** 2
-    part = np.cumsum(s) / s.sum()
-    return demand.sparkSession.createDataFrame([(float(x), int(np.searchsorted(part, x) + 1)) for x in levels], "level double, rank int")
+def demand_weights(zones: DataFrame, demand: DataFrame) -> DataFrame:
+    """zones with ``weight``: trips that begin or end there, a little for the others."""
+    ends = demand.select(F.explode(F.array("o", "d")).alias("zone_id"), "volume").groupBy("zone_id").agg(F.sum("volume").alias("w"))
+    return zones.join(ends, "zone_id", "left").withColumn("weight", F.coalesce("w", F.lit(0.0)) + 1e-6).drop("w")
 
 
 def manifest(spark, paths: list[str]) -> DataFrame:
-    """(file, bytes, sha256) of input files."""
-    return spark.read.format("binaryFile").load(paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256, rows, columns) of CSV files; rows below the head that aren't blank."""
+    lines = F.filter(F.split(F.col("content").cast("string"), r"\r?\n"), lambda x: F.trim(x) != "")
+    head = F.transform(F.split(F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), "^\ufeff", ""), ","), lambda x: F.trim(x))
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.greatest(F.size(lines) - 1, F.lit(0)).alias("rows"), head.alias("columns"))
+
+
+def renumbered(links: DataFrame, demand: DataFrame, numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, demand) with the ids of ``numbers`` (node_id, new_id); rows with ids that it doesn't hold are left out."""
+    ids = F.broadcast(numbers.select("node_id", "new_id"))  # a row a node
+    swap = lambda df, c: df.join(ids, df[c] == ids.node_id).withColumn(c, F.col("new_id")).drop("node_id", "new_id")
+    out = swap(swap(links, "from_node_id"), "to_node_id").select(*links.columns)
+    return out, swap(swap(demand, "o"), "d").select(*demand.columns)
 
 
 def period_columns(df: DataFrame, period: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The network (links, at most some hundred thousand) is collected once and broadcast; origins and
 demand stay distributed. What a task returns is per link, so flows are summed before and after
-the shuffle and never depend on the number of trips.
+the shuffle and never depend on the number of trips. A small network is searched from many origins
+at a time by array operations, a large one by a heap from each.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FAR = 9_999_999.0
+#: Networks of up to so many states (nodes, or links under turn bans) are searched by arrays; cells held at a time.
+ARRAY_STATES, ARRAY_CELLS = 1_500, 2_000_000
 
 
 class Graph:
@@ -80,6 +83,116 @@ class Graph:
             k = into[self.tail[k]] if before is None else before[k]
         return path[::-1]
 
+    def _states(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from state, to state, link) of every step under turn bans; a state is the link just used."""
+        if not hasattr(self, "steps"):
+            a = [(k, j) for k in range(len(self.link_id)) for _, j in self.out[self.head[k]] if (k, j) not in self.banned]
+            self.steps = np.array(a, np.int64).reshape(-1, 2).T
+        return self.steps[0], self.steps[1], self.steps[1]
+
+    def forest(self, origins: np.ndarray, usable: np.ndarray | None = None, cost: np.ndarray | None = None) -> Forest:
+        """The trees of many origins (positions)."""
+        c = np.asarray(self.cost if cost is None else cost)
+        ok = np.ones(len(c), bool) if usable is None else usable
+        if max(len(self.nodes), len(self.link_id) if self.banned else 0) <= ARRAY_STATES:
+            return self._array_forest(origins, ok, c)
+        n, many = len(self.nodes), len(origins)
+        dist, into = np.empty((many, n)), np.empty((many, n), np.int64)
+        before = np.full((many, len(c)), -1, np.int64) if self.banned else None
+        for i, o in enumerate(origins):
+            if self.banned:
+                held, self.cost = self.cost, c
+                dist[i], into[i], before[i] = self.turn_tree(int(o), ok)
+                self.cost = held
+            else:
+                dist[i], into[i] = self.tree(int(o), ok, c)
+        return Forest(self, dist, into, before)
+
+    def _array_forest(self, origins: np.ndarray, ok: np.ndarray, c: np.ndarray) -> Forest:
+        n, m, many = len(self.nodes), len(c), len(origins)
+        rows = np.arange(many)
+        if self.banned:
+            a, b, via = self._states()
+            keep = ok[via] & self.through[self.head[a]] & ok[a]
+            start = np.full((many, m), np.inf)
+            first = np.flatnonzero(ok)
+            mine = self.tail[first][None, :] == np.asarray(origins)[:, None]
+            start[:, first] = np.where(mine, c[first], np.inf)
+            at_link, before = _relax(start, a[keep], b[keep], c[via[keep]].astype(float), a[keep])
+            order = np.lexsort((np.arange(m), self.head))
+            dist, into = np.full((many, n), np.inf), np.full((many, n), -1, np.int64)
+            for k in order:  # links, not trips
+                better = at_link[:, k] < dist[:, self.head[k]]
+                dist[better, self.head[k]], into[better, self.head[k]] = at_link[better, k], k
+            dist[rows, origins], into[rows, origins] = 0, -1
+            return Forest(self, dist, into, before)
+        start = np.full((many, n), np.inf)
+        start[rows, origins] = 0
+        links = np.flatnonzero(ok)
+        gate = None if self.through.all() else (self.through[self.tail[links]][None, :] | (self.tail[links][None, :] == np.asarray(origins)[:, None]))
+        dist, into = _relax(start, self.tail[links], self.head[links], c[links].astype(float), links, gate)
+        into[rows, origins] = -1
+        return Forest(self, dist, into, None)
+
+
+def _relax(start: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, label: np.ndarray, gate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Least costs from start (rows: searches, columns: states) over steps a -> b of cost c, and the label of the step into each."""
+    order = np.argsort(b, kind="stable")
+    a, b, c, label = a[order], b[order], c[order], label[order]
+    heads, first = np.unique(b, return_index=True)
+    length = np.diff(first, append=len(b))
+    dist, into = start.copy(), np.full(start.shape, -1, np.int64)
+    if gate is not None:
+        gate = gate[:, order]
+    # bounds which columns one pass holds
+    part = max(1, ARRAY_CELLS // max(1, len(b)))
+    for i in range(0, len(dist), part):
+        d, t = dist[i : i + part], into[i : i + part]
+        while len(b):
+            offer = d[:, a] + c
+            if gate is not None:
+                offer = np.where(gate[i : i + part], offer, np.inf)
+            best = np.minimum.reduceat(offer, first, axis=1)
+            better = best < d[:, heads]
+            if not better.any():
+                break
+            wide = np.repeat(best, length, axis=1)
+            place = np.where(offer == wide, np.arange(len(b)), len(b))
+            which = np.minimum.reduceat(place, first, axis=1)
+            r, k = np.nonzero(better)
+            d[r, heads[k]] = best[r, k]
+            t[r, heads[k]] = label[np.minimum(which[r, k], len(b) - 1)]
+    return dist, into
+
+
+class Forest:
+    """Trees of several origins: cost and link into each node, and under turn bans the link before each link."""
+
+    def __init__(self, graph: Graph, dist: np.ndarray, into: np.ndarray, before: np.ndarray | None):
+        self.graph, self.dist, self.into, self.before = graph, dist, into, before
+
+    def path(self, i: int, node: int) -> list[int]:
+        return self.graph.trace(self.into[i], node, None if self.before is None else self.before[i])
+
+    def flows(self, i: np.ndarray, node: np.ndarray, volume: np.ndarray) -> np.ndarray:
+        """Volume of every link when each (tree, node) sends its volume along its path."""
+        g = self.graph
+        out = np.zeros(len(g.link_id))
+        link = self.into[i, node]
+        i, q = i[link >= 0], volume[link >= 0]
+        link = link[link >= 0]
+        for _ in range(len(g.link_id) + 1):
+            if not len(link):
+                break
+            # what goes over one link of one tree goes on together
+            key, of = np.unique(i * len(g.link_id) + link, return_inverse=True)
+            q = np.bincount(of, weights=q, minlength=len(key))
+            i, link = key // len(g.link_id), key % len(g.link_id)
+            np.add.at(out, link, q)
+            link = self.into[i, g.tail[link]] if self.before is None else self.before[i, link]
+            i, q, link = i[link >= 0], q[link >= 0], link[link >= 0]
+        return out
+
 
 def graph_of(links: DataFrame, cost: str = "cost", first_thru: int = -1, bans: DataFrame | None = None) -> Graph:
     """Collects the network: one row a link, so its size is that of the road system, not of the demand."""
@@ -91,20 +204,31 @@ def graph_of(links: DataFrame, cost: str = "cost", first_thru: int = -1, bans: D
     return Graph(rows.link_id.to_numpy(), rows.from_node_id.to_numpy(), rows.to_node_id.to_numpy(), rows.c.to_numpy(), first_thru, banned)
 
 
-def skim(links: DataFrame, origins: DataFrame, cost: str = "cost", first_thru: int = -1, bans: DataFrame | None = None) -> DataFrame:
-    """(o, d, cost): the least cost of every reachable pair. origins: one column o."""
+def skim(links: DataFrame, origins: DataFrame, cost: str = "cost", first_thru: int = -1, bans: DataFrame | None = None, floor: float | None = None, pairs: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """(o, d, cost): the least cost of every reachable pair. origins: one column o.
+
+    Links cost at least ``floor``; ``pairs`` (o, d) keeps only those; costs are rounded to ``digits``.
+    """
+    if floor is not None:
+        links = links.withColumn(cost, F.greatest(F.col(cost), F.lit(floor)))
     g = graph_of(links, cost, first_thru, bans)
     kind = "long" if g.cost.dtype.kind == "i" else "double"
+    held = links.sparkSession.sparkContext.broadcast(g)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = held.value
         for b in batches:
-            for o in b.o:
-                if o in g.index:
-                    dist = g.turn_tree(g.index[o])[0] if g.banned else g.tree(g.index[o])[0]
-                    ok = np.isfinite(dist)
-                    yield pd.DataFrame({"o": o, "d": g.nodes[ok], "cost": dist[ok].astype("int64" if kind == "long" else float)})
+            ids = [o for o in b.o if o in g.index]
+            for k in range(0, len(ids), 64):
+                part = ids[k : k + 64]
+                f = g.forest(np.array([g.index[o] for o in part]))
+                i, n = np.nonzero(np.isfinite(f.dist))
+                yield pd.DataFrame({"o": np.asarray(part)[i], "d": g.nodes[n], "cost": f.dist[i, n].astype("int64" if kind == "long" else float)})
 
-    return origins.select("o").distinct().mapInPandas(run, f"o long, d long, cost {kind}")
+    out = origins.select("o").distinct().mapInPandas(run, f"o long, d long, cost {kind}")
+    if pairs is not None:
+        out = out.join(pairs.select("o", "d").distinct(), ["o", "d"], "left_semi")
+    return out if digits is None else out.withColumn("cost", F.round("cost", digits))
 
 
 def usable_links(allowed: np.ndarray, mode: str) -> np.ndarray:
@@ -112,33 +236,82 @@ def usable_links(allowed: np.ndarray, mode: str) -> np.ndarray:
     return np.array([a == "" or a == "all" or mode in a for a in allowed])
 
 
-def load(links: DataFrame, demand: DataFrame, cost: str = "cost", *, modes: bool = True, first_thru: int = -1, bans: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """All-or-nothing: (link flows: mode, link_id, flow; pairs: mode, o, d, volume, cost, links).
+def load(links: DataFrame, demand: DataFrame, cost: str = "cost", *, modes: bool = True, first_thru: int = -1, bans: DataFrame | None = None, undedicated: tuple = (), leader: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All-or-nothing: (link flows: mode, link_id, flow; pairs: mode, o, d, volume, cost, links, miles).
 
-    demand: mode, o, d, volume. With ``modes`` each class keeps to links it may use. Pairs without
-    a path have a null cost and no links.
+    demand: mode, o, d, volume. With ``modes`` each class keeps to links it may use; the classes in
+    ``undedicated`` take the paths of class ``leader``. Pairs without a path have a null cost, no links.
     """
-    g = graph_of(links, cost, first_thru, bans)
-    allowed = links.select("allowed_use", "from_node_id", "to_node_id", "link_id").orderBy("from_node_id", "to_node_id", "link_id").toPandas().allowed_use.fillna("").to_numpy()
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        o, mode = key
-        usable = usable_links(allowed, mode) if modes else None
-        if o not in g.index:
-            return pd.DataFrame({"mode": mode, "o": o, "d": rows.d, "volume": rows.volume, "cost": None, "links": None})
-        before = None
-        if g.banned:
-            dist, into, before = g.turn_tree(g.index[o], usable)
-        else:
-            dist, into = g.tree(g.index[o], usable)
-        out = []
-        for d, q in zip(rows.d, rows.volume, strict=True):
-            n = g.index.get(d)
-            ok = n is not None and np.isfinite(dist[n])
-            out.append((mode, o, d, q, float(dist[n]) if ok else None, [int(g.link_id[k]) for k in g.trace(into, n, before)] if ok else None))
-        return pd.DataFrame(out, columns=["mode", "o", "d", "volume", "cost", "links"])
+    flows = load_flows(links, demand, cost, modes=modes, first_thru=first_thru, bans=bans, undedicated=undedicated, leader=leader)
+    return flows, load_pairs(links, demand, cost, modes=modes, first_thru=first_thru, bans=bans, undedicated=undedicated, leader=leader)
+
 
+def _searching(links: DataFrame, demand: DataFrame, cost: str, modes: bool, first_thru: int, bans: DataFrame | None, undedicated: tuple, leader: str | None):
+    """(broadcast graph with the links' use and length, rows of one origin and class with destinations d and volumes q, search)."""
+    g = graph_of(links, cost, first_thru, bans)
+    has = [c for c in ("allowed_use", "length") if c in links.columns]
+    table = links.select("link_id", "from_node_id", "to_node_id", *has).orderBy("from_node_id", "to_node_id", "link_id").toPandas()
+    allowed = table.allowed_use.fillna("").to_numpy() if "allowed_use" in has else np.full(len(table), "")
+    miles = table.length.to_numpy() if "length" in has else np.zeros(len(table))
+    held = links.sparkSession.sparkContext.broadcast((g, allowed, miles))
     trips = demand.filter((F.col("volume") > 1e-6) & (F.col("o") != F.col("d")))
-    pairs = trips.groupBy("o", "mode").applyInPandas(run, "mode string, o long, d long, volume double, cost double, links array<long>")
-    flows = pairs.select("mode", F.explode("links").alias("link_id"), "volume").groupBy("mode", "link_id").agg(F.sum("volume").alias("flow"))
-    return flows, pairs
+    work = trips.groupBy("o", "mode").agg(F.collect_list("d").alias("d"), F.collect_list("volume").alias("q"))
+
+    def search(batch: pd.DataFrame) -> Iterator[tuple]:
+        """(graph, miles, forest, class, origins, destinations, volumes) of up to 64 origins of a class at a time."""
+        g, allowed, miles = held.value
+        for mode, rows in batch.groupby("mode", sort=False):
+            usable = usable_links(allowed, leader if mode in undedicated else mode) if modes else None
+            for k in range(0, len(rows), 64):
+                part = rows.iloc[k : k + 64]
+                at = np.array([g.index.get(o, -1) for o in part.o])
+                known = at >= 0
+                forest = g.forest(at[known], usable) if known.any() else None
+                yield g, miles, forest, mode, part, known
+
+    return work, search
+
+
+def load_flows(links: DataFrame, demand: DataFrame, cost: str = "cost", *, modes: bool = True, first_thru: int = -1, bans: DataFrame | None = None, undedicated: tuple = (), leader: str | None = None) -> DataFrame:
+    """mode, link_id, flow; each task sums its links before anything is sent."""
+    work, search = _searching(links, demand, cost, modes, first_thru, bans, undedicated, leader)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flow, ids = {}, None
+        for b in batches:
+            for g, _, forest, mode, part, known in search(b):
+                if forest is None:
+                    continue
+                ids, rows = g.link_id, part[known]
+                size = rows.d.map(len).to_numpy()
+                i, d, q = np.repeat(np.arange(len(rows)), size), np.concatenate(rows.d.to_numpy()), np.concatenate(rows.q.to_numpy())
+                node = np.array([g.index.get(x, -1) for x in d])
+                i, node, q = i[node >= 0], node[node >= 0], q[node >= 0]
+                flow[mode] = flow.get(mode, 0.0) + forest.flows(i, node, q)
+        for mode, f in flow.items():
+            at = np.flatnonzero(f)
+            yield pd.DataFrame({"mode": mode, "link_id": ids[at], "flow": f[at]})
+
+    return work.mapInPandas(run, "mode string, link_id long, flow double").groupBy("mode", "link_id").agg(F.sum("flow").alias("flow"))
+
+
+def load_pairs(links: DataFrame, demand: DataFrame, cost: str = "cost", *, modes: bool = True, first_thru: int = -1, bans: DataFrame | None = None, undedicated: tuple = (), leader: str | None = None) -> DataFrame:
+    """mode, o, d, volume, cost, links, miles of every demanded pair; miles are summed along the path in the task."""
+    work, search = _searching(links, demand, cost, modes, first_thru, bans, undedicated, leader)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, miles, forest, mode, part, known in search(b):
+                tree = np.cumsum(known) - 1
+                out = []
+                for r, (o, ds, qs) in enumerate(zip(part.o, part.d, part.q, strict=True)):
+                    for d, q in zip(ds, qs, strict=True):
+                        n = g.index.get(d) if known[r] else None
+                        if n is None or not np.isfinite(forest.dist[tree[r], n]):
+                            out.append((mode, o, d, q, None, None, None))
+                        else:
+                            path = forest.path(tree[r], n)
+                            out.append((mode, o, d, q, float(forest.dist[tree[r], n]), g.link_id[path].tolist(), float(miles[path].sum())))
+                yield pd.DataFrame(out, columns=["mode", "o", "d", "volume", "cost", "links", "miles"])
+
+    return work.mapInPandas(run, "mode string, o long, d long, volume double, cost double, links array<long>, miles double")

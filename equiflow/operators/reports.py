@@ -18,24 +18,40 @@ def with_load(links: DataFrame, hours: float = 1.0) -> DataFrame:
     return links.withColumns({"D": d, "doc": x})
 
 
+def own_parameters(links: DataFrame) -> dict[str, Column]:
+    """The links' delay parameters by name, as far as they have them."""
+    return {n: F.col(n) for n in vdf.DEFAULTS if n in links.columns}
+
+
 def with_time(links: DataFrame, hours: float = 1.0, **options) -> DataFrame:
     c = F.col
+    options = {**own_parameters(links), **options}
     return with_load(links, hours).withColumn("travel_time", vdf.travel_time(K, c("vdf_type"), c("fftt"), c("doc"), c("alpha"), c("beta"), c("length"), c("free_speed"), hours=hours, **options))
 
 
-def link_performance(links: DataFrame, hours: float = 1.0, occupancy: float = 1.0) -> DataFrame:
-    p = with_time(links, hours)
+def link_performance(links: DataFrame, hours: float = 1.0, occupancy: float = 1.0, modes: DataFrame | None = None, **options) -> DataFrame:
+    """Times, speeds, vehicle and person miles and hours. With ``modes`` (mode, occ) and class volumes
+    (mod_vol_*) persons are counted by class; else by one occupancy."""
+    p = with_time(links, hours, **options)
+    if modes is not None and (held := [c for c in links.columns if c.startswith("mod_vol_")]):
+        occ = {m["mode"]: m["occ"] for m in modes.select("mode", "occ").collect()}  # a handful of classes
+        persons = sum((F.col(c) * float(occ.get(c[8:], 1.0)) for c in held), F.lit(0.0))
+        p = p.withColumn("_persons", persons)
+        return p.withColumns({"speed": F.col("length") / F.greatest(F.lit(1e-9), F.col("travel_time")) * 60, "VMT": F.col("volume") * F.col("length"), "VHT": F.col("volume") * F.col("travel_time") / 60, "PMT": F.col("_persons") * F.col("length"), "PHT": F.col("_persons") * F.col("travel_time") / 60}).drop("_persons")
     return p.withColumns({"speed": F.col("length") / F.greatest(F.lit(1e-9), F.col("travel_time")) * 60, "VMT": F.col("volume") * F.col("length"), "VHT": F.col("volume") * F.col("travel_time") / 60, "PMT": F.col("volume") * F.col("length") * occupancy, "PHT": F.col("volume") * F.col("travel_time") / 60 * occupancy})
 
 
-def queue_report(links: DataFrame, start: float = 7.0, end: float = 8.0, cp: float = 0.28125, cd: float = 1.0, n: float = 1.0, s: float = 4.0) -> DataFrame:
-    """Queue-based measures of every link: congested hours P with its times, lowest speed, discharge rate and shape."""
+def queue_report(links: DataFrame, start: float = 7.0, end: float = 8.0) -> DataFrame:
+    """Queue-based measures of every link by its own parameters: congested hours P with its times, lowest speed,
+    discharge rate and shape."""
     c, h = F.col, end - start
-    df = with_load(links, h).withColumn("cutoff", 0.75 * c("free_speed"))
+    own = own_parameters(links)
+    cp, cd, n, s = (own.get(k, F.lit(vdf.DEFAULTS[k])) for k in ("cp", "cd", "n", "s"))
+    df = with_load(links, h).withColumn("cutoff", own.get("cutoff", 0.75 * c("free_speed")))
     ref, queue, p, period = vdf.queue_speeds(K, c("doc"), c("free_speed"), c("cutoff"), c("alpha"), c("beta"), cd, n, h)
     df = df.withColumns({"ref_speed": ref, "queue_speed": queue, "P": p, "period_speed": period})
-    df = df.withColumns({"vt2": c("cutoff") / F.greatest(F.lit(0.001), cp * F.pow("P", F.lit(s)) + 1), "t0": F.lit((start + end) / 2) - 0.5 * c("P"), "t3": F.lit((start + end) / 2) + 0.5 * c("P"), "mu": F.least("capacity", c("D") / F.greatest(F.lit(0.01), c("P"))), "rtt": c("length") / F.greatest(F.lit(0.01), c("ref_speed"))})
-    return df.withColumns({"gamma": (c("length") / c("vt2") - c("rtt")) * 64 * c("mu") / F.pow("P", F.lit(4.0)), "qvdf_minutes": c("length") / F.greatest(F.lit(0.1), c("period_speed")) * 60})
+    df = df.withColumns({"vt2": c("cutoff") / F.greatest(F.lit(0.001), cp * F.pow(c("P"), s) + 1), "t0": F.lit((start + end) / 2) - 0.5 * c("P"), "t3": F.lit((start + end) / 2) + 0.5 * c("P"), "mu": F.least("capacity", c("D") / F.greatest(F.lit(0.01), c("P"))), "rtt": c("length") / F.greatest(F.lit(0.01), c("ref_speed"))})
+    return df.withColumns({"gamma": F.when(c("P") > 0, (c("length") / c("vt2") - c("rtt")) * 64 * c("mu") / F.pow(F.nullif("P", F.lit(0.0)), F.lit(4.0))).otherwise(0.0), "qvdf_minutes": c("length") / F.greatest(F.lit(0.1), c("period_speed")) * 60})
 
 
 def speed_profile(links: DataFrame, start: float = 7.0, end: float = 8.0) -> DataFrame:
@@ -70,6 +86,10 @@ def haversine_miles(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return 3958.8 * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def haversine_metres(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return haversine_miles(x1, y1, x2, y2) / 3958.8 * 6_371_000
+
+
 def hhmmss(minutes: Column) -> Column:
     total = F.floor(minutes * 60).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60)
@@ -82,6 +102,32 @@ def point_to_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))
 
 
+def point_to_line(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance to the segment where the point projects onto it, else null."""
+    dx, dy = bx - ax, by - ay
+    t = ((px - ax) * dx + (py - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    return F.when((t >= 0) & (t <= 1), point_to_segment(px, py, ax, ay, bx, by))
+
+
+def wkt_line(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.format_string("LINESTRING (%.6f %.6f, %.6f %.6f)", x1, y1, x2, y2)
+
+
+def wkt_path(points: Column) -> Column:
+    """points: array of (x, y)."""
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(points, lambda p: F.format_string("%.6f %.6f", p["x"], p["y"])), ", "), F.lit(")"))
+
+
+def map_url(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """A directions link between two places, latitude first."""
+    return F.format_string("https://www.google.com/maps/dir/%.6f,%.6f/%.6f,%.6f", y1, x1, y2, x2)
+
+
+def joined_ids(ids: Column) -> Column:
+    """Ids joined by ``;``, with one at the end."""
+    return F.concat(F.array_join(F.transform(ids, lambda x: x.cast("string")), ";"), F.when(F.size(ids) > 0, ";").otherwise(""))
+
+
 def bound_plf(plf: Column, hours: float) -> Column:
     """Into (0, 1], and not below one hour of the period; 0.25 where it isn't positive."""
     return F.when(plf <= 0, F.lit(0.25)).otherwise(F.greatest(F.least(plf, F.lit(1.0)), F.lit(1.0 / hours)))
@@ -90,16 +136,16 @@ def bound_plf(plf: Column, hours: float) -> Column:
 def validate(links: DataFrame, nodes: DataFrame, demand: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """(severity, file, code, item): one row a finding."""
     say = lambda df, severity, file, code, item: df.select(F.lit(severity).alias("severity"), F.lit(file).alias("file"), F.lit(code).alias("code"), item.cast("string").alias("item"))
-    known = nodes.select(F.col("node_id").alias("n"))
+    known = nodes.select(F.col("node_id").alias("_node"))
     parts = [
         say(nodes.groupBy("node_id").count().filter("count > 1"), "ERROR", "node", "duplicate_node", F.col("node_id")),
         say(links.groupBy("link_id").count().filter("count > 1"), "ERROR", "link", "duplicate_link", F.col("link_id")),
-        say(links.join(known, F.col("from_node_id") == F.col("n"), "left_anti"), "ERROR", "link", "unknown_from", F.col("link_id")),
-        say(links.join(known, F.col("to_node_id") == F.col("n"), "left_anti"), "ERROR", "link", "unknown_to", F.col("link_id")),
+        say(links.join(known, F.col("from_node_id") == F.col("_node"), "left_anti"), "ERROR", "link", "unknown_from", F.col("link_id")),
+        say(links.join(known, F.col("to_node_id") == F.col("_node"), "left_anti"), "ERROR", "link", "unknown_to", F.col("link_id")),
         say(links.filter("lanes <= 0 OR capacity <= 0 OR free_speed <= 0"), "ERROR", "link", "not_positive", F.col("link_id")),
         say(demand.filter("volume < 0"), "ERROR", "demand", "negative_volume", F.concat_ws("-", "o", "d")),
-        say(demand.join(known, F.col("o") == F.col("n"), "left_anti"), "WARNING", "demand", "unknown_origin", F.concat_ws("-", "o", "d")),
-        say(demand.join(known, F.col("d") == F.col("n"), "left_anti"), "WARNING", "demand", "unknown_destination", F.concat_ws("-", "o", "d")),
+        say(demand.join(known, F.col("o") == F.col("_node"), "left_anti"), "WARNING", "demand", "unknown_origin", F.concat_ws("-", "o", "d")),
+        say(demand.join(known, F.col("d") == F.col("_node"), "left_anti"), "WARNING", "demand", "unknown_destination", F.concat_ws("-", "o", "d")),
     ]
     if tokens is not None:
         use = links.filter("coalesce(allowed_use, '') NOT IN ('', 'all', 'closed')").select("link_id", F.explode(F.split("allowed_use", "[;,]")).alias("token"))
@@ -110,11 +156,13 @@ def validate(links: DataFrame, nodes: DataFrame, demand: DataFrame, tokens: list
     return out
 
 
+# Defaults of link attributes.
+LINK_DEFAULTS = {"link_type": 1, "vdf_type": 0, "alpha": 0.15, "linear": 0.0, "beta": 4.0, "green": 0.45, "plf": 1.0, "cp": 0.28125, "cd": 1.0, "n": 1.0, "s": 4.0, "no_uturn": 0, "toll": 0.0, "ref_volume": 0.0, "allowed_use": ""}
+
+
 def fill_defaults(links: DataFrame) -> DataFrame:
     """Missing or blank attributes get the engine's defaults; links sorted by (from, to)."""
-    # Defaults of link attributes.
-    defaults = {"link_type": 1, "vdf_type": 0, "alpha": 0.15, "beta": 4.0, "plf": 1.0, "toll": 0.0, "ref_volume": 0.0, "allowed_use": ""}
-    out = links.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(dict(links.dtypes)[c])) for c, v in defaults.items() if c in links.columns})
+    out = links.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(dict(links.dtypes)[c])) for c, v in LINK_DEFAULTS.items() if c in links.columns})
     if "cutoff_speed" not in out.columns:
         out = out.withColumn("cutoff_speed", 0.75 * F.col("free_speed"))
     return out.orderBy("from_node_id", "to_node_id")
@@ -135,8 +183,26 @@ def fit(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), (F.corr(a, b) * F.corr(a, b)).alias("r2"), F.sqrt(err).alias("rmse"), (F.sqrt(err) / F.avg(b) * 100).alias("rmse_percent"), F.sum(a).alias("sum_a"), F.sum(b).alias("sum_b"))
 
 
-def volume_group(v: Column) -> Column:
-    return F.when(v < 500, "0-500").when(v < 1000, "500-1000").when(v < 2000, "1000-2000").otherwise("2000+")
+# Volume groups (from, to) and the error that a group may have, as a share of its mean.
+VOLUME_GROUPS = ((0, 2500, 1.00), (2500, 5000, 0.55), (5000, 10000, 0.45), (10000, 25000, 0.30), (25000, 50000, 0.25), (50000, 75000, 0.19), (75000, None, 0.19))
+
+
+def volume_group(v: Column, groups: tuple = VOLUME_GROUPS) -> Column:
+    """The least volume of the group that v is in; those below all count with the last."""
+    out = F.lit(groups[-1][0])
+    for lo, hi, _ in reversed(groups):
+        if hi is not None:
+            out = F.when((v >= lo) & (v < hi), F.lit(lo)).otherwise(out)
+    return out
+
+
+def fit_by_group(df: DataFrame, volume: str, ref: str, groups: tuple = VOLUME_GROUPS) -> DataFrame:
+    """Per volume group of ``ref``: links, error as a share of the mean, its limit, ratio of the sums, and whether it holds."""
+    limit = F.lit(groups[-1][2])
+    for lo, _, most in reversed(groups):
+        limit = F.when(F.col("g") == lo, F.lit(most)).otherwise(limit)
+    by = fit(df.withColumn("g", volume_group(F.col(ref), groups)), volume, ref, "g")
+    return by.select("g", "n", (F.col("rmse_percent") / 100).alias("error"), limit.alias("limit"), (F.col("sum_a") / F.col("sum_b")).alias("ratio"), (F.col("rmse_percent") / 100 <= limit).alias("holds"))
 
 
 def grid_zones(zones: DataFrame, production: DataFrame, target: int) -> DataFrame:
@@ -147,7 +213,8 @@ def grid_zones(zones: DataFrame, production: DataFrame, target: int) -> DataFram
     for axis in "xy":
         w = Window.orderBy(axis, "zone_id")  # zones, not trips
         values = zones.select(axis, (F.row_number().over(w) - 1).alias("i"))
-        cuts = [r[0] for i in range(1, g) for r in values.filter(F.col("i") == min(n - 1, n * i // g)).select(axis).collect()]
+        at = [min(n - 1, n * i // g) for i in range(1, g)]
+        cuts = [r[0] for r in values.filter(F.col("i").isin(at)).orderBy("i").select(axis).collect()] if at else []
         cell[axis] = sum((F.when(F.col(axis) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     df = zones.withColumns({"cx": cell["x"], "cy": cell["y"]}).join(production, "zone_id", "left").withColumn("trips", F.coalesce("trips", F.lit(0.0)))
     rep = df.groupBy("cx", "cy").agg(F.max_by("zone_id", F.struct("trips", -F.col("zone_id"))).alias("rep_id"))
@@ -190,10 +257,30 @@ def system_performance(pairs: DataFrame, lengths: DataFrame, modes: DataFrame) -
     )
 
 
+def delay_performance(pairs: DataFrame, lengths: DataFrame, free: DataFrame) -> DataFrame:
+    """Per class: hours, hours at free flow, delay, travel time index, mean speed and free speed.
+
+    free: mode, o, d, free_minutes of the same pairs.
+    """
+    d = pair_lengths(pairs, lengths).join(free, ["mode", "o", "d"])
+    v, c = F.col("volume"), F.col
+    a = d.groupBy("mode").agg(F.sum(v * c("cost") / 60).alias("hours"), F.sum(v * c("free_minutes") / 60).alias("free_hours"), F.sum(v * c("miles")).alias("miles"))
+    return a.select("mode", "hours", "free_hours", (c("hours") - c("free_hours")).alias("delay"), (c("hours") / F.nullif("free_hours", F.lit(0.0))).alias("tti"), (c("miles") / F.nullif("hours", F.lit(0.0))).alias("speed"), (c("miles") / F.nullif("free_hours", F.lit(0.0))).alias("free_speed"))
+
+
+def totals(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row: pairs and trips with a path, mean miles and minutes of pairs and of trips."""
+    d, v = pair_lengths(pairs, lengths), F.col("volume")
+    return d.agg(F.count("*").alias("pairs"), F.sum(v).alias("trips"), F.avg("miles").alias("pair_miles"), F.avg("cost").alias("pair_minutes"), (F.sum(v * F.col("miles")) / F.sum(v)).alias("trip_miles"), (F.sum(v * F.col("cost")) / F.sum(v)).alias("trip_minutes"))
+
+
 def pair_lengths(pairs: DataFrame, lengths: DataFrame) -> DataFrame:
     """Reachable pairs with the miles of their path. lengths: link_id, length."""
-    table = F.broadcast(lengths.agg(F.map_from_entries(F.collect_list(F.struct("link_id", "length"))).alias("by")))  # a number a link
-    return pairs.filter("links IS NOT NULL").crossJoin(table).withColumn("miles", F.aggregate("links", F.lit(0.0), lambda s, k: s + F.element_at("by", k))).drop("by")
+    if "miles" in pairs.columns:
+        return pairs.filter("links IS NOT NULL")
+    steps = pairs.filter("links IS NOT NULL").select("mode", "o", "d", F.explode("links").alias("link_id"))
+    miles = steps.join(F.broadcast(lengths.select("link_id", "length")), "link_id").groupBy("mode", "o", "d").agg(F.sum("length").alias("miles"))
+    return pairs.filter("links IS NOT NULL").join(miles, ["mode", "o", "d"], "left").withColumn("miles", F.coalesce("miles", F.lit(0.0)))
 
 
 def accessibility(pairs: DataFrame, zones: DataFrame, end: str, lengths: DataFrame) -> DataFrame:

@@ -256,13 +256,13 @@ def test_manifest(spark, tmp_path):
 
     (tmp_path / "a.csv").write_text("x\n1\n")
     r = edits.manifest(spark, [str(tmp_path / "a.csv")]).first()
-    assert (r.file, r.bytes, r.sha256) == ("a.csv", 4, hashlib.sha256(b"x\n1\n").hexdigest())
+    assert (r.file, r.bytes, r.sha256, r.rows, r.columns) == ("a.csv", 4, hashlib.sha256(b"x\n1\n").hexdigest(), 1, ["x"])
 
 
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "node.csv").write_text("node_id,zone_id,x_coord,y_coord\n1,1,0,0\n2,2,1,0\n3,,1,1\n")
-    (tmp_path / "link.csv").write_text("link_id,from_node_id,to_node_id,lanes,capacity,vdf_free_speed_mph,vdf_length_mi,vdf_plf\n7,1,3,1,1000,60,1,1.4\n8,3,2,1,1000,60,1,0.9\n")
+    (tmp_path / "link.csv").write_text("link_id,from_node_id,to_node_id,lanes,capacity,free_speed,vdf_free_speed_mph,vdf_length_mi,vdf_plf\n7,1,3,1,1000,96,60,1,1.4\n8,3,2,1,1000,96,60,1,0.9\n")
     (tmp_path / "demand.csv").write_text("o_zone_id,d_zone_id,volume\n1,2,9\n2,1,1\n")
     (tmp_path / "settings.csv").write_text("number_of_iterations,demand_period_starting_hours,demand_period_ending_hours\n3,7,9\n")
     (tmp_path / "vehicle.csv").write_text("agent_id,departure_time,link_ids,o_zone_id,d_zone_id\n1,420,7;8;,1,2\n2,420.5,7;8;,1,2\n,,,,\n")
@@ -283,6 +283,158 @@ def test_scenario_steps(spark, folder):
     assert all(r.completed for r in engine.simulate(s).collect())
     assert {(r.trace_no, r.link_id) for r in engine.match(s).collect()} == {(1, 7), (2, 8)}
     assert engine.peak_factors(s).first()["out_of_bounds"] == 1
-    assert {tuple(r) for r in engine.gates(s).collect()} == {("validate", "PASS"), ("accessibility", "WARN"), ("all", "WARN")}
+    assert {tuple(r) for r in engine.gates(s).collect()} == {("validate", "PASS"), ("fill", "WARN"), ("inventory", "PASS"), ("accessibility", "WARN"), ("all", "WARN")}
     for command in ("simulate", "manifest", "gaps", "check"):
         assert engine.main([command, str(folder)]) == 0
+
+
+TURNS = {
+    "node": "node_id,zone_id,x_coord,y_coord\n1,1,0,0\n2,2,1,0.5\n3,3,2,0\n4,4,3,0\n",
+    "link": "link_id,from_node_id,to_node_id,lanes,capacity,free_speed,vdf_free_speed_mph,vdf_length_mi\n101,1,2,1,9000,96.54,60,1\n102,1,3,1,9000,96.54,60,1\n103,2,3,1,9000,96.54,60,1\n104,3,4,1,9000,96.54,60,1\n",
+    "demand": "o_zone_id,d_zone_id,volume\n1,4,100\n", "settings": "number_of_iterations,demand_period_starting_hours,demand_period_ending_hours,first_through_node_id\n5,7,8,0\n",
+}
+
+
+def test_assignment_keeps_turn_bans(spark, tmp_path):
+    write(tmp_path, **TURNS)
+
+    def used():
+        found = engine.assign(engine.load(spark, str(tmp_path))).links
+        return set(found.link_id[found.volume > 0])
+
+    assert used() == {102, 104}
+    write(tmp_path, movement="mvmt_id,node_id,ib_link_id,ob_link_id,penalty\n1,3,102,104,100\n")
+    assert used() == {101, 103, 104}
+    s = engine.load(spark, str(tmp_path))
+    tables = engine.results(s, engine.assign(s))
+    assert [r.miles for r in tables["od_performance"].collect()] == [3.0] and tables["inaccessible_od"].count() == 0
+    assert engine.main(["run", str(tmp_path), "--out", str(tmp_path / "out"), "--format", "csv"]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/link_performance")).count() == 4
+    listed, back = engine.routes(s)
+    assert [(r.links, round(r.volume, 6)) for r in listed.collect()] == [([101, 103, 104], 100.0)] and back.count() == 0
+
+
+def test_links_have_their_own_delay_parameters(spark, tmp_path):
+    files = dict(TURNS, link="link_id,from_node_id,to_node_id,lanes,capacity,free_speed,vdf_free_speed_mph,vdf_length_mi,vdf_type,vdf_alpha,vdf_beta,conic_a,conic_b,cutoff_speed,vdf_cd,vdf_n,vdf_A\n1,1,2,1,100,96,60,1,1,0.15,4,6,,,,,\n2,2,3,1,100,96,60,1,1,7,1.5,,,,,,\n3,3,4,1,100,96,60,1,2,0.3,2,,,40,1.2,1.1,\n4,4,1,1,100,96,60,1,0,0.15,4,,,,,,0.5\n")
+    write(tmp_path, **files)
+    s = engine.load(spark, str(tmp_path))
+    x, t = 1.5, {r.link_id: r.travel_time for r in reports.with_time(s.links.withColumn("volume", F.lit(150.0))).collect()}
+    conic = lambda a, b: 2 + (a * a * (1 - x) ** 2 + b * b) ** 0.5 - a * (1 - x) - b
+    assert t[1] == pytest.approx(conic(6, 11 / 10)) and t[2] == pytest.approx(conic(7, 1.5))
+    p, slow = 1.2 * x**1.1, 40 / (1 + 0.3 * x**2)
+    assert t[3] == pytest.approx(60 / (slow if p > 1 else p * slow + (1 - p) * (40 + 60) / 2)) and t[4] == pytest.approx(1 + 0.5 * x + 0.15 * x**4)
+    problem = solver.Problem(s.links, s.demand, s.modes, solver.Settings())
+    assert problem.times(np.full(4, 150.0)) == pytest.approx([t[k] for k in problem.links.link_id])
+
+
+def test_queue_speeds_of_a_corridor(spark):
+    """10,800 vehicles an hour over 6 to 3 lanes: the queue-based speeds fall with the lanes."""
+    rows = [(i, i, i + 1, n, 1800.0, 1.0, 60.0, 1.0, 2, 0.15, 4.0, 1.0, 0.0, "all") for i, n in enumerate((6, 5, 4, 3))]
+    t = {r.link_id: r.travel_time for r in reports.with_time(frame(spark, rows).withColumn("volume", F.lit(10_800.0))).collect()}
+    for i, x in enumerate((1.0, 1.2, 1.5, 2.0)):
+        assert t[i] == pytest.approx(60 / (45 / (1 + 0.15 * x**4)) if x > 1 else 60 / (45 / 1.15))
+
+
+def test_undedicated_classes_follow_the_first(spark):
+    net = frame(spark, [link(1, 1, 2, 1.0, use="auto"), link(2, 1, 3, 2.0), link(3, 3, 2, 2.0)])
+    rows = [("auto", 10.0, 1.0, 1.0, 0.0, 1, True), ("truck", 10.0, 2.0, 1.0, 0.0, 2, False)]
+    modes = spark.createDataFrame(rows, MODES + ", dedicated boolean")
+    r = solver.assign(net, trips(spark, [("auto", 1, 2, 5.0), ("truck", 1, 2, 3.0)]), modes, solver.Settings(iterations=1))
+    assert dict(zip(r.links.link_id, r.links.volume, strict=True)) == {1: 11.0, 2: 0.0, 3: 0.0}
+
+
+def test_base_volumes_get_the_difference(spark):
+    net = frame(spark, [link(1, 1, 2, 1.0), link(2, 2, 3, 1.0)]).withColumn("base_volume", F.lit(40.0))
+    now, before = trips(spark, [("auto", 1, 3, 100.0), ("auto", 1, 2, 7.0)]), trips(spark, [("auto", 1, 3, 110.0)])
+    r = solver.assign(net, now, spark.createDataFrame(ONE, MODES), solver.Settings(iterations=1), base_demand=before)
+    assert dict(zip(r.links.link_id, r.links.volume, strict=True)) == {1: 37.0, 2: 30.0}
+
+
+@pytest.mark.parametrize("states", [0, 10_000])
+def test_searches_agree(spark, monkeypatch, states):
+    """Arrays and heaps give the same costs and flows, with centroids, classes and turn bans, on the driver and in tasks."""
+    rng = random.Random(3)
+    rows = [link(100 * a + b, a, b, rng.randint(1, 90) + rng.random(), use=rng.choice(("all", "auto", ""))) for a, b in itertools.permutations(range(1, 13), 2) if rng.random() < 0.3]
+    net, demand = frame(spark, rows), trips(spark, [(m, a, b, float(rng.randint(1, 9))) for m in ("auto", "truck") for a, b in itertools.permutations(range(1, 7), 2)])
+    bans = reports.turn_bans(net, None, True)
+    best = {}
+    for o in range(1, 13):
+        for use in ("auto", "truck"):
+            ok = [r for r in rows if use in r[13] or r[13] in ("", "all")]
+            at = {(r[0]): r[7] for r in ok if r[1] == o}
+            for _ in range(40):
+                for r in ok:
+                    for k in ok:
+                        if k[0] in at and k[2] == r[1] and r[1] >= 7 and k[1] != r[2] and at[k[0]] + r[7] < at.get(r[0], np.inf):
+                            at[r[0]] = at[k[0]] + r[7]
+            for r in ok:
+                if r[0] in at:
+                    best[use, o, r[2]] = min(best.get((use, o, r[2]), np.inf), at[r[0]])
+    monkeypatch.setattr(paths, "ARRAY_STATES", states)
+    pairs = paths.load_pairs(net, demand, "fftt", first_thru=7, bans=bans).collect()
+    assert all(r.cost == pytest.approx(best[r["mode"], r.o, r.d]) if r.links else (r["mode"], r.o, r.d) not in best for r in pairs)
+    flow = {}
+    for r in pairs:
+        for k in r.links or []:
+            flow[r["mode"], k] = flow.get((r["mode"], k), 0.0) + r.volume
+    assert {(r["mode"], r.link_id): r.flow for r in paths.load_flows(net, demand, "fftt", first_thru=7, bans=bans).collect()} == pytest.approx(flow)
+    modes = spark.createDataFrame([*ONE, ("truck", 10.0, 2.0, 1.0, 0.0, 2)], MODES)
+    got = []
+    for most in (0, 10**9):
+        monkeypatch.setattr(solver, "DRIVER_PAIRS", most)
+        r = solver.assign(net, demand, modes, solver.Settings(iterations=3, first_thru=7), bans)
+        got.append((r.links.volume.to_numpy(), r.gaps))
+    assert got[0][0] == pytest.approx(got[1][0]) and got[0][1] == pytest.approx(got[1][1]) and got[0][1][-1] >= -0.01
+
+
+def test_all_positions_find_a_link(spark):
+    lines = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (2, 0.0, 5.0, 1.0, 5.0)], "link_id long, x1 double, y1 double, x2 double, y2 double")
+    points = [("a", i, x, y) for i, (x, y) in enumerate([(0.5, 0.2), (0.5, 4.0), (900.0, -70.0), (-3.0, 2.4), (-3.0, 2.6)])]
+    got = {r.trace_no: (r.link_id, r.distance) for r in estimate.match_points(spark.createDataFrame(points, "agent_id string, trace_no long, x double, y double"), lines).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: 1, 1: 2, 2: 1, 3: 1, 4: 2} and got[2][1] == pytest.approx(np.hypot(899, 70))
+
+
+def test_parts_of_a_simulation(spark):
+    agents = spark.createDataFrame([(1, 420.0, [1, 2]), (2, 420.0, [2, 3]), (3, 420.0, [7]), (4, 420.0, [8, 9]), (5, 420.0, [9])], "agent_id long, departure_minute double, links array<long>")
+    part = {r.agent_id: r.part for r in estimate.independent_parts(agents).collect()}
+    assert part[1] == part[2] and part[4] == part[5] and len(set(part.values())) == 3
+    net = frame(spark, [link(k, k, k + 1, 0.5) for k in (1, 2, 3, 7, 8, 9)])
+    rows = estimate.simulate(net, agents, trajectory=True).orderBy("agent_id", "place").collect()
+    assert [(r.agent_id, r.link_id) for r in rows] == [(1, 1), (1, 2), (2, 2), (2, 3), (3, 7), (4, 8), (4, 9), (5, 9)]
+    assert all(r.leave_minute > r.enter_minute for r in rows)
+
+
+def test_gradient_is_that_of_the_objective(spark):
+    """Central differences of the objective, with routes, counts and vehicle miles."""
+    rows = [("auto", 1, 2, 10.0, 12.0, [1], 0.7, 2.0, 0), ("auto", 1, 2, 10.0, 12.0, [2, 3], 0.3, 3.0, 1), ("auto", 1, 3, 5.0, 4.0, [2], 1.0, 1.0, 0)]
+    schema = "mode string, o long, d long, volume double, target double, links array<long>, share double, miles double, route int"
+    counts = spark.createDataFrame([(1, 9.0), (2, 4.0), (3, -1.0)], "link_id long, obs double")
+    value = lambda r: estimate.objective(spark.createDataFrame(r, schema), counts, 1.0, 2.0, 0.1, 20.0).first().total
+    got = {r.d: r.gradient for r in estimate.gradient(spark.createDataFrame(rows, schema), counts, 1.0, 2.0, 0.1, 20.0).collect()}
+    for d in (2, 3):
+        moved = [[(*r[:3], r[3] + h, *r[4:]) if r[2] == d else r for r in rows] for h in (1e-3, -1e-3)]
+        assert got[d] == pytest.approx((value(moved[0]) - value(moved[1])) / 2e-3, rel=1e-5)
+
+
+def test_files_of_several_periods(spark):
+    text = "[assignment],,assignment_mode,column_generating_iterations\n,,ue,20\n[agent_type],agent_type,name,,vot,,PCE\n,sov,Car,,12,,1\n,mut,Truck,,30,,2.5\n[demand_period],demand_period_id,demand_period,,time_period\n,1,AM,,0600_0900\n,,2,NT,,1800_0600\n[demand_file_list],file_sequence_no,file_name,,format_type,demand_period,agent_type\n,0,da_am.csv,,column,AM,sov\n"
+    s = gmns.nexta_settings(text)
+    assert s["iterations"] == 20 and s["agent_types"]["mut"] == {"vot": 30.0, "pce": 2.5} and s["demand_files"] == [{"file": "da_am.csv", "period": "AM", "agent": "sov"}]
+    assert s["periods"] == {"1": {"name": "AM", "time_period": "0600_0900"}, "2": {"name": "NT", "time_period": "1800_0600"}}
+    from equiflow.operators import staging
+
+    assert staging.period_of("0600_0900") == (6.0, 9.0) and staging.period_of("1830_0600") == (18.5, 30.0)
+    assert staging.uniform_plf("AM") == pytest.approx(0.915)
+    with pytest.raises(ValueError):
+        staging.conversion_log(spark, [("GUESS", "", "", "")])
+
+
+def test_workflow_and_other_commands(spark, folder, capsys):
+    assert engine.main(["workflow", str(folder), "--out", str(folder / "w")]) == 0
+    stages = {r.stage: r.gate for r in spark.read.parquet(str(folder / "w/stages")).collect()}
+    assert len(stages) == 6 and stages["05_consistency"] == "PASS" and stages["06_vmt_vht"] == "SKIP"
+    assert "## stages" in (folder / "w/workflow.md").read_text() and "<table" in (folder / "w/workflow.html").read_text()
+    assert engine.main(["intake", str(folder)]) == 1  # nothing is declared
+    for command in ("schema", "guide", "plf", "fill", "inventory", "adapt", "skim", "report"):
+        assert engine.main([command, str(folder)]) == 0
+    assert engine.main(["validate", str(folder / "nowhere")]) == 1

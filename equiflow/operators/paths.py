@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 FAR = 9_999_999.0
 #: Networks of up to so many states (nodes, or links under turn bans) are searched by arrays; cells held at a time.
-ARRAY_STATES, ARRAY_CELLS = 1_500, 2_000_000
+ARRAY_STATES, ARRAY_CELLS = 200, 2_000_000
 
 
 class Graph:

@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again
-before the next.
+before the next. All stages take null ids as values, texts that are null as empty ones, and any
+other columns; repeated rows are rows of their own until a stage says otherwise, and an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,30 +17,33 @@ from equiflow.llm.queries import tokenizer_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose worst window is toxic."""
+    """Drops documents whose worst window is toxic; each row is judged by its text alone."""
     small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of equal texts."""
+    """Keeps one row of each group of equal texts, all empty ones being such a group: the one with the
+    smallest doc_id, a null one only if no other is there."""
     small_batches(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links connect."""
+    """Keeps one row of each group that links connect, and all texts without words. Rows that share a
+    doc_id, or have none, are told apart by their content."""
     small_batches(spark)
     return jaccard_join.drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each source; a document taken twice comes twice."""
+    """What the mix takes of each source, in the order of its shards: a row for what a shard draws of a
+    document, so one that is taken twice comes twice. Texts without words are never taken."""
     return mixing.mix_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences; an empty text is its end alone."""
     small_batches(spark)
     packed = packing.pack_documents(docs, tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

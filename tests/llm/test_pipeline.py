@@ -31,3 +31,21 @@ def test_stages(spark, tmp_path):
     packed = stages["best-fit packing"](spark, mixed, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_stages_keep_odd_rows(spark, tmp_path):
+    """Null ids, one id with several texts, equal rows, null and empty texts; and empty tables."""
+    w = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    rows = [(None, w["a"], "s"), (None, w["b"], None), (5, w["c"], "s"), (5, w["d"], "s"), (6, w["d"] + " more", "s"), (7, w["a"], "t"), (8, None, "s"), (9, "", "s")]
+    schema = "doc_id long, text string, source string, label string"
+    spark.createDataFrame([(*r, "x") for r in rows], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for k in "ab":
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.columns == ["doc_id", "text", "source", "label"]
+    left = sorted(((r.text or "")[:2], r.doc_id) for r in docs.collect())
+    assert left == [("", 8), ("a0", 7), ("b0", None), ("c0", 5), ("d0", 5)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches; when it ends, what it freed goes back to the system.
+
+    Workers serve task after task, and the allocator would keep the most that any of them held.
+    """
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another allocator
+            pass
+
+    return inner
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
     sc = spark.sparkContext

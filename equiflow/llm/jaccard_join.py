@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import connected, join_hot, materialise, shuffle_partitions
+from .common import connected, giving_back, join_hot, materialise, shuffle_partitions
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 CACHED_WORDS = 200_000
@@ -92,7 +92,7 @@ def _classes(docs: DataFrame, *more: str) -> DataFrame:
                 sets = shingle_sets(part.column(1).to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(digest, sets), pa.binary()), *part.columns[2:]], names=["doc_id", "n_shingles", "class", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, ", ".join(["doc_id long", "n_shingles long", "class binary", *(f"{c} long" for c in more)]))
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(giving_back(run), ", ".join(["doc_id long", "n_shingles long", "class binary", *(f"{c} long" for c in more)]))
 
 
 def _possible(docs: DataFrame, rows: int, ratio: float) -> DataFrame:
@@ -169,7 +169,7 @@ def _possible(docs: DataFrame, rows: int, ratio: float) -> DataFrame:
         missing = np.floor((1 - ratio) * head[:, 2] + 1e-9)
         return pa.table({"class": pa.array([k.tobytes() for k in head[total >= head[:, 3] - missing, :2]], pa.binary())})
 
-    sent = docs.select("text").mapInArrow(send, "range int, block long, names binary, owner binary, head binary")
+    sent = docs.select("text").mapInArrow(giving_back(send), "range int, block long, names binary, owner binary, head binary")
     counts = sent.groupBy("range").applyInArrow(count, "block long, counts binary, head binary")
     return counts.groupBy("block").applyInArrow(judge, "class binary")
 
@@ -203,7 +203,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in found], pa.binary()), pa.array([len(sets[i]) for i in found], pa.int64()), pa.array([sets[i].view(np.int64) for i in found], pa.list_(pa.int64()))], names=["key", "n", "set"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key binary, n long, set array<long>")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "key binary, n long, set array<long>")
     return found.join(_small(wanted.select("key", "class"), many), "key").select("class", "n", "set")
 
 
@@ -345,7 +345,7 @@ def class_links(sets: DataFrame, *, percent: int = 80, cell_tokens: int = 1_000_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out, keys)], names=["token", "class"])
 
-    rare = materialise(sets.select("class", "n", "set").mapInArrow(rarest, "token long, class long"))
+    rare = materialise(sets.select("class", "n", "set").mapInArrow(giving_back(rarest), "token long, class long"))
     first = rare.groupBy("token").agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("first.class").alias("cell"))
     members = materialise(rare.join(first, "token").select("cell", "class").distinct())
     # a cell holds its pivot; one that is all its members have of a cell is no cell

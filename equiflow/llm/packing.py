@@ -20,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
+
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 #: Words whose ids a worker remembers; the table is emptied when full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 
 class BestFit:
@@ -158,4 +160,4 @@ def pack_documents(
                     names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(giving_back(pack), SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import materialise, remove, shared_dir, shuffle_partitions
+from .common import giving_back, materialise, remove, shared_dir, shuffle_partitions
 
 #: Bytes of text in a block (more where one text is longer), and in the arrays held at a time.
 BLOCK, CHUNK = 1_000_000, 250_000
@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("ids")[i].values, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     answer = "block long, range int, data binary"
-    codes = materialise(blocks.mapInArrow(send1, "range int, block long, names binary, stretches binary").groupBy("range").applyInArrow(answer1, answer))
+    codes = materialise(blocks.mapInArrow(giving_back(send1), "range int, block long, names binary, stretches binary").groupBy("range").applyInArrow(answer1, answer))
     known = _with_answers(blocks, codes, "codes")
-    found = materialise(known.mapInArrow(send2, "range int, block long, hashes binary, seconds binary").groupBy("range").applyInArrow(answer2, answer))
-    return _with_answers(known, found, "bits").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    found = materialise(known.mapInArrow(giving_back(send2), "range int, block long, hashes binary, seconds binary").groupBy("range").applyInArrow(answer2, answer))
+    return _with_answers(known, found, "bits").mapInArrow(giving_back(finish), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import giving_back
+
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW, STEP = 24, 12
 WORD_DIM, CHAR_DIM, HIDDEN, TRIGRAMS = 6, 6, 8, 2048
 #: Tables with a row a word or trigram learn slowly, or a small sample would be learnt by heart.
 SLOW = ("emb", "tri")
 #: Distinct words whose inputs a worker remembers, and windows it reads at a time.
-CACHED_WORDS, BATCH = 150_000, 1024
+CACHED_WORDS, BATCH = 100_000, 1024
 
 
 def words_of(text: str | None) -> list[str]:
@@ -284,15 +287,18 @@ def scored(docs: DataFrame, net: Network, name: str = "score") -> Column:
     """A column of scores over docs.text; a null text counts as empty."""
     held = docs.sparkSession.sparkContext.broadcast(vars(net))
 
-    kept: list[Scorer] = []
+    def batches(texts: Iterator) -> Iterator:
+        fitted = Network.__new__(Network)
+        vars(fitted).update(held.value)
+        scorer = Scorer(fitted)
+        for t in texts:
+            yield pd.Series(scorer.scores(t.tolist()))
+
+    run = giving_back(batches)
 
     @pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        if not kept:
-            fitted = Network.__new__(Network)
-            vars(fitted).update(held.value)
-            kept.append(Scorer(fitted))
-        return pd.Series(kept[0].scores(text.tolist()))
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(texts)
 
     return score(F.col("text")).alias(name)
 

@@ -255,19 +255,24 @@ def _searching(links: DataFrame, demand: DataFrame, cost: str, modes: bool, firs
     miles = table.length.to_numpy() if "length" in has else np.zeros(len(table))
     held = links.sparkSession.sparkContext.broadcast((g, allowed, miles))
     trips = demand.filter((F.col("volume") > 1e-6) & (F.col("o") != F.col("d")))
-    work = trips.groupBy("o", "mode").agg(F.collect_list("d").alias("d"), F.collect_list("volume").alias("q"))
+    # an origin's classes are in one task, as those that may use the same links share its tree
+    work = trips.repartition("o").groupBy("o", "mode").agg(F.collect_list("d").alias("d"), F.collect_list("volume").alias("q"))
 
     def search(batch: pd.DataFrame) -> Iterator[tuple]:
-        """(graph, miles, forest, class, origins, destinations, volumes) of up to 64 origins of a class at a time."""
+        """(graph, miles, forest, rows of o, mode, d, q, tree of each row) of up to 64 origins at a time; tree -1: the origin is no node."""
         g, allowed, miles = held.value
-        for mode, rows in batch.groupby("mode", sort=False):
-            usable = usable_links(allowed, leader if mode in undedicated else mode) if modes else None
-            for k in range(0, len(rows), 64):
-                part = rows.iloc[k : k + 64]
-                at = np.array([g.index.get(o, -1) for o in part.o])
-                known = at >= 0
-                forest = g.forest(at[known], usable) if known.any() else None
-                yield g, miles, forest, mode, part, known
+        use = {m: usable_links(allowed, leader if m in undedicated else m) if modes else None for m in batch["mode"].unique()}
+        alike = batch["mode"].map({m: b"" if u is None else u.tobytes() for m, u in use.items()})
+        for _, rows in batch.groupby(alike, sort=False):
+            usable = use[rows["mode"].iloc[0]]
+            origins = [o for o in rows.o.unique()]
+            for k in range(0, len(origins), 64):
+                ids = origins[k : k + 64]
+                known = [o for o in ids if o in g.index]
+                forest = g.forest(np.array([g.index[o] for o in known], np.int64), usable) if known else None
+                part = rows[rows.o.isin(ids)]
+                tree = part.o.map({o: i for i, o in enumerate(known)}).fillna(-1).astype(int).to_numpy()
+                yield g, miles, forest, part, tree
 
     return work, search
 
@@ -279,15 +284,17 @@ def load_flows(links: DataFrame, demand: DataFrame, cost: str = "cost", *, modes
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flow, ids = {}, None
         for b in batches:
-            for g, _, forest, mode, part, known in search(b):
-                if forest is None:
-                    continue
-                ids, rows = g.link_id, part[known]
-                size = rows.d.map(len).to_numpy()
-                i, d, q = np.repeat(np.arange(len(rows)), size), np.concatenate(rows.d.to_numpy()), np.concatenate(rows.q.to_numpy())
-                node = np.array([g.index.get(x, -1) for x in d])
-                i, node, q = i[node >= 0], node[node >= 0], q[node >= 0]
-                flow[mode] = flow.get(mode, 0.0) + forest.flows(i, node, q)
+            for g, _, forest, part, tree in search(b):
+                ids = g.link_id
+                for mode in part["mode"].unique():
+                    mine = (part["mode"] == mode).to_numpy() & (tree >= 0)
+                    if not mine.any():
+                        continue
+                    rows = part[mine]
+                    i, d, q = np.repeat(tree[mine], rows.d.map(len).to_numpy()), np.concatenate(rows.d.to_numpy()), np.concatenate(rows.q.to_numpy())
+                    node = np.array([g.index.get(x, -1) for x in d])
+                    ok = node >= 0
+                    flow[mode] = flow.get(mode, 0.0) + forest.flows(i[ok], node[ok], q[ok])
         for mode, f in flow.items():
             at = np.flatnonzero(f)
             yield pd.DataFrame({"mode": mode, "link_id": ids[at], "flow": f[at]})
@@ -301,17 +308,16 @@ def load_pairs(links: DataFrame, demand: DataFrame, cost: str = "cost", *, modes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for g, miles, forest, mode, part, known in search(b):
-                tree = np.cumsum(known) - 1
+            for g, miles, forest, part, tree in search(b):
                 out = []
-                for r, (o, ds, qs) in enumerate(zip(part.o, part.d, part.q, strict=True)):
+                for mode, o, ds, qs, i in zip(part["mode"], part.o, part.d, part.q, tree, strict=True):
                     for d, q in zip(ds, qs, strict=True):
-                        n = g.index.get(d) if known[r] else None
-                        if n is None or not np.isfinite(forest.dist[tree[r], n]):
+                        n = g.index.get(d) if i >= 0 else None
+                        if n is None or not np.isfinite(forest.dist[i, n]):
                             out.append((mode, o, d, q, None, None, None))
                         else:
-                            path = forest.path(tree[r], n)
-                            out.append((mode, o, d, q, float(forest.dist[tree[r], n]), g.link_id[path].tolist(), float(miles[path].sum())))
+                            path = forest.path(i, n)
+                            out.append((mode, o, d, q, float(forest.dist[i, n]), g.link_id[path].tolist(), float(miles[path].sum())))
                 yield pd.DataFrame(out, columns=["mode", "o", "d", "volume", "cost", "links", "miles"])
 
     return work.mapInPandas(run, "mode string, o long, d long, volume double, cost double, links array<long>, miles double")

@@ -530,14 +530,16 @@ register("path_totals", lambda s, sf: rounded(reports.totals(minutes_pairs(s, sf
 register("delay_performance", lambda s, sf: rounded(reports.delay_performance(minutes_pairs(s, sf).withColumn("cost", F.col("cost") * (1 + F.col("o") / 50)), lengths(s, sf), minutes_pairs(s, sf).select("mode", "o", "d", F.col("cost").alias("free_minutes"))), "mode", digits=4, hours="hours", free_hours="free_hours", delay="delay", tti="tti", speed="speed", free_speed="free_speed"), _PAIRS + ", a AS (SELECT mode, sum(volume * cost * (1 + o / 50) / 60) AS h, sum(volume * cost / 60) AS f, sum(volume * miles) AS m FROM pairs GROUP BY mode) SELECT mode, round(h, 4) AS hours, round(f, 4) AS free_hours, round(h - f, 4) AS delay, round(h / f, 4) AS tti, round(m / h, 4) AS speed, round(m / f, 4) AS free_speed FROM a")
 register("access_reasons", lambda s, sf: checks.access(cut_network(s, sf), derived(s, sf, "mode").withColumn("mode", F.col("mode")), derived(s, sf, "demand"), paths.load_pairs(cut_network(s, sf).withColumn("allowed_use", F.lit("all")), derived(s, sf, "demand"))).select("mode", "kind", "o", "d", "volume"),
          _tree_sql("AND l.from_node_id <> 13 AND l.to_node_id <> 25").replace(with_ctes("link", recursive=True), with_ctes("link", "demand", "mode", recursive=True)) + f", cut AS (SELECT * FROM link WHERE from_node_id <> 13 AND to_node_id <> 25) SELECT d.mode, CASE WHEN NOT EXISTS (SELECT 1 FROM cut JOIN mode m ON {_CAN.replace('mode)', 'm.mode)')} WHERE m.mode = d.mode AND from_node_id = d.o) THEN 'no_out' WHEN NOT EXISTS (SELECT 1 FROM cut JOIN mode m ON {_CAN.replace('mode)', 'm.mode)')} WHERE m.mode = d.mode AND to_node_id = d.d) THEN 'no_in' ELSE 'no_path' END AS kind, d.o, d.d, volume FROM demand d WHERE volume > 1e-6 AND d.o <> d.d AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.o = d.o AND sp.n = d.d)")
-register("two_skims", lambda s, sf: rounded(compare.two_skims(minutes_skim(s, sf, links(s, sf)), minutes_skim(s, sf, links(s, sf).withColumn("cost", F.col("cost") * F.when(F.col("link_id") % 7 == 0, 3).otherwise(1)))), "pairs", digits=5, r2="r2", mean_difference="mean_difference"), None)
+register("two_skims", lambda s, sf: rounded(compare.two_skims(minutes_skim(s, sf, links(s, sf)), minutes_skim(s, sf, links(s, sf).withColumn("cost", F.col("cost") * F.when(F.col("link_id") % 7 == 0, 3).otherwise(1)))), "pairs", digits=5, r2="r2", mean_difference="mean_difference"),
+         FLOWS.split(", t AS (SELECT mode")[0].replace(", sp(o, n, c, via)", f", {_SLOW}, sp2(o" + _T2 + ", sp(o, n, c, via)", 1) + " SELECT count(*) AS pairs, round(1 - sum(pow((sp.c - sp2.c) / 1e7, 2)) / (var_pop(sp.c / 1e7) * count(*)), 5) AS r2, round(avg(abs(sp.c - sp2.c) / 1e7), 5) AS mean_difference FROM sp JOIN sp2 USING (o, n)")
 
 
 def minutes_skim(s, sf, v):
     return paths.skim(v, origins(s, sf)).withColumn("cost", F.col("cost") / 1e7)
 
 
-register("skim_of_pairs", lambda s, sf: paths.skim(links(s, sf).withColumn("cost", F.col("cost") / 1e7), origins(s, sf), floor=2.0, pairs=derived(s, sf, "demand").filter("volume > 0"), digits=4), None)
+register("skim_of_pairs", lambda s, sf: paths.skim(links(s, sf).withColumn("cost", F.col("cost") / 1e7), origins(s, sf), floor=2.0, pairs=derived(s, sf, "demand").filter("volume > 0"), digits=4),
+         _tree_sql(table="timed").replace("CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM node", "CAST(0 AS DOUBLE), CAST(0 AS BIGINT) FROM node").replace(with_ctes("link", recursive=True), with_ctes("link", "demand", recursive=True) + ", timed AS (SELECT link.* REPLACE (greatest(cost / 1e7, 2e0) AS cost) FROM link)") + " SELECT o, n AS d, round(c, 4) AS cost FROM sp WHERE EXISTS (SELECT 1 FROM demand x WHERE x.o = sp.o AND x.d = sp.n AND volume > 0)")
 
 
 def vmt_objective(s, sf):
@@ -562,7 +564,8 @@ register("route_table", lambda s, sf: edits.numbered_routes(routes_of_three(s, s
 register("mode_split_pairs", lambda s, sf: derived(s, sf, "demand").groupBy("o", "d").agg(F.countDistinct("mode").alias("classes")), with_ctes("demand") + " SELECT o, d, count(DISTINCT mode) AS classes FROM demand GROUP BY o, d")
 register("pattern_clusters", lambda s, sf: edits.pattern_clusters(derived(s, sf, "demand"), 5, 6).groupBy("cluster").agg(F.count("*").alias("zones")))
 register("weighted_clusters", lambda s, sf: edits.zone_clusters(edits.demand_weights(derived(s, sf, "node"), derived(s, sf, "demand")), 6, "weight").groupBy("cluster").agg(F.count("*").alias("zones")))
-register("gps_routes", lambda s, sf: estimate.trace_routes(estimate.trace_ends(gps(s, sf), derived(s, sf, "node")), links(s, sf), "cost").select("agent_id", "o", "d", F.col("cost").cast("long").alias("cost"), F.size("links").alias("hops")), None)
+register("gps_routes", lambda s, sf: estimate.trace_routes(estimate.trace_ends(gps(s, sf), derived(s, sf, "node")), links(s, sf), "cost").select("agent_id", "o", "d", F.col("cost").cast("long").alias("cost")),
+         _tree_sql().replace(with_ctes("link", recursive=True), with_ctes("link", recursive=True) + _GPS) + ORACLES["gps_od_zone"][len(with_ctes("node") + _GPS):].replace("\nSELECT agent_id", "\n, z AS (SELECT agent_id") + ") SELECT agent_id, z.o, z.d, CASE WHEN z.o <> z.d THEN c END AS cost FROM z LEFT JOIN sp ON sp.o = z.o AND sp.n = z.d")
 register("trajectories", lambda s, sf: estimate.simulate(links(s, sf), estimate.vehicles(loaded(s, sf)[1]).withColumn("agent_id", F.xxhash64("mode", "o", "d", "i")), trajectory=True).groupBy("place").agg(F.count("*").alias("entries")))
 
 # a network that grows with the tables

@@ -79,11 +79,12 @@ class Encoder:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
         self.shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        # the short way is taken only with a tokenizer that it agrees with
-        trial = "It's 42%-off: Élan über naïve!! x_y a1b2 d'être they'll..."
-        self.simple = True
+        # the short way is taken only with a tokenizer that it agrees with, on each character among others
+        marks = [chr(c) for c in range(0x21, 0x100) if self.PLAIN.fullmatch(chr(c))]
+        trial = ["It's", "42%-off:", "Élan", "über", "naïve!!", "x_y", "a1b2", "d'être", "they'll...", *[w for c in marks for w in (c, f"a{c}b", f"7{c}{c}é", f"{c}'s{c}")]]
+        trial = [w for w in trial if "<|" not in w]
         try:
-            self.simple = b"".join(map(self._word, trial.split(" "))) == np.asarray(self._whole([trial])[0], "<u4").tobytes()
+            self.simple = all(self._word(w) == np.asarray(ids, "<u4").tobytes() for w, ids in zip(trial, self._whole(trial), strict=True))
         except Exception:  # noqa: BLE001  another kind of model
             self.simple = False
         self.words.clear()

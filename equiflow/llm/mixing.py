@@ -141,9 +141,12 @@ def place_blocks(
             at += counts[shard][i]
             runs.append((s, z, shard, at - counts[shard][i], at))
     spark = docs.sparkSession
-    cuts = spark.createDataFrame(runs, "s string, z boolean, shard int, lo long, hi long").groupBy("s", "z").agg(F.sort_array(F.collect_list(F.struct("shard", "hi"))).alias("ends"))
+    cuts = spark.createDataFrame(runs, "s string, z boolean, shard int, lo long, hi long").groupBy("s", "z").agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "hi"))), lambda e: e["hi"]).alias("ends"))
+    # the shard is the number of ends up to the rank, by bisection
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(shards.bit_length()))])
+    shard = F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= shards) & (F.get("ends", F.least(at + step, F.lit(shards)) - 1) <= F.col("rank")), at + step).otherwise(at))
     # a row a source, ``shards`` numbers each
-    drawn = ranked.join(F.broadcast(cuts), ["s", "z"]).withColumn("shard", F.filter("ends", lambda e: e["hi"] > F.col("rank"))[0]["shard"])
+    drawn = ranked.join(F.broadcast(cuts), ["s", "z"]).withColumn("shard", shard).drop("ends")
     digits = max(1, min(7, math.ceil(math.log(max(2, placed_blocks / shards / bin_blocks), 16))))
     drawn = drawn.withColumn("order", F.reverse("key")).withColumn("tray", F.substring("order", 1, digits))
     trays = drawn.groupBy("shard", "tray").agg(F.count("*").alias("k"))

@@ -178,7 +178,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs as the shards draw them, in order of shard and place, with the columns of docs.
+    """docs as the shards draw them, with the columns of docs; runs of places of a shard are in order in a partition.
 
     A row for what a shard draws of a document in a pass: its text as it is where that is all of it,
     else the drawn blocks in text order, at the place of the first of them. n_chars, where there is
@@ -204,7 +204,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     )
     out = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
     cut = joined.select("one.shard", "one.position", F.struct(*[out.get(c, F.col("all")[c]).alias(c) for c in columns]).alias("row"))
-    return cut.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").select("row.*")
+    # runs of a shard's places go together; their ranges are known, so nothing is sampled
+    run = F.floor(F.col("position") / options.get("bin_blocks", 1000))
+    return cut.repartition("shard", run).sortWithinPartitions("shard", "position").select("row.*")
 
 
 ORACLE = """

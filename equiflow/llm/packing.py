@@ -139,11 +139,13 @@ def pack_documents(
         encode, bins = Encoder(tokenizer_path), BestFit(seq_len, open_bins)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
-            ids, pieces = batch.column(0).to_pylist(), []
-            for doc, data in zip(ids, encode(batch.column(1).to_pylist()), strict=True):
-                data += end
-                for k, at in enumerate(range(0, len(data), 4 * seq_len)):
-                    pieces.append((doc, k, at // 4, data[at : at + 4 * seq_len]))
+            pieces = []
+            for i in range(0, batch.num_rows, 100):  # the words of few texts at a time
+                some = batch.slice(i, 100)
+                for doc, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                    data += end
+                    for k, at in enumerate(range(0, len(data), 4 * seq_len)):
+                        pieces.append((doc, k, at // 4, data[at : at + 4 * seq_len]))
             pieces.sort(key=lambda p: -len(p[3]))
             for i in range(0, len(pieces), 5000):
                 part = pieces[i : i + 5000]

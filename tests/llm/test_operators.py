@@ -445,7 +445,11 @@ def test_mixed_documents_hold_what_is_taken(docs):
     options = dict(block_words=300, shard_blocks=5, bin_blocks=8)
     out = mixing.mix_documents(docs, **options)
     assert out.columns == docs.columns
+    spark = docs.sparkSession
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # so that all runs are in one partition
     words, found = Counter(), out.collect()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     starts = mixing.place_blocks(docs, **options)[1].groupBy("shard", "doc_id", "source", "size", "copy", "pass").agg({"position": "min"}).orderBy("shard", "min(position)").collect()
     assert [r.doc_id for r in found] == [r.doc_id for r in starts]  # in order of shard and place
     for r in found:

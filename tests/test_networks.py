@@ -438,3 +438,42 @@ def test_workflow_and_other_commands(spark, folder, capsys):
     for command in ("schema", "guide", "plf", "fill", "inventory", "adapt", "skim", "report"):
         assert engine.main([command, str(folder)]) == 0
     assert engine.main(["validate", str(folder / "nowhere")]) == 1
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_dissection_agrees_with_heaps(whole):
+    """On a grid with one-way, closed, parallel and lone links, and on a dense network: same costs, trees of those costs, same hops, miles and flows."""
+    rng = random.Random(5)
+    grid = [(20 * y + x, 20 * (y + j) + x + i) for y in range(20) for x in range(20) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= x + i < 20 and 0 <= y + j < 20]
+    ends = [e for e in grid if rng.random() < 0.9] + grid[:30] + [(900, 901), (901, 902), (950, 950)]
+    for tail, head in (zip(*ends, strict=True), zip(*itertools.permutations(range(230), 2), strict=True)):
+        cost = np.array([rng.randint(1, 40) if whole else rng.randint(1, 4) / 3 for _ in tail])
+        g = paths.Graph(np.arange(len(cost)), np.array(tail), np.array(head), cost)
+        usable = np.array([rng.random() < 0.95 for _ in cost])
+        origins = np.arange(0, len(g.nodes), 7)
+        heaps, found = g.forest(origins, usable), g.dissected().forest(origins, usable)
+        assert len(g.closed) == 1
+        np.testing.assert_allclose(found.dist, heaps.dist, rtol=0 if whole else 1e-12)
+        i, node = (x.ravel() for x in np.meshgrid(np.arange(len(origins)), np.arange(len(g.nodes)), indexing="ij"))
+        hops, miles, path = found.walks(i, node, cost.astype(float), True)
+        np.testing.assert_allclose(miles, np.where(np.isfinite(heaps.dist), heaps.dist, 0).ravel(), rtol=1e-12)
+        assert usable[path].all() and [found.path(2, n) for n in range(40)] == [x.tolist() for x in np.split(path, np.cumsum(hops))[2 * len(g.nodes) :][:40]]
+        flow = np.bincount(path, weights=np.repeat(i + 1.0, hops), minlength=len(cost))
+        np.testing.assert_allclose(found.flows(i, node, i + 1.0), flow)
+
+
+def test_pairs_of_a_dissected_network(spark, monkeypatch):
+    """Costs, links, hops and miles of pairs, with unknown and unreachable ends, come out as from arrays."""
+    rng = random.Random(8)
+    rows = [link(100 * a + b, a, b, float(rng.randint(1, 10**6)), use=rng.choice(("all", "auto"))) for a, b in itertools.permutations(range(1, 13), 2) if rng.random() < 0.2 and b != 12]
+    net, demand = frame(spark, rows), trips(spark, [(m, a, b, float(rng.randint(1, 9))) for m in ("auto", "truck") for a, b in itertools.permutations([*range(1, 13), 77], 2)])
+    got = []
+    for states in (10_000, 0):
+        monkeypatch.setattr(paths, "ARRAY_STATES", states)
+        full = {(r["mode"], r.o, r.d): r[3:] for r in paths.load_pairs(net, demand, "fftt").collect()}
+        short = {(r["mode"], r.o, r.d): r[3:] for r in paths.load_pairs(net, demand, "fftt", routes=False).collect()}
+        assert {k: (v[0], v[1], v[2] and len(v[2]), v[3]) for k, v in full.items()} == short
+        flows = {(r["mode"], r.link_id): r.flow for r in paths.load_flows(net, demand, "fftt").collect()}
+        skim = {(r.o, r.d): r.cost for r in paths.skim(net, spark.createDataFrame([(1,), (5,), (77,)], "o long"), "fftt").collect()}
+        got.append((full, flows, skim))
+    assert got[0] == got[1] and any(v[1] is None for v in got[0][0].values()) and any(v[1] for v in got[0][0].values())

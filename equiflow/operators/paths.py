@@ -129,14 +129,14 @@ class Graph:
             self.steps = np.array(a, np.int64).reshape(-1, 2).T
         return self.steps[0], self.steps[1], self.steps[1]
 
-    def forest(self, origins: np.ndarray, usable: np.ndarray | None = None, cost: np.ndarray | None = None) -> Forest:
-        """The trees of many origins (positions)."""
+    def forest(self, origins: np.ndarray, usable: np.ndarray | None = None, cost: np.ndarray | None = None, links: bool = True) -> Forest:
+        """The trees of many origins (positions); without ``links`` their costs may be all that is found."""
         c = np.asarray(self.cost if cost is None else cost)
         ok = np.ones(len(c), bool) if usable is None else usable
         if max(len(self.nodes), len(self.link_id) if self.banned else 0) <= ARRAY_STATES:
             return self._array_forest(origins, ok, c)
         n, many = len(self.nodes), len(origins)
-        if hasattr(self, "dissection") and (found := self._dissected_forest(origins, ok, c)):
+        if hasattr(self, "dissection") and (found := self._dissected_forest(origins, ok, c, links)):
             return found
         dist, into = np.empty((many, n)), np.empty((many, n), np.int64)
         before = np.full((many, len(c)), -1, np.int64) if self.banned else None
@@ -149,7 +149,7 @@ class Graph:
                 dist[i], into[i] = self.tree(int(o), ok, c)
         return Forest(self, dist, into, before)
 
-    def _dissected_forest(self, origins: np.ndarray, ok: np.ndarray, c: np.ndarray) -> Forest | None:
+    def _dissected_forest(self, origins: np.ndarray, ok: np.ndarray, c: np.ndarray, links: bool) -> Forest | None:
         """None where sums of costs may not tell which of two nodes comes first."""
         c, whole = np.where(ok, c, np.inf), c.dtype.kind == "i"
         if not c.min(initial=np.inf) > 0 or not whole and c.min() < 4 * ALIKE * len(self.nodes) * c.max(where=np.isfinite(c), initial=0.0):
@@ -162,12 +162,14 @@ class Graph:
         dist = self.closed[key].search(np.asarray(origins))
         if whole and dist.max(where=np.isfinite(dist), initial=0.0) >= 1 << 52:
             return None
+        if not links:
+            return Forest(self, np.ascontiguousarray(dist.T), None, None)
         into = np.full(dist.shape, -1, np.int32)
         for i in range(0, len(self.nodes), 512):  # nodes at a time
             nodes = self.most_first[i : i + 512]
             best, link = np.full((len(nodes), len(origins)), np.inf), np.full((len(nodes), len(origins)), -1, np.int32)
-            for links in self.incoming:
-                k = links[i : i + 512]
+            for more in self.incoming:
+                k = more[i : i + 512]
                 if not len(k):
                     break
                 offer = dist[self.tail[k]] + c[k, None]
@@ -238,7 +240,7 @@ def _relax(start: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, label
 class Forest:
     """Trees of several origins: cost and link into each node, and under turn bans the link before each link."""
 
-    def __init__(self, graph: Graph, dist: np.ndarray, into: np.ndarray, before: np.ndarray | None):
+    def __init__(self, graph: Graph, dist: np.ndarray, into: np.ndarray | None, before: np.ndarray | None):
         self.graph, self.dist, self.into, self.before = graph, dist, into, before
 
     def path(self, i: int, node: int) -> list[int]:
@@ -315,7 +317,7 @@ def skim(links: DataFrame, origins: DataFrame, cost: str = "cost", first_thru: i
             ids = np.array([o for o in b.column(0).to_pylist() if o in g.index], np.int64)
             for k in range(0, len(ids), g.together):
                 part = ids[k : k + g.together]
-                dist = g.forest(np.searchsorted(g.nodes, part)).dist
+                dist = g.forest(np.searchsorted(g.nodes, part), links=False).dist
                 few = max(1, ROWS // len(g.nodes))
                 for j in range(0, len(part), few):
                     c = dist[j : j + few]

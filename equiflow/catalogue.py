@@ -581,7 +581,7 @@ def network(s, sf):
 
 register("network_skim", lambda s, sf: paths.skim(network(s, sf)[0], derived(s, sf, "gnode").select(F.col("node_id").alias("o"))), _GTREE + " SELECT o, n AS d, c AS cost FROM sp")
 register("network_flows", lambda s, sf: paths.load_flows(*network(s, sf)), _GFLOWS + " SELECT mode, link_id, sum(volume) AS flow FROM steps GROUP BY mode, link_id")
-register("network_od_performance", lambda s, sf: paths.load_pairs(*network(s, sf)).select("mode", "o", "d", "volume", F.col("cost").cast("long").alias("cost"), F.round("miles", 6).alias("miles"), F.size("links").cast("long").alias("hops")), _GFLOWS + " SELECT mode, steps.o, steps.d, any_value(steps.volume) AS volume, any_value(sp.c) AS cost, round(sum(length), 6) AS miles, count(*) AS hops FROM steps JOIN glink USING (link_id) JOIN sp ON sp.o = steps.o AND sp.n = steps.d GROUP BY mode, steps.o, steps.d")
+register("network_od_performance", lambda s, sf: paths.load_pairs(*network(s, sf), routes=False).select("mode", "o", "d", "volume", F.col("cost").cast("long").alias("cost"), F.round("miles", 6).alias("miles"), "hops"), _GFLOWS + " SELECT mode, steps.o, steps.d, any_value(steps.volume) AS volume, any_value(sp.c) AS cost, round(sum(length), 6) AS miles, count(*) AS hops FROM steps JOIN glink USING (link_id) JOIN sp ON sp.o = steps.o AND sp.n = steps.d GROUP BY mode, steps.o, steps.d")
 
 
 def network_equilibrium(s, sf):

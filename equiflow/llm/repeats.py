@@ -22,6 +22,7 @@ block and context.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -281,12 +282,25 @@ def _open_windows(runs, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(seconds)
 
 
+@contextlib.contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written here once frees its shuffle files at its end, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _bucketed(blocks: DataFrame, parts: int) -> DataFrame:
     """blocks as a written table of ``parts`` buckets by block, which joins by block without a shuffle."""
     spark = blocks.sparkSession
     name = f"equiflow_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    blocks.repartition(parts, "block").write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
+    with _freeing(spark):
+        blocks.repartition(parts, "block").write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
     atexit.register(_drop, spark, name, path)
     return spark.table(name)
 
@@ -386,7 +400,9 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("ids")[i].values, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     answer = "block long, range int, data binary"
-    codes = materialise(blocks.mapInArrow(giving_back(send1), "range int, block long, names binary, stretches binary").groupBy("range").applyInArrow(answer1, answer))
+    with _freeing(docs.sparkSession):
+        codes = materialise(blocks.mapInArrow(giving_back(send1), "range int, block long, names binary, stretches binary").groupBy("range").applyInArrow(answer1, answer))
     known = _with_answers(blocks, codes, "codes")
-    found = materialise(known.mapInArrow(giving_back(send2), "range int, block long, hashes binary, seconds binary").groupBy("range").applyInArrow(answer2, answer))
+    with _freeing(docs.sparkSession):
+        found = materialise(known.mapInArrow(giving_back(send2), "range int, block long, hashes binary, seconds binary").groupBy("range").applyInArrow(answer2, answer))
     return _with_answers(known, found, "bits").mapInArrow(giving_back(finish), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -56,6 +57,28 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_encoder_keeps_recent_words(monkeypatch):
+    """A full table of words keeps those of the texts just read, and ids stay those of the tokenizer."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    e = packing.Encoder(TOKENIZER)
+    texts = ["It's naïve, the CAT sat", "the cat sat on a mat <|x|> 7e\u0301", "ÜBER über straße the cat"]
+    for t in texts:
+        assert e([t]) == [np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert {"the", "cat", "on", "über"} <= e.words.keys() and "CAT" not in e.words
+
+
+def test_repeats_free_their_shuffles(spark):
+    """Once the tables are written, no shuffle of theirs is left on disk."""
+    files = lambda: {str(b) for b in (lambda a: [a.apply(i).name() for i in range(a.size())])(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_") and str(b).endswith("_0.data")}
+    before = files()
+    out = repeats.remove_repeats(spark.createDataFrame([(k, f"{k % 7} repeated " * 60) for k in range(40)], "doc_id long, text string"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 40
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 

@@ -11,6 +11,7 @@ depend on the input, and a repeated task gives the same rows.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import giving_back
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Words whose ids a worker remembers; the table is emptied when full.
+#: Words whose ids a worker remembers; a full table keeps those of the texts just read.
 CACHED_WORDS = 100_000
 
 
@@ -75,7 +76,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.parts, self.last = Tokenizer.from_file(path), {}, {}, set()
+        self.packed = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
         self.shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -87,30 +89,35 @@ class Encoder:
             self.simple = all(self._word(w) == np.asarray(ids, "<u4").tobytes() for w, ids in zip(trial, self._whole(trial), strict=True))
         except Exception:  # noqa: BLE001  another kind of model
             self.simple = False
-        self.words.clear()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _part(self, part: str) -> bytes:
+        packed = self.packed
         shown = part if part.isascii() else "".join([self.shown[b] for b in part.encode()])
-        ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
+        ids = self.parts[part] = b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(shown)])
         return ids
 
     def _word(self, word: str) -> bytes:
         parts = self.parts
+        if word.islower() and word.isalpha():  # all of it is one part
+            return parts.get(word) or self._part(word)
         return b"".join([parts.get(p) or self._part(p) for p in self.PARTS.findall(word.lower())])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words = {w: self.words[w] for w in self.last}
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
-        whole = []
-        for w in {w for words in split for w in words if w not in known}:
-            if self.simple and self.PLAIN.fullmatch(w) and "<|" not in w:
+        known, whole = self.words, []
+        self.last = set().union(*split)
+        new = self.last - known.keys()
+        every = "".join(new)
+        plain = self.simple and "<|" not in every and self.PLAIN.fullmatch(every)
+        for w in new:
+            if plain or self.simple and self.PLAIN.fullmatch(w) and "<|" not in w:
                 known[w] = self._word(w)
             else:
                 whole.append(w)
@@ -118,7 +125,7 @@ class Encoder:
             part = whole[i : i + 4096]
             for w, ids in zip(part, self._whole(part), strict=True):
                 known[w] = np.asarray(ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def pack_documents(
@@ -138,29 +145,33 @@ def pack_documents(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, bins = Encoder(tokenizer_path), BestFit(seq_len, open_bins)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        for batch in batches:
-            pieces = []
-            for i in range(0, batch.num_rows, 100):  # the words of few texts at a time
-                some = batch.slice(i, 100)
-                for doc, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    data += end
-                    for k, at in enumerate(range(0, len(data), 4 * seq_len)):
-                        pieces.append((doc, k, at // 4, data[at : at + 4 * seq_len]))
-            pieces.sort(key=lambda p: -len(p[3]))
-            for i in range(0, len(pieces), 5000):
-                part = pieces[i : i + 5000]
-                spots = [bins.place(len(p[3]) // 4) for p in part]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p[0] for p in part], pa.int64()),
-                        pa.array([p[1] for p in part], pa.int32()),
-                        pa.array([p[2] for p in part], pa.int64()),
-                        pa.array([len(p[3]) // 4 for p in part], pa.int64()),
-                        pa.array([p[3] for p in part], pa.binary()),
-                        pa.array([first + s for s, _ in spots], pa.int64()),
-                        pa.array([o for _, o in spots], pa.int64()),
-                    ],
-                    names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
-                )
+        gc.disable()  # lists of words have no cycles, and there are many
+        try:
+            for batch in batches:
+                pieces = []
+                for i in range(0, batch.num_rows, 100):  # the words of few texts at a time
+                    some = batch.slice(i, 100)
+                    for doc, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                        data += end
+                        for k, at in enumerate(range(0, len(data), 4 * seq_len)):
+                            pieces.append((doc, k, at // 4, data[at : at + 4 * seq_len]))
+                pieces.sort(key=lambda p: -len(p[3]))
+                for i in range(0, len(pieces), 5000):
+                    part = pieces[i : i + 5000]
+                    spots = [bins.place(len(p[3]) // 4) for p in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([p[0] for p in part], pa.int64()),
+                            pa.array([p[1] for p in part], pa.int32()),
+                            pa.array([p[2] for p in part], pa.int64()),
+                            pa.array([len(p[3]) // 4 for p in part], pa.int64()),
+                            pa.array([p[3] for p in part], pa.binary()),
+                            pa.array([first + s for s, _ in spots], pa.int64()),
+                            pa.array([o for _, o in spots], pa.int64()),
+                        ],
+                        names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
+                    )
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(giving_back(pack), SCHEMA)

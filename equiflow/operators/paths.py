@@ -163,7 +163,7 @@ class Graph:
         if whole and dist.max(where=np.isfinite(dist), initial=0.0) >= 1 << 52:
             return None
         if not links:
-            return Forest(self, np.ascontiguousarray(dist.T), None, None)
+            return Forest(self, dist.T, None, None)
         into = np.full(dist.shape, -1, np.int32)
         for i in range(0, len(self.nodes), 512):  # nodes at a time
             nodes = self.most_first[i : i + 512]
@@ -317,11 +317,11 @@ def skim(links: DataFrame, origins: DataFrame, cost: str = "cost", first_thru: i
             ids = np.array([o for o in b.column(0).to_pylist() if o in g.index], np.int64)
             for k in range(0, len(ids), g.together):
                 part = ids[k : k + g.together]
-                dist = g.forest(np.searchsorted(g.nodes, part), links=False).dist
-                few = max(1, ROWS // len(g.nodes))
-                for j in range(0, len(part), few):
+                dist = g.forest(np.searchsorted(g.nodes, part), links=False).dist.T
+                few = max(1, ROWS // len(part))
+                for j in range(0, len(g.nodes), few):  # by node: written ids then take next to no room
                     c = dist[j : j + few]
-                    o, d = np.repeat(part[j : j + few], len(g.nodes)), np.tile(g.nodes.astype(np.int64), len(c))
+                    o, d = np.tile(part, len(c)), np.repeat(g.nodes[j : j + few].astype(np.int64), len(part))
                     c = c.ravel()
                     if not (ok := np.isfinite(c)).all():
                         o, d, c = o[ok], d[ok], c[ok]

@@ -477,3 +477,18 @@ def test_pairs_of_a_dissected_network(spark, monkeypatch):
         skim = {(r.o, r.d): r.cost for r in paths.skim(net, spark.createDataFrame([(1,), (5,), (77,)], "o long"), "fftt").collect()}
         got.append((full, flows, skim))
     assert got[0] == got[1] and any(v[1] is None for v in got[0][0].values()) and any(v[1] for v in got[0][0].values())
+
+
+def test_skim_writes_ids_in_little_room(spark, monkeypatch, tmp_path):
+    """Rows of a task come by node, so that Parquet holds the ids of a pair in under half a byte."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(paths.Graph, "tasks", 1)
+    rng, n = random.Random(4), 40_000
+    ends = [(a, a + j) for a in range(n) for j in (-1, 1) if 0 <= a + j < n]
+    net = spark.createDataFrame([(k, a, b, rng.randint(1, 10**9)) for k, (a, b) in enumerate(ends)], "link_id long, from_node_id long, to_node_id long, cost long")
+    paths.skim(net, spark.range(0, n, n // 16).toDF("o")).write.parquet(str(tmp_path / "skim"))
+    groups = [f.metadata.row_group(i) for p in (tmp_path / "skim").glob("*.parquet") for f in [pq.ParquetFile(p)] for i in range(f.metadata.num_row_groups)]
+    rows = sum(g.num_rows for g in groups)
+    ids = sum(g.column(c).total_compressed_size for g in groups for c in (0, 1))
+    assert rows == 16 * n and ids < 0.5 * rows

@@ -492,3 +492,27 @@ def test_skim_writes_ids_in_little_room(spark, monkeypatch, tmp_path):
     rows = sum(g.num_rows for g in groups)
     ids = sum(g.column(c).total_compressed_size for g in groups for c in (0, 1))
     assert rows == 16 * n and ids < 0.5 * rows
+
+
+@pytest.mark.parametrize("unequal", [False, True])
+def test_hubs_agree_with_heaps(monkeypatch, unequal):
+    """Flows and costs of pairs through hubs are those along trees, under costs of 1e15 and 1 too, for which no tree is searched."""
+    rng = random.Random(6)
+    ends = [(20 * y + x, 20 * (y + j) + x + i) for y in range(20) for x in range(20) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)) if 0 <= x + i < 20 and 0 <= y + j < 20]
+    ends = [e for e in ends if rng.random() < 0.9] + ends[:30] + [(900, 901), (901, 902), (950, 950)]
+    cost = np.array([rng.uniform(1, 9) * (1e14 if unequal and rng.random() < 0.3 else 1) for _ in ends])
+    g = paths.Graph(np.arange(len(ends)), *np.array(ends).T, np.zeros(len(ends)))
+    usable = {"a": np.array([rng.random() < 0.95 for _ in ends])}
+    work = solver.pd.DataFrame({"o": [o for o in range(0, 400, 3)] + [900], "mode": "a", "d": [rng.sample(range(400), 50) + [77777] for _ in range(134)] + [[901, 902, 5]], "q": [[rng.uniform(1, 5) for _ in range(51)] for _ in range(134)] + [[1.0, 2.0, 3.0]]})
+    held = (g, {"a": 0.0}, usable, {"a": "a"}, {"a": 2.0})
+    monkeypatch.setattr(solver, "FAR", 1e18)
+    flow, least = solver._loaded(work, cost, held)
+    g.dissected()
+    monkeypatch.setattr(g, "tree", None)
+    found, sums = solver._loaded(work, cost, held)
+    assert sums == pytest.approx(least, rel=1e-12) and flow["a"].sum() > 0
+    assert 2 * found["a"] @ cost == pytest.approx(sums, rel=1e-12)
+    left, right = (np.bincount(g.head, weights=f["a"], minlength=len(g.nodes)) - np.bincount(g.tail, weights=f["a"], minlength=len(g.nodes)) for f in (found, flow))
+    np.testing.assert_allclose(left, right, atol=1e-8)
+    if not unequal:  # or sums may not tell paths apart
+        np.testing.assert_allclose(found["a"], flow["a"], rtol=1e-9, atol=1e-9)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import giving_back
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-#: Words whose ids a worker remembers; a full table keeps those of the texts just read.
+#: Words, and as many of their parts, whose ids a worker remembers; a full table keeps those of the texts just read and those met again since it was last full.
 CACHED_WORDS = 100_000
 
 
@@ -73,10 +73,11 @@ class Encoder:
     PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts, self.last = Tokenizer.from_file(path), {}, {}, set()
+        self.again, self.most = set(), most
         self.packed = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in printable]
@@ -107,13 +108,16 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {w: self.words[w] for w in self.last}
-        if len(self.parts) > CACHED_WORDS:
+        most = self.most or CACHED_WORDS
+        if len(self.words) > most:
+            stay = self.again if len(self.again) < most // 2 else set()
+            self.words, self.again = {w: self.words[w] for w in self.last | stay}, set()
+        if len(self.parts) > most:
             self.parts.clear()
         known, whole = self.words, []
         self.last = set().union(*split)
         new = self.last - known.keys()
+        self.again |= self.last - new
         every = "".join(new)
         plain = self.simple and "<|" not in every and self.PLAIN.fullmatch(every)
         for w in new:
@@ -129,13 +133,13 @@ class Encoder:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, *, seq_len: int = 2048, end_id: int = 0, open_bins: int = 1024
+    docs: DataFrame, tokenizer_path: str, *, seq_len: int = 2048, end_id: int = 0, open_bins: int = 1024, words: int | None = None
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary, uint32), sequence_id, offset.
 
     A null or empty text is the end id alone. Documents longer than ``seq_len`` are cut into full
     pieces and a rest. Repeated rows are packed each; a null doc_id stays null; other columns are
-    ignored. An empty table gives no rows.
+    ignored. An empty table gives no rows. ``words``: how many a worker remembers, if not CACHED_WORDS.
     """
     end = np.asarray([end_id], "<u4").tobytes()
 
@@ -143,7 +147,7 @@ def pack_documents(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, bins = Encoder(tokenizer_path), BestFit(seq_len, open_bins)
+        encode, bins = Encoder(tokenizer_path, words), BestFit(seq_len, open_bins)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         gc.disable()  # lists of words have no cycles, and there are many
         try:

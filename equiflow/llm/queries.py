@@ -16,7 +16,7 @@ def tokenizer_path() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+    packed = packing.pack_documents(documents(spark, sf_dir), tokenizer_path(), words=300_000)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

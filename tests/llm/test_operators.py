@@ -67,6 +67,15 @@ def test_encoder_keeps_recent_words(monkeypatch):
     assert {"the", "cat", "on", "über"} <= e.words.keys() and "CAT" not in e.words
 
 
+def test_encoder_keeps_words_met_again(monkeypatch):
+    """A full table keeps words met again since it was last full, also if the texts just read don't have them."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 8)
+    e = packing.Encoder(TOKENIZER)
+    for t in ("the cat sat", "the dog sat", "on my old mat by door", "another"):
+        assert e([t]) == [np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert {"the", "sat", "another"} <= e.words.keys() and "cat" not in e.words
+
+
 def test_repeats_free_their_shuffles(spark):
     """Once the tables are written, no shuffle of theirs is left on disk."""
     files = lambda: {str(b) for b in (lambda a: [a.apply(i).name() for i in range(a.size())])(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_") and str(b).endswith("_0.data")}

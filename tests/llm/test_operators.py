@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
+import cProfile
 import hashlib
 import random
 import re
@@ -76,6 +77,42 @@ def test_encoder_keeps_words_met_again(monkeypatch):
     assert {"the", "sat", "another"} <= e.words.keys() and "cat" not in e.words
 
 
+def test_encoder_windows_end_between_words(monkeypatch):
+    """Windows of any size give the ids of the tokenizer, text by text, also if words are longer than they are."""
+    rng, monkey = random.Random(4), [*"aZéÉß×µ07''stmdrevl!-<|>_\t\r   \n\n\x85\xa0你İé\x00", "<|endoftext|>", "'re", "'ll", "a" * 9, "\u0301"]
+    texts = ["".join(rng.choice(monkey) for _ in range(rng.randint(0, 40))) for _ in range(150)] + [None, "", " ", "'", "s", "'", "<", "|", "é"]
+    want = None
+    for window in (1, 7, 64, 1 << 23):
+        monkeypatch.setattr(packing.Encoder, "WINDOW", window)
+        e = packing.Encoder(TOKENIZER, 40)
+        want = want or [np.asarray(i, "<u4").tobytes() for i in e._whole([t or "" for t in texts])]
+        assert e(texts) == want
+        assert e([]) == [] and e([None]) == [b""]
+
+
+def test_encoder_spellings_of_known_parts_take_no_calls():
+    """Words made of parts that are known are cut all at once: in Python they take no call each."""
+    e, prof = packing.Encoder(TOKENIZER), cProfile.Profile()
+    words = [a + b for a in "the of and on in er".split() for b in "ation ment ness ing ed".split()]
+    e([" ".join(words) + " , . ! ; : 0 1 2 3 4 5 6 7 8 9"])
+    text = " ".join(f"{w.title() if k % 2 else w}{mark}{k}" for w in words for mark in ",.!;:" for k in range(10))
+    prof.enable()
+    got = e([text] * 3)
+    prof.disable()
+    assert got == [np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()] * 3
+    assert sum(f.callcount for f in prof.getstats()) < len(text.split())
+
+
+def test_packing_cuts_every_batch_of_ids(spark):
+    """Pieces of a batch come longest first, equally long ones in the order of the rows; empty texts are their end."""
+    rows = [(1, "the " * 9), (None, None), (2, ""), (3, "the " * 4), (4, "the " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = packing.pack_documents(df, TOKENIZER, seq_len=4, end_id=5, open_bins=2).collect()
+    assert [(r.doc_id, r.piece, r.start, r.length) for r in got] == [(1, 0, 0, 4), (1, 1, 4, 4), (3, 0, 0, 4), (4, 0, 0, 4), (1, 2, 8, 2), (None, 0, 0, 1), (2, 0, 0, 1), (3, 1, 4, 1)]
+    assert [(r.sequence_id, r.offset) for r in got] == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (4, 2), (4, 3), (5, 0)]
+    assert [np.frombuffer(r.ids, "<u4")[-1] for r in got[3:]] == [5] * 5
+
+
 def test_repeats_free_their_shuffles(spark):
     """Once the tables are written, no shuffle of theirs is left on disk."""
     files = lambda: {str(b) for b in (lambda a: [a.apply(i).name() for i in range(a.size())])(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_") and str(b).endswith("_0.data")}

@@ -75,7 +75,7 @@ class Encoder:
     PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
     GAP, LETTER, DIGIT, OTHER, ODD = range(5)
     #: Bytes that are cut at a time; a window ends between words, so that only a longer word makes a longer one.
-    WINDOW = 1 << 23
+    WINDOW = 1 << 20
 
     def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer

@@ -29,6 +29,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def give_back() -> None:
+    """What this process freed goes back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another allocator
+        pass
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run over a task's batches; when it ends, what it freed goes back to the system.
 
@@ -38,11 +47,7 @@ def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Ite
     @functools.wraps(run)
     def inner(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another allocator
-            pass
+        give_back()
 
     return inner
 
@@ -71,10 +76,22 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/equiflow-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    collect_garbage(spark)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver collect its garbage if its heap takes over half of what it may.
+
+    What led to a written table isn't needed any more; a heap left to grow takes all it may, and keeps it.
+    """
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import giving_back
+from .common import give_back, giving_back
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW, STEP = 24, 12
@@ -42,9 +42,9 @@ def windows(n: int) -> list[int]:
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STEP), n - WINDOW]
 
 
-def trigrams(word: str) -> list[int]:
+def trigrams(word: str) -> np.ndarray:
     w = f"<{word}>"
-    return [zlib.crc32(w[i : i + 3].encode()) % TRIGRAMS for i in range(max(1, len(w) - 2))]
+    return np.array([zlib.crc32(w[i : i + 3].encode()) % TRIGRAMS for i in range(max(1, len(w) - 2))], np.uint16)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,11 +95,11 @@ class Network:
             self.p["w" + d], self.p["u" + d] = init(WORD_DIM + CHAR_DIM, 3 * HIDDEN), init(HIDDEN, 3 * HIDDEN)
         self.scale, self.shift = 1.0, 0.0
 
-    def inputs(self, words: list[str], known: dict[str, list[int]] | None = None) -> np.ndarray:
+    def inputs(self, words: list[str], known: dict[str, np.ndarray] | None = None) -> np.ndarray:
         ids = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
         grams = [known[w] if known else trigrams(w) for w in words]
         n = np.fromiter(map(len, grams), np.int64, len(grams))
-        flat = self.p["tri"][np.concatenate([np.asarray(g) for g in grams])] if grams else np.zeros((0, CHAR_DIM), np.float32)
+        flat = self.p["tri"][np.concatenate(grams)] if grams else np.zeros((0, CHAR_DIM), np.float32)
         chars = np.add.reduceat(flat, np.cumsum(n) - n) / n[:, None] if grams else flat
         return np.concatenate([self.p["emb"][ids], chars.astype(np.float32)], 1)
 
@@ -194,7 +194,8 @@ def train(texts: list[str | None], labels: list[int], *, clean_windows: int = 40
     Which one that is comes first from the words' log odds, then from the network itself. A step takes
     192 windows of clean texts, drawn from ``clean_windows`` of them picked at random. With one label only (or none) the network gives that label to every text.
     """
-    docs = [words_of(t) for t in texts]
+    same: dict[str, str] = {}  # a string a distinct word, not one a word
+    docs = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]
     y = np.asarray(labels, int)
     pos, neg = [d for d, v in zip(docs, y, strict=True) if v and d], [d for d, v in zip(docs, y, strict=True) if not v and d]
     if not pos or not neg:
@@ -222,7 +223,7 @@ def train(texts: list[str | None], labels: list[int], *, clean_windows: int = 40
         v = max(value.get(w, 0.0) for w in cut(pos[k], s))
         best[k] = max(best.get(k, (-9.0, 0)), (v, s))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    grams: dict[str, list[int]] = {}
+    grams: dict[str, np.ndarray] = {}
     for step in range(1, steps + 1):
         if step == steps // 2:
             scorer, best = Scorer(net), {}
@@ -230,6 +231,7 @@ def train(texts: list[str | None], labels: list[int], *, clean_windows: int = 40
                 s = windows(len(d))
                 v = scorer.worst([cut(d, a) for a in s])
                 best[k] = (float(v.max()), s[int(v.argmax())])
+            del scorer  # its table of words
         chosen = [(pos[k], best[k][1], 1) for k in rng.integers(0, len(pos), 64)] + [(neg[clean[i][0]], clean[i][1], 0) for i in rng.integers(0, len(clean), 192)]
         batch = [cut(d, s) for d, s, _ in chosen]
         target = np.asarray([v for *_, v in chosen], np.float32)
@@ -280,7 +282,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, per_class: int = 1200, clean_w
         return train([], [])
     few = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in picked], "id long, y int"))  # 2 * per_class rows
     got = sorted((r["id"], r["y"], r["text"] or "") for r in docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id")).select("id", "y", "text").collect())
-    return train([t for *_, t in got], [v for _, v, _ in got], clean_windows=clean_windows)
+    net = train([t for *_, t in got], [v for _, v, _ in got], clean_windows=clean_windows)
+    give_back()  # the driver keeps no more of the training than the network
+    return net
 
 
 def scored(docs: DataFrame, net: Network, name: str = "score") -> Column:

@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -125,6 +127,29 @@ def test_repeats_free_their_shuffles(spark):
     assert files() <= before and out.count() == 40
 
 
+def test_driver_collects_garbage_when_its_heap_has_grown():
+    """Once a table is written and the heap is over half its limit; a smaller heap is left alone."""
+    done = []
+    for size in (50, 51):
+        runtime = SimpleNamespace(totalMemory=lambda n=size: n, maxMemory=lambda: 100)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda r=runtime: r), System=SimpleNamespace(gc=lambda n=size: done.append(n)))
+        common.collect_garbage(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))))
+    assert done == [51]
+
+
+def test_training_holds_little():
+    """Training holds a string a distinct word and small arrays of trigrams, not objects for every word of every text."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=600)) for _ in range(400)]
+    tracemalloc.start()
+    try:
+        toxicity.train(texts, [k % 2 for k in range(400)], steps=40)
+        assert tracemalloc.get_traced_memory()[1] < 45e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 
